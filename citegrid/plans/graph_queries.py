@@ -1 +1,177 @@
-"""Node measures and clusters."""
+"""Node measures and clusters.
+
+``dc`` is the direct-citation network of the line items, one dense component;
+``thread`` that of the conversations, many small ones.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from citegrid.functions.nested import first_display_name
+from citegrid.operators import community, graph
+from citegrid.operators import enrich as E
+from citegrid.operators import networks as N
+from citegrid.plans.build import edge_tables, node_table
+from citegrid.plans.catalogue import query
+from citegrid.plans.doi_queries import rounded
+from citegrid.plans.network_queries import hybrid_sql, network_ctes
+from citegrid.session import Scratch
+
+VIEWS = "works citations thread_works thread_citations"
+EDGES = network_ctes() + network_ctes("thread_works", "thread_citations", "t_") + """,
+    edges AS (SELECT 'dc' AS network, source, target, weight FROM dc
+              UNION ALL SELECT 'thread', source, target, weight FROM t_dc)"""
+ARCS = """, arcs AS (SELECT network, source AS src, target AS dst FROM edges
+    UNION ALL SELECT network, target, source FROM edges WHERE source <> target),
+    nodes AS (SELECT DISTINCT network, src AS id FROM arcs)"""
+
+
+def _edges(t):
+    both = N.stack({
+        "dc": N.direct_citation(t.works, t.citations),
+        "thread": N.direct_citation(t.thread_works, t.thread_citations),
+    })
+    return Scratch(t.spark, "edges").save(both, "edges")
+
+
+@query("nodes_degree", EDGES + """ SELECT network, id, count(*) AS degree FROM (
+    SELECT network, source AS id FROM edges UNION ALL SELECT network, target FROM edges) e GROUP BY 1, 2""", VIEWS)
+def nodes_degree(t):
+    return graph.degree(_edges(t))
+
+
+def _unrolled_labels(rounds: int) -> str:
+    """Smallest label around each vertex, as many rounds as the longest shortest path."""
+    parts = [", l0 AS (SELECT network, id, id AS c FROM nodes)"]
+    for i in range(1, rounds + 1):
+        parts.append(f""", l{i} AS MATERIALIZED (SELECT network, id, min(c) AS c FROM (
+            SELECT * FROM l{i - 1} UNION ALL SELECT a.network, a.dst, l.c FROM arcs a
+            JOIN l{i - 1} l ON a.network = l.network AND a.src = l.id) x GROUP BY 1, 2)""")
+    return "".join(parts)
+
+
+# Conversations are chains of at most a few turns and the dense network is a few hops wide.
+_LABELS = EDGES + ARCS + _unrolled_labels(12)
+
+
+@query("nodes_components", _LABELS + " SELECT network, id, c AS component FROM l12", VIEWS)
+def nodes_components(t):
+    return graph.components(_edges(t))
+
+
+@query("modularity_of_components", _LABELS + """, comp AS (SELECT * FROM l12),
+    per AS (SELECT c.network, c.c, sum(e.w) AS tot FROM comp c JOIN (
+        SELECT network, source AS id, weight AS w FROM edges UNION ALL SELECT network, target, weight FROM edges) e
+      ON c.network = e.network AND c.id = e.id GROUP BY 1, 2)
+    SELECT network, count(*) AS n_communities, round(1 - sum(tot * tot) / (sum(tot) * sum(tot)), 6) AS modularity
+    FROM per GROUP BY 1""", VIEWS)
+def modularity_of_components(t):
+    edges = _edges(t)
+    return rounded(graph.modularity(edges, graph.components(edges), "component"), "modularity")
+
+
+def _unrolled_search(depth: int) -> str:
+    """Shortest distances up to ``depth`` hops, one table of new pairs per hop."""
+    near = """, near AS (SELECT DISTINCT network, src, dst FROM arcs WHERE src <> dst),
+        d0 AS (SELECT network, id AS s, id AS v FROM nodes), seen0 AS (SELECT * FROM d0)"""
+    parts = [near]
+    for i in range(1, depth + 1):
+        parts.append(f""", d{i} AS MATERIALIZED (SELECT DISTINCT f.network, f.s, a.dst AS v FROM d{i - 1} f
+            JOIN near a ON f.network = a.network AND f.v = a.src
+            ANTI JOIN seen{i - 1} p ON f.network = p.network AND f.s = p.s AND a.dst = p.v),
+            seen{i} AS MATERIALIZED (SELECT * FROM seen{i - 1} UNION ALL SELECT * FROM d{i})""")
+    return "".join(parts)
+
+
+THIN_VIEWS = "thread_works thread_citations works order_citations"
+THIN_EDGES = network_ctes("thread_works", "thread_citations", "t_") + network_ctes(citations="order_citations") + """,
+    edges AS (SELECT 'thread' AS network, source, target, weight FROM t_dc
+              UNION ALL SELECT 'dc', source, target, weight FROM dc)"""
+
+
+def _thin_edges(t):
+    both = N.stack({
+        "thread": N.direct_citation(t.thread_works, t.thread_citations),
+        "dc": N.direct_citation(t.works, t.order_citations),
+    })
+    return Scratch(t.spark, "edges").save(both, "edges")
+
+
+# The longest shortest path is below ten hops at every scale; later hops add no pair.
+@query("nodes_closeness", THIN_EDGES + ARCS + _unrolled_search(10) + ", hops AS (" + " UNION ALL ".join(
+    f"SELECT network, s AS id, {i} AS d FROM d{i}" for i in range(1, 11)) + """)
+    SELECT n.network, n.id, round(h.c / h.total, 6) AS closeness FROM nodes n LEFT JOIN (
+      SELECT network, id, CAST(count(*) AS DOUBLE) AS c, sum(d) AS total FROM hops GROUP BY 1, 2) h
+    ON n.network = h.network AND n.id = h.id""", THIN_VIEWS)
+def nodes_closeness(t):
+    return rounded(graph.closeness(_thin_edges(t)), "closeness")
+
+
+_STEPS = 20
+
+
+def _unrolled_power(steps: int) -> str:
+    parts = [", x0 AS (SELECT network, id, 1.0::DOUBLE AS x FROM nodes)"]
+    for i in range(1, steps + 1):
+        parts.append(f""", y{i} AS (SELECT a.network, a.dst AS id, sum(x.x) AS x FROM pull a
+            JOIN x{i - 1} x ON a.network = x.network AND a.src = x.id GROUP BY 1, 2),
+            x{i} AS MATERIALIZED (SELECT network, id, x / max(x) OVER (PARTITION BY network) AS x FROM y{i})""")
+    return "".join(parts)
+
+
+@query("nodes_eigen", EDGES + ARCS + """, pull AS MATERIALIZED (SELECT * FROM arcs
+    UNION ALL SELECT network, source, target FROM edges WHERE source = target
+    UNION ALL SELECT network, id, id FROM nodes)""" + _unrolled_power(_STEPS)
+    + f" SELECT network, id, round(x, 6) AS eigen_centrality FROM x{_STEPS}", VIEWS)
+def nodes_eigen(t):
+    """A fixed number of steps, so that both sides stop at the same iterate."""
+    return rounded(graph.eigenvector(_edges(t), steps=_STEPS, tolerance=0), "eigen_centrality")
+
+
+@query("nodes_louvain")
+def nodes_louvain(t):
+    return community.louvain(_thin_edges(t))
+
+
+@query("nodes_leiden")
+def nodes_leiden(t):
+    return community.leiden(_thin_edges(t))
+
+
+@query("nodes_table")
+def nodes_table(t):
+    """All measures on all seven networks of the conversations."""
+    edges = Scratch(t.spark, "edges").save(edge_tables(t.thread_works, t.thread_citations), "edges")
+    return node_table(edges, t.thread_works)
+
+
+_HYBRID = hybrid_sql("bc", "cc", "dc")
+
+
+def _labelled_nodes(t):
+    base = N.base_networks(t.works, t.order_citations)
+    edges = N.hybrid(*base.values()).withColumn("network", F.lit("bc_cc_dc"))
+    labels = t.works.select("id", F.col("openalex_id").alias("Label"))
+    return graph.degree(edges).join(labels, "id", "left")
+
+
+_NODES = network_ctes(citations="order_citations") + f""", h AS ({_HYBRID}),
+    n AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM h UNION ALL SELECT target FROM h) e GROUP BY 1),
+    labelled AS (SELECT 'bc_cc_dc' AS network, n.id, n.degree, w.openalex_id AS "Label"
+      FROM n LEFT JOIN works w ON n.id = w.id)"""
+
+
+@query("nodes_core_flag", _NODES + """ SELECT l.*, CAST(l."Label" IN (SELECT openalex_work_id FROM core_works) AS INT)
+    AS core_work FROM labelled l""", "works order_citations core_works")
+def nodes_core_flag(t):
+    return E.core_flag(_labelled_nodes(t), t.core_works)
+
+
+@query("nodes_sdg", _NODES + """, goals AS (SELECT concat('https://openalex.org/W', CAST(p_partkey AS VARCHAR)) AS oa_id,
+      CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS sdgs FROM part)
+    SELECT l.*, g.oa_id, g.sdgs FROM labelled l LEFT JOIN goals g ON l."Label" = g.oa_id""", "works order_citations")
+def nodes_sdg(t):
+    labels = t.metadata.select(
+        F.col("id").alias("oa_id"), first_display_name(F.col("sustainable_development_goals")).alias("sdgs"))
+    return E.attach_sdg(_labelled_nodes(t), labels)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citegrid.operators import networks as N
 from citegrid.operators import verify as V
+from citegrid.plans.build import edge_tables
 from citegrid.plans.catalogue import query
 
 # The checks count pairs with a plain self-join over distinct citations.
@@ -27,7 +28,8 @@ def network_ctes(works: str = "works", citations: str = "citations", prefix: str
             f"{prefix}bc AS ({sub(BC_SQL)}), {prefix}dc AS ({sub(DC_SQL)}), {prefix}cc AS ({sub(CC_SQL)})")
 
 
-NETS = network_ctes()
+LINES = network_ctes()
+NETS = network_ctes(citations="order_citations")
 
 
 def hybrid_sql(*parts: str, prefix: str = "") -> str:
@@ -36,56 +38,56 @@ def hybrid_sql(*parts: str, prefix: str = "") -> str:
             f"CAST(sum(weight) AS BIGINT) AS weight FROM ({union}) u GROUP BY 1, 2")
 
 
-@query("bc_edges", NETS + " SELECT *, 'undirected' AS type FROM bc", "works citations")
+@query("bc_edges", LINES + " SELECT *, 'undirected' AS type FROM bc", "works citations")
 def bc_edges(t):
     return N.coupling(t.works, t.citations)
 
 
-@query("cc_edges", NETS + " SELECT *, 'undirected' AS type FROM cc", "works citations")
+@query("cc_edges", LINES + " SELECT *, 'undirected' AS type FROM cc", "works citations")
 def cc_edges(t):
     return N.cocitation(t.works, t.citations)
 
 
-@query("dc_edges", NETS + " SELECT source, target, CAST(weight AS BIGINT) AS weight, 'directed' AS type FROM dc",
+@query("dc_edges", LINES + " SELECT source, target, CAST(weight AS BIGINT) AS weight, 'directed' AS type FROM dc",
        "works citations")
 def dc_edges(t):
     return N.direct_citation(t.works, t.citations)
 
 
 @query("bc_edges_multiset", """SELECT a.citing_id AS source, b.citing_id AS target, count(*) AS weight,
-    'undirected' AS type FROM citations a JOIN citations b
-    ON a.cited_id = b.cited_id AND a.citing_id < b.citing_id GROUP BY 1, 2""", "works citations")
+    'undirected' AS type FROM order_citations a JOIN order_citations b
+    ON a.cited_id = b.cited_id AND a.citing_id < b.citing_id GROUP BY 1, 2""", "works order_citations")
 def bc_edges_multiset(t):
-    return N.coupling(t.works, t.citations, multiset=True)
+    return N.coupling(t.works, t.order_citations, multiset=True)
 
 
 @query("cc_edges_multiset", """SELECT a.cited_id AS source, b.cited_id AS target, count(*) AS weight,
-    'undirected' AS type FROM citations a JOIN citations b
-    ON a.citing_id = b.citing_id AND a.cited_id < b.cited_id GROUP BY 1, 2""", "works citations")
+    'undirected' AS type FROM order_citations a JOIN order_citations b
+    ON a.citing_id = b.citing_id AND a.cited_id < b.cited_id GROUP BY 1, 2""", "works order_citations")
 def cc_edges_multiset(t):
-    return N.cocitation(t.works, t.citations, multiset=True)
+    return N.cocitation(t.works, t.order_citations, multiset=True)
 
 
-@query("bc_core_only", network_ctes("core_ids") + " SELECT *, 'undirected' AS type FROM bc", "core_ids citations")
+@query("bc_core_only", network_ctes("core_ids", "order_citations") + " SELECT *, 'undirected' AS type FROM bc", "core_ids order_citations")
 def bc_core_only(t):
-    return N.coupling(t.core_ids, t.citations)
+    return N.coupling(t.core_ids, t.order_citations)
 
 
-@query("cc_core_only", network_ctes("core_ids") + " SELECT *, 'undirected' AS type FROM cc", "core_ids citations")
+@query("cc_core_only", network_ctes("core_ids", "order_citations") + " SELECT *, 'undirected' AS type FROM cc", "core_ids order_citations")
 def cc_core_only(t):
-    return N.cocitation(t.core_ids, t.citations)
+    return N.cocitation(t.core_ids, t.order_citations)
 
 
-@query("dc_core_only", network_ctes("core_ids")
-       + " SELECT source, target, CAST(weight AS BIGINT) AS weight, 'directed' AS type FROM dc", "core_ids citations")
+@query("dc_core_only", network_ctes("core_ids", "order_citations")
+       + " SELECT source, target, CAST(weight AS BIGINT) AS weight, 'directed' AS type FROM dc", "core_ids order_citations")
 def dc_core_only(t):
-    return N.direct_citation(t.core_ids, t.citations)
+    return N.direct_citation(t.core_ids, t.order_citations)
 
 
 def _register_hybrid(name: str, parts: tuple[str, ...]) -> None:
-    @query(f"hybrid_{name}", f"{NETS} {hybrid_sql(*parts)}", "works citations")
+    @query(f"hybrid_{name}", f"{NETS} {hybrid_sql(*parts)}", "works order_citations")
     def hybrid(t):
-        base = N.base_networks(t.works, t.citations)
+        base = N.base_networks(t.works, t.order_citations)
         return N.hybrid(*[base[p] for p in parts])
 
 
@@ -93,61 +95,56 @@ for _name, _parts in N.HYBRIDS.items():
     _register_hybrid(_name, _parts)
 
 
-def all_networks(works, citations):
-    base = N.base_networks(works, citations)
-    return N.stack({**base, **N.hybrid_networks(base)})
-
-
 _HYBRID_CTES = "".join(f", {n} AS ({hybrid_sql(*p)})" for n, p in N.HYBRIDS.items())
 
 
 @query("network_summary", f"{NETS}{_HYBRID_CTES} " + " UNION ALL ".join(
     f"SELECT '{n}' AS network, count(*) AS n_edges, CAST(sum(weight) AS BIGINT) AS weight_sum FROM {n}"
-    for n in N.NETWORKS), "works citations")
+    for n in N.NETWORKS), "works order_citations")
 def network_summary(t):
-    return N.summary(all_networks(t.works, t.citations))
+    return N.summary(edge_tables(t.works, t.order_citations))
 
 
 @query("network_diff", NETS + """, raw AS (
-    SELECT a.citing_id AS source, b.citing_id AS target, count(*) AS weight FROM citations a JOIN citations b
+    SELECT a.citing_id AS source, b.citing_id AS target, count(*) AS weight FROM order_citations a JOIN order_citations b
     ON a.cited_id = b.cited_id AND a.citing_id < b.citing_id GROUP BY 1, 2)
     SELECT count(l.weight) AS left_edges, CAST(sum(l.weight) AS BIGINT) AS left_weight,
       count(r.weight) AS right_edges, CAST(sum(r.weight) AS BIGINT) AS right_weight,
       count(*) FILTER (r.weight IS NULL) AS left_only, count(*) FILTER (l.weight IS NULL) AS right_only,
       count(*) FILTER (l.weight <> r.weight) AS weight_diff, 'MISMATCH' AS verdict
-    FROM bc l FULL JOIN raw r ON l.source = r.source AND l.target = r.target""", "works citations")
+    FROM bc l FULL JOIN raw r ON l.source = r.source AND l.target = r.target""", "works order_citations")
 def network_diff(t):
     """Set against multiset coupling: the difference the repeated citations make."""
-    return V.compare(N.coupling(t.works, t.citations), N.coupling(t.works, t.citations, multiset=True))
+    return V.compare(N.coupling(t.works, t.order_citations), N.coupling(t.works, t.order_citations, multiset=True))
 
 
 @query("network_edge_diff", NETS + """ SELECT coalesce(l.source, r.source) AS source,
       coalesce(l.target, r.target) AS target, l.weight AS weight_left, r.weight AS weight_right,
       CASE WHEN r.weight IS NULL THEN 'left_only' WHEN l.weight IS NULL THEN 'right_only' ELSE 'both' END AS side
-    FROM bc l FULL JOIN cc r ON l.source = r.source AND l.target = r.target""", "works citations")
+    FROM bc l FULL JOIN cc r ON l.source = r.source AND l.target = r.target""", "works order_citations")
 def network_edge_diff(t):
-    base = N.base_networks(t.works, t.citations)
+    base = N.base_networks(t.works, t.order_citations)
     return V.edge_diff(base["bc"], base["cc"])
 
 
 @query("network_strength", NETS + """, ends AS (
     SELECT source AS id, weight FROM bc UNION ALL SELECT target AS id, weight FROM bc)
     SELECT id, CAST(sum(weight) AS BIGINT) AS strength, CAST(sum(weight) AS BIGINT) AS expected,
-    true AS matches FROM ends GROUP BY 1""", "works citations")
+    true AS matches FROM ends GROUP BY 1""", "works order_citations")
 def network_strength(t):
     """Strength per work from the edges and from the citation counts alone."""
-    works, citations = t.works, t.citations
+    works, citations = t.works, t.order_citations
     have = V.strength(N.coupling(works, citations))
     want = V.expected_strength(works, citations, "citing_id", "cited_id").withColumnRenamed("strength", "expected")
     return have.join(want, "id", "full_outer").withColumn("matches", F.col("strength").eqNullSafe(F.col("expected")))
 
 
 @query("core_neighbourhood", """SELECT id, max(a) AS cites_core, max(b) AS cited_by_core FROM (
-    SELECT citing_id AS id, 1 AS a, 0 AS b FROM citations WHERE cited_id IN (SELECT id FROM core_ids)
-    UNION ALL SELECT cited_id AS id, 0 AS a, 1 AS b FROM citations WHERE citing_id IN (SELECT id FROM core_ids)
-    ) x GROUP BY id""", "core_ids citations")
+    SELECT citing_id AS id, 1 AS a, 0 AS b FROM order_citations WHERE cited_id IN (SELECT id FROM core_ids)
+    UNION ALL SELECT cited_id AS id, 0 AS a, 1 AS b FROM order_citations WHERE citing_id IN (SELECT id FROM core_ids)
+    ) x GROUP BY id""", "core_ids order_citations")
 def core_neighbourhood(t):
-    return N.neighbourhood(t.citations, t.core_ids)
+    return N.neighbourhood(t.order_citations, t.core_ids)
 
 
 @query("coauthor_links", """, u AS (SELECT DISTINCT work_id, author_id FROM author_links)

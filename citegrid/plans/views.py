@@ -29,6 +29,10 @@ VIEWS = {
         SELECT l_partkey AS citing_id,
                (l_orderkey * 7 + l_linenumber) % (SELECT count(*) FROM {part}) AS cited_id
         FROM {lineitem}""",
+    # A thinner citation table on the same works: every order is a citation.
+    "order_citations": """
+        SELECT o_custkey AS citing_id, (o_orderkey * 7 + 3) % (SELECT count(*) FROM {part}) AS cited_id
+        FROM {orders}""",
     # Works are conversation turns citing the two turns before them: many components.
     "thread_works": """
         SELECT conv_id * 100000 + turn AS id,
@@ -162,5 +166,5 @@ def with_views(body: str, *names: str) -> str:
         for part in _names(VIEWS[name]):
             sql = sql.replace("{" + part + "}", part)
         ctes.append(f"{name} AS ({sql})")
-    return f"WITH RECURSIVE {', '.join(ctes)} {body}" if not body.lstrip().startswith(",") else \
-        f"WITH RECURSIVE {', '.join(ctes)}{body.lstrip()}"
+    glue = "" if body.lstrip().startswith(",") else " "
+    return f"WITH RECURSIVE {', '.join(ctes)}{glue}{body.lstrip()}"
