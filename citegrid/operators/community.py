@@ -8,12 +8,12 @@ neighbours from swapping places, and the best partition seen is kept, since move
 made at the same time can lose modularity together.
 
 All sums are keyed by (network, community) or (network, vertex) and combine map-side;
-the driver sees one row of totals per network and round.
+the driver sees a few totals per network and round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from citegrid.operators.graph import both_ways, components, vertices
@@ -53,56 +53,91 @@ def _link_weights(arcs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 def _local_moves(arcs: DataFrame, nodes: DataFrame, seed: int, max_rounds: int, min_gain: float,
                  scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
-    """Best partition found from ``nodes.c``: ``(network, v, k, own, c)`` and its modularity."""
+    """Best partition found from ``nodes.c``: ``(network, v, k, own, c)`` and its modularity.
+
+    Degrees do not change within a level, so the price of joining a community of total
+    ``t``, ``k / m2 * t``, is carried as a rate on the arcs and needs no join of its own.
+    """
     twice = F.broadcast(nodes.groupBy("network").agg(F.sum("k").alias("m2")))
-    state = nodes.select("network", "v", "k", "own", "c", F.col("c").alias("best"))
+    rated = scratch.save(
+        nodes.join(twice, "network")
+        .withColumn("rate", F.coalesce(F.try_divide("k", "m2"), F.lit(0.0))), "rated")
+    rates = rated.select("network", F.col("v").alias("src"), "rate")
+    arcs = scratch.save(arcs.join(rates, ["network", "src"]), "rated-arcs")
+    totals = {r.network: r.m2 for r in twice.collect()}  # one row per network
+    state = rated.select("network", "v", "k", "own", "rate", "c", F.col("c").alias("best"))
     best: dict[str, float] = {}
     history: list[float] = []
     idle = 0
     for turn in range(max_rounds):
-        total = state.groupBy("network", F.col("c").alias("to")).agg(F.sum("k").alias("tot"))
-        here = state.join(total.withColumnRenamed("to", "c"), ["network", "c"]).join(twice, "network")
-        links = _link_weights(arcs, state, "c").join(total, ["network", "to"])
-        met = here.join(links.withColumnRenamed("tot", "tot_to"), ["network", "v"], "left")
-        same = F.col("to") == F.col("c")
-        gain = F.col("link") - F.col("k") * F.col("tot_to") / F.col("m2")
-        chosen = met.groupBy("network", "v").agg(
-            F.first("k").alias("k"), F.first("own").alias("own"), F.first("c").alias("c"),
-            F.first("best").alias("best"), F.first("tot").alias("tot"), F.first("m2").alias("m2"),
-            F.coalesce(F.max(F.when(same, F.col("link"))), F.lit(0.0)).alias("stay"),
-            F.max(F.when(~same, F.struct(gain.alias("gain"), (-F.col("to")).alias("to")))).alias("top"),
-        )
-        stay_gain = F.col("stay") - F.col("k") * (F.col("tot") - F.col("k")) / F.col("m2")
-        moves = _half("v", turn, seed) & (F.col("top.gain") > stay_gain + EPS * F.col("m2"))
-        after = scratch.save(chosen.select(
-            "network", "v", "k", "own", "c", "best",
-            F.when(moves, -F.col("top.to")).otherwise(F.col("c")).alias("next"),
-            (F.col("stay") + F.col("own")).alias("inside")), "moves")
-        rows = (
-            after.groupBy("network", "c").agg(
-                F.sum("k").alias("tot"), F.sum("inside").alias("inside"),
-                F.count_if(F.col("next") != F.col("c")).alias("moved"))
-            .groupBy("network").agg(
-                F.sum("tot").alias("m2"), F.sum("inside").alias("inside"),
-                F.sum(F.col("tot") * F.col("tot")).alias("squares"), F.sum("moved").alias("moved"))
-            .collect()  # one row per network
-        )
-        quality = {r.network: (r.inside / r.m2 - r.squares / r.m2 ** 2) if r.m2 else 0.0 for r in rows}
+        watch = Observation()
+        after = scratch.save(_round(arcs, state, _half("v", turn, seed)).observe(
+            watch, *_progress(list(totals))), "moves")
+        seen = watch.get
+        quality = {
+            n: (seen[f"inside_{i}"] / m2 - seen[f"squares_{i}"] / m2 ** 2) if m2 else 0.0
+            for i, (n, m2) in enumerate(totals.items())
+        }
         better = [n for n, q in quality.items() if q > best.get(n, float("-inf"))]
         best.update({n: quality[n] for n in better})
         improved = F.col("network").isin(better) if better else F.lit(False)
-        state = after.select("network", "v", "k", "own", F.col("next").alias("c"),
+        state = after.select("network", "v", "k", "own", "rate", F.col("next").alias("c"),
                              F.when(improved, F.col("c")).otherwise(F.col("best")).alias("best"))
         history.append(sum(best.values()))
         # Two rounds without a gain worth a pass end the level; the next one goes on from there.
         settled = len(history) > 2 and history[-1] - history[-3] < 10 * min_gain and history[-1] > history[0]
-        idle = 0 if any(r.moved for r in rows) else idle + 1
+        idle = 0 if seen["moved"] else idle + 1
         if settled or idle == 2:
             break
     done = scratch.save(state.select("network", "v", "k", "own", F.col("best").alias("c")), "partition")
     return done, best
 
 
+def _progress(networks: list[str]) -> list[Column]:
+    """Sums over the vertices that give each network's modularity, read off while writing.
+
+    The squared community totals are a sum of ``k * total`` over the vertices, so no
+    grouping is needed.
+    """
+    sums = [F.count_if(F.col("next") != F.col("c")).alias("moved")]
+    for i, name in enumerate(networks):
+        here = F.col("network") == name
+        sums += [F.sum(F.when(here, F.col("inside")).otherwise(0.0)).alias(f"inside_{i}"),
+                 F.sum(F.when(here, F.col("k") * F.col("tot")).otherwise(0.0)).alias(f"squares_{i}")]
+    return sums
+
+
+def _round(arcs: DataFrame, state: DataFrame, turn: Column) -> DataFrame:
+    """Each vertex with its community, that community's totals and where it goes next."""
+    total = state.groupBy("network", F.col("c").alias("to")).agg(F.sum("k").alias("tot"))
+    far = state.select("network", F.col("v").alias("dst"), F.col("c").alias("to"))
+    nothing = F.lit(None).cast("double")
+    heard = arcs.join(far, ["network", "dst"]).select(
+        "network", F.col("src").alias("v"), "to", F.col("w").alias("link"), "rate",
+        nothing.alias("k"), nothing.alias("own"), F.lit(None).cast("bigint").alias("best"))
+    own = state.select("network", "v", F.col("c").alias("to"), F.lit(0.0).alias("link"), "rate", "k", "own", "best")
+    offers = (
+        heard.unionByName(own).groupBy("network", "v", "to")
+        .agg(F.sum("link").alias("link"), F.max("rate").alias("rate"), F.max("k").alias("k"),
+             F.max("own").alias("own"), F.max("best").alias("best"))
+        .join(total, ["network", "to"])
+    )
+    home = F.col("k").isNotNull()
+    gain = F.col("link") - F.col("rate") * F.col("tot")
+    chosen = offers.groupBy("network", "v").agg(
+        F.max("k").alias("k"), F.max("own").alias("own"), F.max("best").alias("best"), F.max("rate").alias("rate"),
+        F.max(F.when(home, F.col("to"))).alias("c"), F.max(F.when(home, F.col("tot"))).alias("tot"),
+        F.max(F.when(home, F.col("link"))).alias("stay"),
+        F.max(F.when(~home, F.struct(gain.alias("gain"), (-F.col("to")).alias("to")))).alias("top"),
+    )
+    stay_gain = F.col("stay") - F.col("rate") * (F.col("tot") - F.col("k"))
+    moves = turn & (F.col("top.gain") > stay_gain + EPS * F.col("k"))
+    return chosen.select(
+        "network", "v", "k", "own", "rate", "c", "best", "tot",
+        F.when(moves, -F.col("top.to")).otherwise(F.col("c")).alias("next"),
+        (F.col("stay") + F.col("own")).alias("inside"))
+
+
 def _refine(arcs: DataFrame, parts: DataFrame, seed: int, rounds: int, scratch: Scratch) -> DataFrame:
     """Split each community ``c`` into well-connected parts ``s``.
 

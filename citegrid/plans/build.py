@@ -56,3 +56,4 @@ def run(spark: SparkSession, works_path: str, citations_path: str, out: str,
     edges = spark.read.parquet(f"{out}/edges")
     writers.write_by_network(
         node_table(edges, works, closeness_max_nodes, seed, scratch=scratch), f"{out}/nodes")
+    scratch.clear()

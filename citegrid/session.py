@@ -84,6 +84,11 @@ class Scratch:
             if path:
                 self._drop(path)
 
+    def clear(self) -> None:
+        """Remove all tables of the job, once its results are stored elsewhere."""
+        self._paths.clear()
+        self._drop(self.base)
+
     def _drop(self, path: str) -> None:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
