@@ -13,7 +13,7 @@ the driver sees a few totals per network and round.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.operators.graph import both_ways, components, vertices
@@ -70,10 +70,8 @@ def _local_moves(arcs: DataFrame, nodes: DataFrame, seed: int, max_rounds: int,
     history: list[float] = []
     idle = 0
     for turn in range(max_rounds):
-        watch = Observation()
-        after = scratch.save(_round(arcs, state, _half("v", turn, seed)).observe(
-            watch, *_progress(list(totals))), "moves")
-        seen = watch.get
+        after, seen = scratch.measure(
+            _round(arcs, state, _half("v", turn, seed)), "moves", *_progress(list(totals)))
         quality = {
             n: (seen[f"inside_{i}"] / m2 - seen[f"squares_{i}"] / m2 ** 2) if m2 else 0.0
             for i, (n, m2) in enumerate(totals.items())
@@ -159,6 +157,7 @@ def _refine(arcs: DataFrame, parts: DataFrame, seed: int, rounds: int, scratch:
         parts.join(whole, ["network", "c"]).join(twice, "network").join(bound, ["network", "v"], "left")
         .select("network", "v", "k", "own", "c", F.col("v").alias("s"), "whole", "m2",
                 F.coalesce("bound", F.lit(0.0)).alias("bound")), "refined")
+    idle = 0
     for turn in range(rounds):
         links = _link_weights(inside, state, "s")
         within = (
@@ -184,11 +183,13 @@ def _refine(arcs: DataFrame, parts: DataFrame, seed: int, rounds: int, scratch:
             .join(open_parts, ["network", "to"]).withColumn("gain", gain).where(F.col("gain") > EPS)
             .groupBy("network", "v").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("target"))
         )
-        state = scratch.save(
+        state, seen = scratch.measure(
             state.join(choice, ["network", "v"], "left")
             .select("network", "v", "k", "own", "c", F.coalesce("target", "s").alias("s"),
-                    "whole", "m2", "bound", F.col("target").isNotNull().alias("moved")), "refined")
-        if state.where("moved").isEmpty() and turn % 2 == 1:
+                    "whole", "m2", "bound", F.col("target").isNotNull().alias("moved")),
+            "refined", F.count_if("moved").alias("moved"))
+        idle = 0 if seen["moved"] else idle + 1
+        if idle == 2:
             break
     return state.select("network", "v", "k", "own", "c", "s")
 

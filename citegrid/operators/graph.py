@@ -56,9 +56,10 @@ def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int
         ).distinct(), "links")
     mark = None
     for _ in range(max_rounds):
-        links = scratch.save(_small_star(_large_star(links)), "links")
         # The round changed nothing if count and digest of the pairs are unchanged.
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("network", "u", "v").cast("decimal(38,0)"))).first()
+        links, now = scratch.measure(
+            _small_star(_large_star(links)), "links", F.count(F.lit(1)).alias("n"),
+            F.sum(F.xxhash64("network", "u", "v").cast("decimal(38,0)")).alias("digest"))
         if now == mark:
             break
         mark = now
@@ -208,14 +209,14 @@ def closeness(edges: DataFrame, max_nodes: int | None = 50_000, scratch: Scratch
             step = met.select(
                 "v", "g", "reached", "hops", *seen, *[f.alias(new[i]) for i, f in enumerate(fresh)])
             gained = reduce(Column.__add__, [F.bit_count(c).cast("bigint") for c in new])
-            state = scratch.save(step.select(
+            state, seen_now = scratch.measure(step.select(
                 "v", "g",
                 *[F.coalesce(seen[i], zero).bitwiseOR(F.col(new[i])).alias(seen[i]) for i in range(_LANES)],
                 *new,
                 (F.coalesce("reached", zero) + gained).alias("reached"),
                 (F.coalesce("hops", zero) + gained * hop).alias("hops"),
-            ), "state")
-            if state.where(active).isEmpty():
+            ), "state", F.count_if(active).alias("active"))
+            if not seen_now["active"]:
                 break
     finally:
         arcs.unpersist()

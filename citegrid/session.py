@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings the jobs rely on. AQE re-plans joins from measured sizes (a side is
 # only broadcast when its measured size is below the threshold) and splits
@@ -78,6 +78,12 @@ class Scratch:
             self._drop(stale)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def measure(self, df: DataFrame, name: str, *metrics: Column) -> tuple[DataFrame, dict]:
+        """``save`` that also returns aggregates of the written rows, without a second job."""
+        seen = Observation()
+        table = self.save(df.observe(seen, *metrics), name)
+        return table, seen.get
+
     def drop(self, *names: str) -> None:
         for name in names:
             path = self._paths.pop(name, None)
