@@ -27,10 +27,11 @@ def _words(column: str) -> str:
     return f"list_filter(list_distinct(string_split_regex(trim({column}), '\\s+')), lambda w: w <> '')"
 
 
-SEARCH = f""", asked AS (SELECT row_idx, reference, {_norm(_TITLE)} AS title FROM raw_refs),
+SEARCH = f""", titled AS (SELECT row_idx, reference, {_norm(_TITLE)} AS title FROM raw_refs),
+    asked AS (SELECT *, {_words('title')} AS q_words FROM titled),
     cat AS (SELECT *, {_words(_norm('oa_title'))} AS words FROM catalog),
     hits AS (SELECT a.row_idx, c.*, row_number() OVER (PARTITION BY a.row_idx ORDER BY c.relevance_score DESC, c.oa_id) AS rn,
-      count(*) OVER (PARTITION BY a.row_idx) AS n FROM asked a JOIN cat c ON list_has_all(c.words, {_words('a.title')})
+      count(*) OVER (PARTITION BY a.row_idx) AS n FROM asked a JOIN cat c ON list_has_all(c.words, a.q_words)
       WHERE trim(a.title) <> ''),
     results AS (SELECT a.row_idx, a.reference, a.title, coalesce(h.n, 0) AS count, h.oa_id, h.oa_title,
       h.relevance_score, h.doi, h.is_oa, h.license, h.url
