@@ -100,50 +100,65 @@ def eigenvector(edges: DataFrame, steps: int = 500, tolerance: float = 1e-9, str
     self-loop counting twice in ``A``. ``stride`` steps form one Spark job, followed by
     scaling and a convergence test; ``tolerance=0`` runs exactly ``steps`` steps.
     """
-    spark = edges.sparkSession
-    scratch = scratch or Scratch(spark, "eigenvector")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Parallel edges become a multiplicity, and the edge side is shuffled once for all
-    # steps: only the vector moves.
+    scratch = scratch or Scratch(edges.sparkSession, "eigenvector")
+    numbered = _numbered(vertices(edges), scratch)
+    # Parallel edges become a multiplicity.
     loops = F.when(F.col("src") == F.col("dst"), F.lit(2)).otherwise(F.lit(1))
-    nodes = scratch.save(vertices(edges), "nodes")
-    shift = nodes.select("network", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1).alias("n"))
-    arcs = (
-        both_ways(edges).withColumn("n", loops).unionByName(shift)
-        .groupBy("network", "src", "dst").agg(F.sum("n").alias("n"))
-    )
-    arcs = scratch.save(arcs, "arcs").repartition(parts, "network", "src").persist()
-    x = nodes.select("network", "id", F.lit(1.0).alias("x"))
+    counted = both_ways(edges).withColumn("n", loops).groupBy("network", "src", "dst").agg(F.sum("n").alias("n"))
+    shift = numbered.select(F.col("v").alias("s"), F.col("v").alias("t"), F.lit(1).cast("bigint").alias("n"))
+    arcs = _resident(_renumber(counted, numbered, "n").unionByName(shift), scratch)
+    networks = numbered.select("v", "network")
+    x = networks.withColumn("x", F.lit(1.0))
     done = 0
     try:
         while done < steps:
             batch = min(stride, steps - done)
-            y = x
+            y = x.select("v", "x")
             for _ in range(batch):
                 y = _multiply(arcs, y)
-            raw = scratch.save(y, "raw")
+            raw = scratch.save(y.join(networks, "v"), "raw")
             top = raw.groupBy("network").agg(F.max("x").alias("top"))
-            scaled = raw.join(F.broadcast(top), "network").select(
-                "network", "id", (F.col("x") / F.col("top")).alias("x"))
+            scaled = raw.join(F.broadcast(top), "network").select("v", "network", (F.col("x") / F.col("top")).alias("x"))
+            before = x.select("v", F.col("x").alias("before"))
+            x, seen = scratch.measure(
+                scaled.join(before, "v"), "vector", F.max(F.abs(F.col("x") - F.col("before"))).alias("change"))
             done += batch
-            converged = False
-            if tolerance > 0:
-                before = x.withColumnRenamed("x", "before")
-                change = scaled.join(before, ["network", "id"]).agg(F.max(F.abs(F.col("x") - F.col("before")))).first()[0]
-                converged = change is None or change <= tolerance
-            x = scratch.save(scaled, "vector")
-            if converged:
+            if tolerance > 0 and (seen["change"] is None or seen["change"] <= tolerance):
                 break
     finally:
         arcs.unpersist()
         scratch.drop("arcs", "raw")
-    return x.select("network", "id", F.col("x").alias("eigen_centrality"))
+    return numbered.join(x.select("v", "x"), "v").select("network", "id", F.col("x").alias("eigen_centrality"))
+
+
+def _numbered(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Vertices of all networks under one consecutive number ``v``."""
+    return scratch.save(dense_id(nodes, ["network", "id"], "v", 0, scratch), "numbered")
+
+
+def _renumber(arcs: DataFrame, numbered: DataFrame, *carry: str) -> DataFrame:
+    """Arcs between vertex numbers; one integer replaces network and id in every round."""
+    return (
+        arcs.join(numbered.select("network", F.col("id").alias("src"), F.col("v").alias("s")), ["network", "src"])
+        .join(numbered.select("network", F.col("id").alias("dst"), F.col("v").alias("t")), ["network", "dst"])
+        .select("s", "t", *carry)
+    )
+
+
+def _resident(arcs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Arcs shuffled and sorted by source once for all rounds.
+
+    A round's sums come out partitioned by vertex as the next round's join wants them,
+    so only one value per vertex and partition moves.
+    """
+    parts = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return scratch.save(arcs, "arcs").repartition(parts, "s").sortWithinPartitions("s").persist()
 
 
 def _multiply(arcs: DataFrame, x: DataFrame) -> DataFrame:
     return (
-        arcs.join(x.withColumnRenamed("id", "src"), ["network", "src"])
-        .groupBy("network", F.col("dst").alias("id")).agg(F.sum(F.col("x") * F.col("n")).alias("x"))
+        arcs.join(x.withColumnRenamed("v", "s"), "s")
+        .groupBy(F.col("t").alias("v")).agg(F.sum(F.col("x") * F.col("n")).alias("x"))
     )
 
 
@@ -164,22 +179,14 @@ def closeness(edges: DataFrame, max_nodes: int | None = 50_000, scratch: Scratch
     neighbours. Distances are symmetric, so the bits set at a vertex in round d count
     the sources at distance d *from it*, and no pair is ever listed.
     """
-    spark = edges.sparkSession
-    scratch = scratch or Scratch(spark, "closeness")
+    scratch = scratch or Scratch(edges.sparkSession, "closeness")
     nodes = scratch.save(vertices(edges), "nodes")
     sizes = nodes.groupBy("network").agg(F.count(F.lit(1)).alias("n"))
     allowed = F.broadcast((sizes if max_nodes is None else sizes.where(F.col("n") <= max_nodes)).select("network"))
 
-    numbered = scratch.save(
-        dense_id(nodes.join(allowed, "network", "left_semi"), ["network", "id"], "v", 0, scratch), "numbered")
+    numbered = _numbered(nodes.join(allowed, "network", "left_semi"), scratch)
     near = both_ways(edges.where(F.col("source") != F.col("target"))).distinct()
-    arcs = (
-        near.join(numbered.select("network", F.col("id").alias("src"), F.col("v").alias("s")), ["network", "src"])
-        .join(numbered.select("network", F.col("id").alias("dst"), F.col("v").alias("t")), ["network", "dst"])
-        .select("s", "t")
-    )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    arcs = scratch.save(arcs, "arcs").repartition(parts, "s").persist()
+    arcs = _resident(_renumber(near, numbered), scratch)
 
     seen = [f"seen{i}" for i in range(_LANES)]
     new = [f"new{i}" for i in range(_LANES)]

@@ -135,7 +135,7 @@ INVERTED_INDEX = """
     SELECT doc_id, map_from_entries(collect_list(struct(word, positions))) AS abstract_inverted_index
     FROM (SELECT doc_id, word, collect_list(pos) AS positions
           FROM (SELECT doc_id, posexplode(split(trim(regexp_replace(text, '[ \\\\t\\\\n\\\\r]+', ' ')), ' ')) AS (pos, word)
-                FROM {documents})
+                FROM (SELECT /*+ REPARTITION(doc_id) */ doc_id, text FROM {documents}))
           GROUP BY doc_id, word)
     GROUP BY doc_id"""
 
