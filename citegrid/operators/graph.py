@@ -156,8 +156,10 @@ def _resident(arcs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _multiply(arcs: DataFrame, x: DataFrame) -> DataFrame:
+    # Merge: the arcs are in place and in order, and must not be broadcast in every step
+    # because their compressed files look small.
     return (
-        arcs.join(x.withColumnRenamed("v", "s"), "s")
+        arcs.join(x.withColumnRenamed("v", "s").hint("merge"), "s")
         .groupBy(F.col("t").alias("v")).agg(F.sum(F.col("x") * F.col("n")).alias("x"))
     )
 

@@ -63,7 +63,8 @@ def unknown_institutions(t):
     return R.unknown_institutions(t.affiliations)
 
 
-@query("sdg_pct", """WITH c AS (SELECT p_type AS sdg, count(*) AS count FROM part WHERE p_partkey % 5 <> 0 GROUP BY 1)
+@query("sdg_pct", """WITH labelled AS (SELECT CASE WHEN p_partkey % 5 <> 0 THEN p_type END AS sdg FROM part),
+    c AS (SELECT sdg, count(*) AS count FROM labelled WHERE sdg IS NOT NULL GROUP BY 1)
     SELECT sdg, count, round(100.0 * count / (SELECT sum(count) FROM c), 6) AS percentage FROM c""")
 def sdg_pct(t):
     labelled = t.metadata.select(F.get("sustainable_development_goals", F.lit(0))["display_name"].alias("sdg"))

@@ -84,10 +84,10 @@ def test_json_batches_round_trip(spark, tmp_path, rows):
     assert sorted(d for d in os.listdir(out) if d.startswith("batch")) == [f"batch_id={i}" for i in range(3)]
     assert spark.read.json(out).where("batch_id = 1").count() == 100
     for i in range(2):
-        with open(tmp_path / f"intermediateData_{i}.json", "w") as f:
+        with open(tmp_path / f"chunk_{i}.json", "w") as f:
             json.dump([{"id": f"W{i}", "keywords": [{"id": "k", "display_name": "K", "score": 0.5}],
                         "sustainable_development_goals": []}], f)
-    back = readers.read_json_records(spark, str(tmp_path / "intermediateData_*.json"), schemas.LABELS)
+    back = readers.read_json_records(spark, str(tmp_path / "chunk_*.json"), schemas.LABELS)
     assert sorted(r.id for r in back.collect()) == ["W0", "W1"]
 
 
