@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from citegrid.operators.keys import dense_id
 from citegrid.session import Scratch
 
+# Arcs of one vertex that a single task may hold in the iterative jobs.
+HUB_ARCS = 1_000_000
+
 
 def vertices(edges: DataFrame) -> DataFrame:
     """Distinct endpoints; works without an edge do not appear."""
@@ -93,7 +96,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 # --- eigenvector centrality -------------------------------------------------------
 
 def eigenvector(edges: DataFrame, steps: int = 500, tolerance: float = 1e-9, stride: int = 10,
-                scratch: Scratch | None = None) -> DataFrame:
+                hub_arcs: int = HUB_ARCS, scratch: Scratch | None = None) -> DataFrame:
     """Unweighted eigenvector centrality with the largest value of a network at 1.
 
     Power iteration on ``A + I`` (the shift stops bipartite graphs from swinging), a
@@ -106,7 +109,7 @@ def eigenvector(edges: DataFrame, steps: int = 500, tolerance: float = 1e-9, str
     loops = F.when(F.col("src") == F.col("dst"), F.lit(2)).otherwise(F.lit(1))
     counted = both_ways(edges).withColumn("n", loops).groupBy("network", "src", "dst").agg(F.sum("n").alias("n"))
     shift = numbered.select(F.col("v").alias("s"), F.col("v").alias("t"), F.lit(1).cast("bigint").alias("n"))
-    arcs = _resident(_renumber(counted, numbered, "n").unionByName(shift), scratch)
+    arcs, hubs = _resident(_renumber(counted, numbered, "n").unionByName(shift), hub_arcs, scratch)
     networks = numbered.select("v", "network")
     x = networks.withColumn("x", F.lit(1.0))
     done = 0
@@ -115,7 +118,7 @@ def eigenvector(edges: DataFrame, steps: int = 500, tolerance: float = 1e-9, str
             batch = min(stride, steps - done)
             y = x.select("v", "x")
             for _ in range(batch):
-                y = _multiply(arcs, y)
+                y = _multiply(arcs, hubs, y)
             raw = scratch.save(y.join(networks, "v"), "raw")
             top = raw.groupBy("network").agg(F.max("x").alias("top"))
             scaled = raw.join(F.broadcast(top), "network").select("v", "network", (F.col("x") / F.col("top")).alias("x"))
@@ -127,7 +130,7 @@ def eigenvector(edges: DataFrame, steps: int = 500, tolerance: float = 1e-9, str
                 break
     finally:
         arcs.unpersist()
-        scratch.drop("arcs", "raw")
+        scratch.drop("arcs", "hubs", "raw")
     return numbered.join(x.select("v", "x"), "v").select("network", "id", F.col("x").alias("eigen_centrality"))
 
 
@@ -145,21 +148,40 @@ def _renumber(arcs: DataFrame, numbered: DataFrame, *carry: str) -> DataFrame:
     )
 
 
-def _resident(arcs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Arcs shuffled and sorted by source once for all rounds.
+def _resident(arcs: DataFrame, hub_arcs: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """Arcs shuffled and sorted by source once for all rounds, and the hubs among the sources.
 
     A round's sums come out partitioned by vertex as the next round's join wants them,
-    so only one value per vertex and partition moves.
+    so only one value per vertex and partition moves. A cached side cannot be split
+    later, so the arcs of a vertex with more than ``hub_arcs`` are dealt into parts
+    ``p`` here; without any hub the part is left out.
     """
     parts = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return scratch.save(arcs, "arcs").repartition(parts, "s").sortWithinPartitions("s").persist()
-
-
-def _multiply(arcs: DataFrame, x: DataFrame) -> DataFrame:
+    stored = scratch.save(arcs, "arcs")
+    hubs = scratch.save(
+        stored.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub_arcs)
+        .select("s", F.ceil(F.col("n") / hub_arcs).cast("int").alias("parts")), "hubs")
+    if hubs.isEmpty():
+        return stored.repartition(parts, "s").sortWithinPartitions("s").persist(), None
+    part = F.pmod(F.xxhash64("t"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = stored.join(hubs, "s", "left").withColumn("p", part).drop("parts")
+    return dealt.repartition(parts, "s", "p").sortWithinPartitions("s", "p").persist(), hubs
+
+
+def _send(values: DataFrame, arcs: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Values of the vertices ``s`` along their arcs; a hub's value goes to each of its parts."""
+    if hubs is None:
+        return arcs.join(values, "s")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    spread = values.join(hubs, "s", "left").withColumn("p", copies).drop("parts")
+    return arcs.join(spread, ["s", "p"])
+
+
+def _multiply(arcs: DataFrame, hubs: DataFrame | None, x: DataFrame) -> DataFrame:
     # Merge: the arcs are in place and in order, and must not be broadcast in every step
     # because their compressed files look small.
     return (
-        arcs.join(x.withColumnRenamed("v", "s").hint("merge"), "s")
+        _send(x.withColumnRenamed("v", "s"), arcs.hint("merge"), hubs)
         .groupBy(F.col("t").alias("v")).agg(F.sum(F.col("x") * F.col("n")).alias("x"))
     )
 
@@ -172,7 +194,8 @@ _LANES = 16
 _GROUP = 64 * _LANES
 
 
-def closeness(edges: DataFrame, max_nodes: int | None = 50_000, scratch: Scratch | None = None) -> DataFrame:
+def closeness(edges: DataFrame, max_nodes: int | None = 50_000, hub_arcs: int = HUB_ARCS,
+              scratch: Scratch | None = None) -> DataFrame:
     """``(reached - 1) / sum of hops`` within the reachable set; null where isolated.
 
     Networks with more than ``max_nodes`` vertices get nulls (``None`` forces them).
@@ -188,7 +211,7 @@ def closeness(edges: DataFrame, max_nodes: int | None = 50_000, scratch: Scratch
 
     numbered = _numbered(nodes.join(allowed, "network", "left_semi"), scratch)
     near = both_ways(edges.where(F.col("source") != F.col("target"))).distinct()
-    arcs = _resident(_renumber(near, numbered), scratch)
+    arcs, hubs = _resident(_renumber(near, numbered), hub_arcs, scratch)
 
     seen = [f"seen{i}" for i in range(_LANES)]
     new = [f"new{i}" for i in range(_LANES)]
@@ -207,7 +230,7 @@ def closeness(edges: DataFrame, max_nodes: int | None = 50_000, scratch: Scratch
             hop += 1
             active = reduce(Column.__or__, [F.col(c) != 0 for c in new])
             heard = (
-                state.where(active).select(F.col("v").alias("s"), "g", *new).join(arcs, "s")
+                _send(state.where(active).select(F.col("v").alias("s"), "g", *new), arcs, hubs)
                 .groupBy(F.col("t").alias("v"), "g")
                 .agg(*[F.bit_or(c).alias(f"in{i}") for i, c in enumerate(new)])
             )
@@ -229,7 +252,7 @@ def closeness(edges: DataFrame, max_nodes: int | None = 50_000, scratch: Scratch
                 break
     finally:
         arcs.unpersist()
-        scratch.drop("arcs")
+        scratch.drop("arcs", "hubs")
     totals = state.groupBy("v").agg(F.sum("reached").alias("reached"), F.sum("hops").alias("hops"))
     value = F.try_divide(F.col("reached").cast("double"), F.col("hops"))
     scored = numbered.join(totals, "v").select("network", "id", value.alias("closeness"))

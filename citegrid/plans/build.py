@@ -33,7 +33,7 @@ def node_table(edges: DataFrame, works: DataFrame, closeness_max_nodes: int | No
         "louvain": lambda: community.louvain(edges, seed, scratch=scratch),
         "leiden": lambda: community.leiden(edges, seed, scratch=scratch),
         "degree": lambda: graph.degree(edges),
-        "closeness": lambda: graph.closeness(edges, closeness_max_nodes, scratch),
+        "closeness": lambda: graph.closeness(edges, closeness_max_nodes, scratch=scratch),
         "eigen": lambda: graph.eigenvector(edges, steps=eigen_steps, scratch=scratch),
     }
     nodes = graph.vertices(edges)

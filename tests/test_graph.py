@@ -84,6 +84,15 @@ def test_components_and_closeness(data):
     assert capped["b", 1000] == got["b", 1000]
 
 
+def test_hubs_in_parts_change_nothing(data):
+    _, edges = data
+    ring = edges.where("network = 'b'")
+    assert by_node(G.closeness(ring, hub_arcs=2), "closeness") == by_node(G.closeness(ring), "closeness")
+    one = by_node(G.eigenvector(ring, steps=4, tolerance=0), "eigen_centrality")
+    two = by_node(G.eigenvector(ring, steps=4, tolerance=0, stride=3, hub_arcs=2), "eigen_centrality")
+    assert two == pytest.approx(one)
+
+
 def test_closeness_beyond_one_source_group(spark):
     """More sources than one group of bits: a path of 1500 vertices in short pieces."""
     rows = [("p", i, i + 1, 1) for i in range(3000) if i % 2 == 0] + [("p", 0, 3000, 1), ("p", 0, 2999, 1)]
