@@ -26,11 +26,12 @@ def null_out(df: DataFrame, spellings: tuple[str, ...] = NA_SPELLINGS) -> DataFr
 
 
 def read_text_table(spark: SparkSession, path: str, schema: StructType, sep: str = ",",
-                    encoding: str = "UTF-8", multi_line: bool = True, row_idx: bool = False) -> DataFrame:
+                    encoding: str = "UTF-8", multi_line: bool = False, row_idx: bool = False) -> DataFrame:
     """Delimited text with a header, columns matched by position in ``schema``.
 
-    A missing or unreadable path fails at once. ``multi_line`` allows line breaks in
-    quotes but makes a file one task; large plain files should turn it off.
+    A missing path or a record that does not fit fails at once. Files are split among
+    tasks; ``multi_line`` allows line breaks in quotes, at the price of one task per file,
+    so write such tables as many files.
     """
     df = (
         spark.read.schema(schema).option("header", True).option("sep", sep).option("encoding", encoding)
@@ -91,7 +92,7 @@ def normalize_link(df: DataFrame) -> DataFrame:
 def _read_any(spark: SparkSession, path: str) -> DataFrame:
     if path.rstrip("/").endswith(".csv"):
         columns = _header(spark, path)
-        return read_csv(spark, path, schemas.table(**{c: schemas.STRING for c in columns}), multi_line=False)
+        return read_csv(spark, path, schemas.table(**{c: schemas.STRING for c in columns}))
     return spark.read.parquet(path)
 
 

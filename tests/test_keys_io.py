@@ -25,7 +25,7 @@ def test_row_idx_follows_the_file(spark, tmp_path):
         f.write("doi\n" + "".join(f"10.1/{i}\n" for i in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        got = readers.read_tsv(spark, path, schemas.DOIS, multi_line=False, row_idx=True).collect()
+        got = readers.read_tsv(spark, path, schemas.DOIS, row_idx=True).collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert all(r.doi == f"10.1/{r.row_idx}" for r in got) and len(got) == 5000
@@ -61,15 +61,22 @@ def test_missing_value_spellings_and_delimiters(spark, tmp_path, rows):
         path = str(tmp_path / f"t{ord(sep)}.csv")
         with open(path, "w") as f:
             f.write(sep.join(("Title", "DOI")) + "\n" + sep.join(('"a ""q""\nb"', "NA")) + "\n" + sep.join(("n/a", "10.1/NF")) + "\n")
-        got = {(r.Title, r.DOI) for r in read(spark, path, schemas.TITLES).collect()}
+        got = {(r.Title, r.DOI) for r in read(spark, path, schemas.TITLES, multi_line=True).collect()}
         assert got == {('a "q"\nb', None), (None, "10.1/NF")}
 
 
+def test_broken_record_fails(spark, tmp_path):
+    with open(tmp_path / "b.csv", "w") as f:
+        f.write('Title,DOI\n"a\nb",10.1/x\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_csv(spark, str(tmp_path / "b.csv"), schemas.TITLES).collect()
+
+
 def test_latin1(spark, tmp_path):
     path = str(tmp_path / "l.tsv")
     with open(path, "wb") as f:
         f.write(b"openalex_work_id\nW\xe9\n")
-    assert readers.read_latin1_tsv(spark, path, schemas.CORE_WORKS, multi_line=False).first()[0] == "Wé"
+    assert readers.read_latin1_tsv(spark, path, schemas.CORE_WORKS).first()[0] == "Wé"
 
 
 def test_missing_file_fails(spark, tmp_path):
