@@ -5,12 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from citegrid.plans import catalogue
 from compare import compare, connect
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 
-QUERIES, CHECKS = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, CHECKS = catalogue.QUERIES, catalogue.CHECKS
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +20,7 @@ def con():
 
 
 def test_checks_belong_to_queries():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(CHECKS) <= set(entry_points.oracle_sql())
     assert set(CHECKS) <= set(QUERIES)
     assert set(QUERIES) - set(CHECKS) == {"nodes_louvain", "nodes_leiden", "nodes_table"}
 
