@@ -37,7 +37,7 @@ WITH RECURSIVE w AS (
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
     WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 2), i -> array_to_string(words[i:i + 3], ' ')) END) AS g FROM w),
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
@@ -51,3 +51,40 @@ def _ngram_jaccard_join(spark, sf_dir):
     from citegrid.llm.ngram_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_substring_dedup", f"""
+WITH w AS (SELECT doc_id, {WORDS_SQL} AS words FROM documents),
+p AS (SELECT doc_id, words, unnest(CASE WHEN len(words) >= 35 THEN range(1, len(words) - 33) ELSE [] END) AS i FROM w),
+h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM p),
+c AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1),
+b AS (SELECT h.doc_id, list(h.i) AS pos FROM h JOIN c USING (h) GROUP BY 1),
+g AS (SELECT doc_id, list_distinct(flatten(list_transform(pos, lambda i: range(i, i + 35)))) AS gone FROM b)
+SELECT w.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN words
+    ELSE list_filter(words, lambda x, k: NOT list_contains(gone, k)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id)
+""")
+def _substring_dedup(spark, sf_dir):
+    from citegrid.llm.substring_dedup import removal_report
+
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_byte_bpe")
+def _byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from citegrid.llm.bpe import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                        public_tokenizers.PATTERN)
+
+
+@query("op3_token_planes")
+def _token_planes(spark, sf_dir):
+    import public_tokenizers
+
+    from citegrid.llm.token_planes import planes_round_trip
+
+    return planes_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
