@@ -14,8 +14,9 @@ Exact, for any similarity t above one half. Steps:
    compared with the smallest member of its groups: first by *hashed bitmaps*, whose
    bit counts bound the overlap from above, then by intersecting the sorted arrays.
 4. Groups that these links do not connect are compared member by member in blocks of
-   bounded size, again bitmaps first, skipping pairs that are connected already. A
-   block returns the links that join its parts, not all pairs.
+   bounded size, again bitmaps first, skipping pairs that are connected already. Only
+   members with a possible partner bring their sets along, and a block returns the
+   links that join its parts, not all pairs.
 5. The links' connected components are the result.
 
 Counts are combined before shuffling; the joins meet stored tables, so that a hot tile
@@ -38,7 +39,7 @@ from citegrid.session import Scratch
 
 SHINGLE = 4
 SIMILARITY = (85, 100)
-BITS = 1024
+LEAST_BITS, MOST_BITS = 256, 1 << 16
 # Bytes of sets in one block of step 4, and rows of a list that may be broadcast.
 BLOCK_BYTES = 8 << 20
 BROADCAST_ROWS = 1_000_000
@@ -138,11 +139,24 @@ def _class_rows(width: int):
     return run
 
 
-def bitmap(shingles: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Hashed bitmap of a set as 64-bit words."""
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Hashed bitmap of a set, of the first power of two from twice its size on."""
+    bits = min(max(LEAST_BITS, 1 << (2 * len(shingles)).bit_length()), MOST_BITS)
     flags = np.zeros(bits, bool)
-    flags[(mix(shingles) % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(flags).view(np.uint64)
+    flags[(mix(shingles) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def fold(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, larger ones folded to the size of the smallest."""
+    least = min(map(len, maps))
+    rows = []
+    for m in maps:
+        row = np.frombuffer(m, np.uint64)
+        if len(m) > least:
+            row = np.bitwise_or.reduce(row.reshape(-1, least // 8), axis=0)
+        rows.append(row)
+    return np.stack(rows)
 
 
 def overlap_bound(n_x, bits_x: np.ndarray, n_y, bits_y: np.ndarray):
@@ -169,7 +183,7 @@ def _set_rows(width: int):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s.tobytes() for s in sets], pa.binary()),
-                pa.array([bitmap(s).tobytes() for s in sets], pa.binary())],
+                pa.array([bitmap(s) for s in sets], pa.binary())],
                 names=["doc_id", "n", "shingles", "bits"])
     return run
 
@@ -180,11 +194,13 @@ def _check_pairs(similarity: tuple[int, int]):
             c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             if batch.num_rows == 0:
                 continue
-            n_x, n_y = (c[k].to_numpy() for k in ("n_x", "n_y"))
-            bits_x, bits_y = (np.frombuffer(b"".join(c[k].to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-                              for k in ("bits_x", "bits_y"))
-            maybe = np.flatnonzero(_enough(overlap_bound(n_x, bits_x, n_y, bits_y), n_x + n_y, similarity))
-            keep = [i for i in maybe.tolist() if _linked(
+            n_x, n_y = c["n_x"].to_pylist(), c["n_y"].to_pylist()
+            maybe = []
+            for i, (x, y) in enumerate(zip(c["bits_x"].to_pylist(), c["bits_y"].to_pylist())):
+                both = fold([x, y])
+                if _enough(overlap_bound(n_x[i], both[0], n_y[i], both[1]), n_x[i] + n_y[i], similarity):
+                    maybe.append(i)
+            keep = [i for i in maybe if _linked(
                 np.frombuffer(c["set_x"][i].as_py(), np.uint64),
                 np.frombuffer(c["set_y"][i].as_py(), np.uint64), similarity)]
             yield pa.RecordBatch.from_arrays(
@@ -193,28 +209,52 @@ def _check_pairs(similarity: tuple[int, int]):
     return run
 
 
+def _partners(n, side, part, bits, similarity) -> Iterator[tuple[int, np.ndarray]]:
+    """Per row of a block the later rows that it may link with and that lie in other parts.
+
+    Sizes ascend, so partners of a row form one range after it; ``part`` may change meanwhile.
+    """
+    for i in range(len(n) - 1):
+        end = int(np.searchsorted(n, n[i] * similarity[1] // similarity[0], side="right"))
+        rest = np.arange(i + 1, max(end, i + 1))
+        rest = rest[(part[rest] != part[i]) & ((side[rest] != side[i]) | (side[i] == 2))]
+        if len(rest):
+            rest = rest[_enough(overlap_bound(n[i], bits[i], n[rest], bits[rest]), n[i] + n[rest], similarity)]
+        if len(rest):
+            yield i, rest
+
+
+def _block_arrays(table: pa.Table):
+    table = table.sort_by([("n", "ascending"), ("doc_id", "ascending")])
+    number = {r: i for i, r in enumerate(dict.fromkeys(table["root"].to_pylist()))}
+    part = np.array([number[r] for r in table["root"].to_pylist()])
+    return table, table["n"].to_numpy(), table["side"].to_numpy(), part, fold(table["bits"].to_pylist())
+
+
+def _filter_block(similarity: tuple[int, int]):
+    """The rows of a block that may link with a row of another part, by their bitmaps."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table, n, side, part, bits = _block_arrays(table)
+        keep = np.zeros(len(n), bool)
+        for i, rest in _partners(n, side, part, bits, similarity):
+            keep[i] = True
+            keep[rest] = True
+        return table.filter(pa.array(keep)).select(["key", "lo", "hi", "side", "doc_id", "root", "n", "bits"])
+
+    return run
+
+
 def _compare_block(similarity: tuple[int, int]):
     """Links that join the parts of a block of two sides (``side`` 0, 1, or 2 for both)."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("n", "ascending"), ("doc_id", "ascending")])
-        ids, roots = table["doc_id"].to_pylist(), table["root"].to_pylist()
-        n, side = table["n"].to_numpy(), table["side"].to_numpy()
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
-        packed = table["shingles"].to_pylist()
-        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-        part = np.array([number[r] for r in roots])
+        table, n, side, part, bits = _block_arrays(table)
+        ids, packed = table["doc_id"].to_pylist(), table["shingles"].to_pylist()
         found: list[tuple[int, int]] = []
-        for i in range(len(ids) - 1):
-            # Sizes ascend, so partners of row i form one range after it.
-            end = int(np.searchsorted(n, n[i] * similarity[1] // similarity[0], side="right"))
-            rest = np.arange(i + 1, max(end, i + 1))
-            rest = rest[(part[rest] != part[i]) & ((side[rest] != side[i]) | (side[i] == 2))]
-            if len(rest) == 0:
-                continue
-            bound = overlap_bound(n[i], bits[i], n[rest], bits[rest])
+        for i, rest in _partners(n, side, part, bits, similarity):
             x = np.frombuffer(packed[i], np.uint64)
-            for j in rest[_enough(bound, n[i] + n[rest], similarity)].tolist():
+            for j in rest.tolist():
                 if part[j] != part[i] and _linked(x, np.frombuffer(packed[j], np.uint64), similarity):
                     found.append((ids[i], ids[j]))
                     part[part == part[j]] = part[i]
@@ -304,8 +344,13 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
         "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
         .alias("side"), "doc_id", "root")
+    block = ["key", "lo", "hi"]
+    near = scratch.save(
+        cells.join(sets.select("doc_id", "n", "bits"), "doc_id").groupBy(*block).applyInArrow(
+            _filter_block(similarity),
+            "key bigint, lo int, hi int, side int, doc_id bigint, root bigint, n bigint, bits binary"), "near")
     more = scratch.save(
-        cells.join(sets, "doc_id").groupBy("key", "lo", "hi")
+        near.join(sets.select("doc_id", "n", "shingles"), ["doc_id", "n"]).groupBy(*block)
         .applyInArrow(_compare_block(similarity), "source bigint, target bigint").distinct(), "more")
     every = roots
     if not more.isEmpty():
@@ -317,5 +362,5 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "result")
     scratch.drop("members", "classes", "groups", "grouped", "wanted", "sets", "pairs", "links", "roots", "apart",
-                 "size", "more", "every", "known")
+                 "size", "near", "more", "every", "known")
     return out
