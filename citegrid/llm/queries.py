@@ -88,3 +88,44 @@ def _token_planes(spark, sf_dir):
     from citegrid.llm.token_planes import planes_round_trip
 
     return planes_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@query("op10_pareto_mixing", f"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size,
+    (('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size,
+    [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM d GROUP BY source),
+-- Sources in the order in which a rising common level fills them.
+f AS (SELECT *, 2.0::DOUBLE * source_size AS room, row_number() OVER w AS k,
+    sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM s WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST)),
+l AS (SELECT coalesce(min_by(rest / open, k) FILTER (WHERE rest / open * weight <= room), max(rest / open)) AS level FROM f),
+g AS (SELECT source, source_size, CASE WHEN weight * level > room THEN room ELSE weight * level END AS target FROM f, l),
+e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(2.0::DOUBLE, target / source_size::DOUBLE) ELSE 0 END AS expected
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+p AS (SELECT *, floor(expected) AS whole, expected - floor(expected) AS p FROM e),
+o AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS odds FROM p),
+r AS (SELECT *, odds / (1 + odds) AS rank, round(target)::BIGINT - sum(whole * size) OVER (PARTITION BY source) AS need FROM o),
+c AS (SELECT *, coalesce(sum(size) FILTER (WHERE rank IS NOT NULL) OVER (PARTITION BY source ORDER BY rank NULLS LAST, size, doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM r),
+t AS (SELECT *, rank IS NOT NULL AND ahead < need AND 2 * ahead + size <= 2 * need AS taken FROM c),
+m AS (SELECT *, need - coalesce(sum(size) FILTER (WHERE taken) OVER (PARTITION BY source), 0) AS short FROM t),
+x AS (SELECT source, min({{'left': abs(short - CASE WHEN taken THEN -size ELSE size END), 'rank': rank}}).rank AS swap
+  FROM m WHERE rank IS NOT NULL AND need > 0 AND abs(short - CASE WHEN taken THEN -size ELSE size END) < abs(short) GROUP BY source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies
+FROM (SELECT m.*, (whole + (taken <> coalesce(rank = swap, false))::INT)::INT AS copies
+  FROM m LEFT JOIN x ON m.source IS NOT DISTINCT FROM x.source) q
+""")
+def _pareto_mixing(spark, sf_dir):
+    from citegrid.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_nbsvm")
+def _quality_nbsvm(spark, sf_dir):
+    from citegrid.llm.quality import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
