@@ -129,3 +129,25 @@ def _quality_nbsvm(spark, sf_dir):
     from citegrid.llm.quality import score_texts
 
     return score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_nra_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def _nra_topk(spark, sf_dir):
+    from citegrid.llm.topk_nra import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_permutation_index")
+def _permutation_index(spark, sf_dir):
+    from citegrid.llm.permutation_index import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
