@@ -151,3 +151,19 @@ def _permutation_index(spark, sf_dir):
     from citegrid.llm.permutation_index import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op2_warc_dictionary")
+def _warc_dictionary(spark, sf_dir):
+    from citegrid.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def _register_license_scan() -> None:
+    from citegrid.llm.license_scan import scan, scan_sql
+
+    query("op1_license_scan", scan_sql())(lambda spark, sf_dir: scan(table(spark, sf_dir, "documents")))
+
+
+_register_license_scan()

@@ -24,7 +24,7 @@ def create(uri: str):
     """A stream to a new file; missing folders are made."""
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def open_file(uri: str):
