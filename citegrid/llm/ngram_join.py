@@ -364,3 +364,24 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
     scratch.drop("members", "classes", "groups", "grouped", "wanted", "sets", "pairs", "links", "roots", "apart",
                  "size", "near", "more", "every", "known")
     return out
+
+
+def one_per_component(docs: DataFrame, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``docs`` with one document per component, the one with the smallest id; columns unchanged.
+
+    Rows without ``doc_id`` stay. Of rows that repeat an id the smallest stays.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "one-per-component")
+    found = jaccard_components(docs, **options)
+    gone, seen = scratch.measure(
+        found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("doc_id")).distinct(),
+        "gone", F.count(F.lit(1)).alias("rows"))
+    kept = docs.join(F.broadcast(gone) if seen["rows"] <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    again = scratch.save(ids.where("n > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(
+        kept.join(again, "doc_id", "left_semi").select("doc_id", row).groupBy("doc_id")
+        .agg(F.min("row").alias("row")).select("row.*"))

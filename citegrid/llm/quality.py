@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,3 +221,22 @@ def score_texts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
                        F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_score(slope, offset, weights, threshold),
                            "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def _keep(slope: float, offset: float, weights: np.ndarray, least: float, text: int):
+    score = _score(slope, offset, weights, least)
+
+    def run(batches):
+        for batch in batches:
+            ids = pa.nulls(batch.num_rows, pa.int64())
+            columns = pa.RecordBatch.from_arrays(
+                [ids, pa.nulls(batch.num_rows, pa.bool_()), batch.column(text).cast(pa.string())], names=["a", "b", "c"])
+            for scored in score([columns]):
+                yield batch.filter(pa.compute.equal(scored.column(3), 1))
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = THRESHOLD, **fit) -> DataFrame:
+    """Rows of ``docs`` whose score is at least ``least``, all columns as they are."""
+    slope, offset, weights = fit_model(docs, labels, **fit)
+    return docs.mapInArrow(_keep(slope, offset, weights, least, docs.columns.index("text")), docs.schema)
