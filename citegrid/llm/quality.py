@@ -198,12 +198,14 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_
     ratio = log_ratio(bad, good)
     # At most fit_rows ids, so they may be broadcast.
     chosen = F.broadcast(known.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(fit_rows))
-    row = (
+    found = (
         texts.join(chosen, "doc_id").select("text", "quality", "turn").repartition(1).sortWithinPartitions("turn", "text")
         .select("text", "quality").mapInArrow(_fit(ratio, fit_features, cost), "slope double, offset double, weights binary")
-        .collect()[0])
+        .collect())
     scratch.drop("known")
-    return row["slope"], row["offset"], np.frombuffer(row["weights"], "<f4")
+    if not found:  # no training row
+        return 1.0, 0.0, np.zeros(DIMS, np.float32)
+    return found[0]["slope"], found[0]["offset"], np.frombuffer(found[0]["weights"], "<f4")
 
 
 def score_texts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **fit) -> DataFrame:
