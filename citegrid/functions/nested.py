@@ -50,11 +50,25 @@ def keywords_long(df: DataFrame, key: str = "id", column: str = "keywords") -> D
     return df.select(key, F.posexplode_outer(display_names(F.col(column))).alias("pos", "keyword"))
 
 
-def keywords_wide(df: DataFrame, width: int, key: str = "id", column: str = "keywords") -> DataFrame:
+def keywords_wide(df: DataFrame, width: int | None = None, key: str = "id", column: str = "keywords") -> DataFrame:
+    """One column per keyword position; without a ``width`` as many as the longest list has.
+
+    A list longer than a given width is an error, so no keyword is lost.
+    """
     names = display_names(F.col(column))
+    if width is not None:
+        names = F.when(F.size(column) > width, F.raise_error(F.lit(f"more than {width} keywords"))).otherwise(names)
+    if width is None:
+        width = df.select(F.max(F.size(column))).first()[0] or 0
     return df.select(key, *[F.get(names, F.lit(i)).alias(f"keyword_{i}") for i in range(width)])
 
 
+def records_to_columns(df: DataFrame, column: str, fields: tuple[str, ...], key: str = "id") -> DataFrame:
+    """One row per record of a list, its fields as columns beside the key and its position."""
+    return df.select(key, F.posexplode(F.col(column)).alias("pos", "record")).select(
+        key, "pos", *[F.col(f"record.{f}").alias(f) for f in fields])
+
+
 def id_from_link(link: Column) -> Column:
     """Fourth ``/``-separated part of an identifier link."""
     return F.try_element_at(F.split(link, "/"), F.lit(4))

@@ -55,10 +55,13 @@ def _local_moves(arcs: DataFrame, nodes: DataFrame, seed: int, max_rounds: int,
                  scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
     """Best partition found from ``nodes.c``: ``(network, v, k, own, c)`` and its modularity.
 
+    A network rests once two rounds moved none of its vertices or brought it less than
+    ``min_gain``; its vertices stay from then on, so its result does not depend on the
+    networks beside it. One that has not come to rest after ``max_rounds`` is an error.
     Degrees do not change within a level, so the price of joining a community of total
     ``t``, ``k / m2 * t``, is carried as a rate on the arcs and needs no join of its own.
     """
-    twice = F.broadcast(nodes.groupBy("network").agg(F.sum("k").alias("m2")))
+    twice = nodes.groupBy("network").agg(F.sum("k").alias("m2"))
     rated = scratch.save(
         nodes.join(twice, "network")
         .withColumn("rate", F.coalesce(F.try_divide("k", "m2"), F.lit(0.0))), "rated")
@@ -67,26 +70,34 @@ def _local_moves(arcs: DataFrame, nodes: DataFrame, seed: int, max_rounds: int,
     totals = {r.network: r.m2 for r in twice.collect()}  # one row per network
     state = rated.select("network", "v", "k", "own", "rate", "c", F.col("c").alias("best"))
     best: dict[str, float] = {}
-    history: list[float] = []
-    idle = 0
+    history: dict[str, list[float]] = {n: [] for n in totals}
+    idle = dict.fromkeys(totals, 0)
+    active = set(totals)
     for turn in range(max_rounds):
-        after, seen = scratch.measure(
-            _round(arcs, state, _half("v", turn, seed)), "moves", *_progress(list(totals)))
-        quality = {
-            n: (seen[f"inside_{i}"] / m2 - seen[f"squares_{i}"] / m2 ** 2) if m2 else 0.0
-            for i, (n, m2) in enumerate(totals.items())
-        }
-        better = [n for n, q in quality.items() if q > best.get(n, float("-inf"))]
-        best.update({n: quality[n] for n in better})
+        going = _half("v", turn, seed)
+        if len(active) < len(totals):
+            going = going & F.col("network").isin(sorted(active))
+        after, seen = scratch.measure(_round(arcs, state, going), "moves", *_progress(list(totals)))
+        better = []
+        for i, (n, m2) in enumerate(totals.items()):
+            if n not in active:
+                continue
+            quality = (seen[f"inside_{i}"] / m2 - seen[f"squares_{i}"] / m2 ** 2) if m2 else 0.0
+            if quality > best.get(n, float("-inf")):
+                best[n] = quality
+                better.append(n)
+            known = history[n]
+            known.append(best[n])
+            idle[n] = 0 if seen[f"moved_{i}"] else idle[n] + 1
+            if idle[n] == 2 or (len(known) > 2 and known[-1] - known[-3] < min_gain and known[-1] > known[0]):
+                active.discard(n)
         improved = F.col("network").isin(better) if better else F.lit(False)
         state = after.select("network", "v", "k", "own", "rate", F.col("next").alias("c"),
                              F.when(improved, F.col("c")).otherwise(F.col("best")).alias("best"))
-        history.append(sum(best.values()))
-        # Two rounds without a gain worth a pass end the level; the next one goes on from there.
-        settled = len(history) > 2 and history[-1] - history[-3] < 10 * min_gain and history[-1] > history[0]
-        idle = 0 if seen["moved"] else idle + 1
-        if settled or idle == 2:
+        if not active:
             break
+    else:
+        raise RuntimeError(f"communities of {sorted(active)} did not come to rest in {max_rounds} rounds")
     done = scratch.save(state.select("network", "v", "k", "own", F.col("best").alias("c")), "partition")
     return done, best
 
@@ -97,10 +108,11 @@ def _progress(networks: list[str]) -> list[Column]:
     The squared community totals are a sum of ``k * total`` over the vertices, so no
     grouping is needed.
     """
-    sums = [F.count_if(F.col("next") != F.col("c")).alias("moved")]
+    sums = []
     for i, name in enumerate(networks):
         here = F.col("network") == name
-        sums += [F.sum(F.when(here, F.col("inside")).otherwise(0.0)).alias(f"inside_{i}"),
+        sums += [F.count_if(here & (F.col("next") != F.col("c"))).alias(f"moved_{i}"),
+                 F.sum(F.when(here, F.col("inside")).otherwise(0.0)).alias(f"inside_{i}"),
                  F.sum(F.when(here, F.col("k") * F.col("tot")).otherwise(0.0)).alias(f"squares_{i}")]
     return sums
 
@@ -144,7 +156,7 @@ def _refine(arcs: DataFrame, parts: DataFrame, seed: int, rounds: int, scratch:
     modularity most. Only vertices of the moving half move and only into parts that
     cannot dissolve in the same round, so each part stays connected.
     """
-    twice = F.broadcast(parts.groupBy("network").agg(F.sum("k").alias("m2")))
+    twice = parts.groupBy("network").agg(F.sum("k").alias("m2"))
     inside = (
         arcs.join(parts.select("network", F.col("v").alias("src"), F.col("c").alias("c")), ["network", "src"])
         .join(parts.select("network", F.col("v").alias("dst"), F.col("c").alias("c2")), ["network", "dst"])
@@ -191,6 +203,8 @@ def _refine(arcs: DataFrame, parts: DataFrame, seed: int, rounds: int, scratch:
         idle = 0 if seen["moved"] else idle + 1
         if idle == 2:
             break
+    else:
+        raise RuntimeError(f"refinement did not come to rest in {rounds} rounds")
     return state.select("network", "v", "k", "own", "c", "s")
 
 
@@ -216,10 +230,15 @@ def _contract(arcs: DataFrame, state: DataFrame, group: str, scratch: Scratch) -
 
 
 def _follow(members: DataFrame, step: DataFrame, label: str, scratch: Scratch) -> DataFrame:
-    """Carry the original vertices along one renaming."""
+    """Carry the original vertices along one renaming; networks that are done keep their place."""
     return scratch.save(
-        members.join(step.select("network", F.col("v").alias("at"), F.col(label).alias("to")), ["network", "at"])
-        .select("network", "id", F.col("to").alias("at")), "members")
+        members.join(step.select("network", F.col("v").alias("at"), F.col(label).alias("to")), ["network", "at"], "left")
+        .select("network", "id", F.coalesce("to", "at").alias("at")), "members")
+
+
+def _gained(best: dict[str, float], reached: dict[str, float], min_gain: float) -> list[str]:
+    """Networks that a level improved by ``min_gain`` at least; only they go on."""
+    return sorted(n for n, q in best.items() if q - reached.get(n, float("-inf")) >= min_gain)
 
 
 def _smallest_member(members: DataFrame, label: str) -> DataFrame:
@@ -227,28 +246,35 @@ def _smallest_member(members: DataFrame, label: str) -> DataFrame:
     return members.join(name, ["network", "at"]).select("network", "id", label)
 
 
-def louvain(edges: DataFrame, seed: int = 42, max_levels: int = 10, max_rounds: int = 12,
-            min_gain: float = 1e-4, scratch: Scratch | None = None) -> DataFrame:
-    """``(network, id, cluster_louvain)`` by weighted modularity; a label is the smallest member."""
+def louvain(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds: int = 1_000,
+            min_gain: float = 1e-6, scratch: Scratch | None = None) -> DataFrame:
+    """``(network, id, cluster_louvain)`` by weighted modularity; a label is the smallest member.
+
+    A network ends at the level that brings it less than ``min_gain``; the limits are
+    errors, not results.
+    """
     scratch = scratch or Scratch(edges.sparkSession, "louvain")
     arcs, nodes = _level_zero(edges, scratch)
     members = scratch.save(nodes.select("network", F.col("v").alias("id"), F.col("v").alias("at")), "members")
-    reached = float("-inf")
+    reached: dict[str, float] = {}
     for level in range(max_levels):
         state, best = _local_moves(
             arcs, nodes.withColumn("c", F.col("v")), seed + 1000 * level, max_rounds, min_gain, scratch)
-        quality = sum(best.values())
-        if quality - reached < min_gain:
+        going = _gained(best, reached, min_gain)
+        if not going:
             break
-        reached = quality
-        arcs, nodes, step = _contract(arcs, state, "c", scratch)
+        reached.update({n: best[n] for n in going})
+        here = F.col("network").isin(going)
+        arcs, nodes, step = _contract(arcs.where(here), state.where(here), "c", scratch)
         nodes = scratch.save(nodes, "nodes")
         members = _follow(members, step, "rep", scratch)
+    else:
+        raise RuntimeError(f"louvain did not end in {max_levels} levels")
     return _smallest_member(members, "cluster_louvain")
 
 
-def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 10, max_rounds: int = 12,
-           refine_rounds: int = 8, min_gain: float = 1e-4, scratch: Scratch | None = None) -> DataFrame:
+def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds: int = 1_000,
+           refine_rounds: int = 1_000, min_gain: float = 1e-6, scratch: Scratch | None = None) -> DataFrame:
     """``(network, id, cluster_leiden)``: as Louvain, but contracting refined communities.
 
     Parts of a community stay separate vertices of the next level and start there in
@@ -259,21 +285,25 @@ def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 10, max_rounds: i
     arcs, nodes = _level_zero(edges, scratch)
     members = scratch.save(nodes.select("network", F.col("v").alias("id"), F.col("v").alias("at")), "members")
     nodes = nodes.withColumn("c", F.col("v"))
-    reached = float("-inf")
-    final = None
+    reached: dict[str, float] = {}
+    final = members
     for level in range(max_levels):
         state, best = _local_moves(arcs, nodes, seed + 1000 * level, max_rounds, min_gain, scratch)
-        quality = sum(best.values())
-        if quality - reached < min_gain and final is not None:
+        going = _gained(best, reached, min_gain)
+        if not going:
             break
-        reached = quality
-        final = scratch.save(
-            members.join(state.select("network", F.col("v").alias("at"), "c"), ["network", "at"])
-            .select("network", "id", F.col("c").alias("at")), "final")
-        refined = _refine(arcs, state, seed + 1000 * level, refine_rounds, scratch)
-        arcs, nodes, step = _contract(arcs, refined, "s", scratch)
+        reached.update({n: best[n] for n in going})
+        here = F.col("network").isin(going)
+        state = scratch.save(state.where(here), "going")
+        found = members.join(state.select("network", F.col("v").alias("at"), "c"), ["network", "at"]).select(
+            "network", "id", F.col("c").alias("at"))
+        final = scratch.save(final.where(~here).unionByName(found), "final")
+        refined = _refine(arcs.where(here), state, seed + 1000 * level, refine_rounds, scratch)
+        arcs, nodes, step = _contract(arcs.where(here), refined, "s", scratch)
         nodes = scratch.save(nodes, "nodes")
         members = _follow(members, step, "rep", scratch)
+    else:
+        raise RuntimeError(f"leiden did not end in {max_levels} levels")
     return _connected(edges, final, scratch)
 
 

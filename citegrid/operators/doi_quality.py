@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.functions import doi as D
+from citegrid.session import Scratch
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -103,13 +104,19 @@ def error_report(df: DataFrame, registry: DataFrame | None = None, column: str =
     return report
 
 
-def override(df: DataFrame, corrections: DataFrame, column: str = "doi") -> DataFrame:
-    """Replace the value of listed rows; a listed null empties the row, unknown rows are ignored."""
-    fixes = corrections.select("row_idx", F.col(column).alias("_fix"), F.lit(True).alias("_listed"))
+def override(df: DataFrame, corrections: DataFrame, column: str = "doi", order: str | None = None) -> DataFrame:
+    """Replace the value of listed rows; a listed null empties the row, unknown rows are ignored.
+
+    Of several corrections of a row the last by ``order`` counts; without an order, or
+    among equals, the greatest value, a null only if there is nothing else.
+    """
+    rank = [order] if order else []
+    fixes = corrections.groupBy("row_idx").agg(
+        F.max(F.struct(*rank, F.col(column).alias("_fix"))).alias("_last"))
     return (
         df.join(fixes, "row_idx", "left")
-        .withColumn(column, F.when(F.col("_listed"), F.col("_fix")).otherwise(F.col(column)))
-        .drop("_fix", "_listed")
+        .withColumn(column, F.when(F.col("_last").isNotNull(), F.col("_last._fix")).otherwise(F.col(column)))
+        .drop("_last")
     )
 
 
@@ -120,10 +127,10 @@ def exclude_rows(df: DataFrame, rows: DataFrame) -> DataFrame:
 
 def duplicates(df: DataFrame, column: str = "doi") -> DataFrame:
     """All rows whose DOI occurs more than once, with its number of rows."""
-    repeated = (
+    # Stored, so that the join meets two plain tables and a DOI on many rows can be split.
+    repeated = Scratch(df.sparkSession, "duplicates").save(
         df.where(F.col(column).isNotNull()).groupBy(column)
-        .agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
-    )
+        .agg(F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1"), "repeated")
     return df.join(repeated, column)
 
 

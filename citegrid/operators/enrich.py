@@ -10,16 +10,28 @@ from citegrid.functions.doi import ends_with_period
 NOT_FOUND = "Resource not found"
 
 
+def one_per_key(table: DataFrame, key: str) -> DataFrame:
+    """One row per key, so that a join cannot multiply rows: of several the first by content.
+
+    Rows are compared as JSON text, because records may hold maps, which have no order.
+    """
+    rest = F.struct(*[c for c in table.columns if c != key])
+    return (
+        table.groupBy(key).agg(F.min_by(rest, F.to_json(rest)).alias("_row")).select(key, "_row.*")
+        if len(table.columns) > 1 else table.distinct()
+    )
+
+
 def registration_agency(df: DataFrame, registry: DataFrame, column: str = "doi") -> DataFrame:
     """Agency of each DOI; unknown DOIs are marked, rows without a DOI stay null."""
-    agencies = registry.select(F.col("doi").alias(column), "agency")
+    agencies = registry.groupBy(F.col("doi").alias(column)).agg(F.min("agency").alias("agency"))
     found = F.when(F.col(column).isNotNull(), F.coalesce("agency", F.lit(NOT_FOUND)))
     return df.join(agencies, column, "left").withColumn("registration_agency", found).drop("agency")
 
 
 def registration_status(df: DataFrame, registry: DataFrame, column: str = "doi",
                         found: str = "ok", name: str = "registration_check") -> DataFrame:
-    known = registry.select(F.col("doi").alias(column), F.lit(found).alias("_status"))
+    known = registry.select(F.col("doi").alias(column)).distinct().withColumn("_status", F.lit(found))
     status = F.when(F.col(column).isNotNull(), F.coalesce("_status", F.lit(NOT_FOUND)))
     return df.join(known, column, "left").withColumn(name, status).drop("_status")
 
@@ -52,12 +64,12 @@ def fill_missing(results: DataFrame, inputs: DataFrame) -> DataFrame:
 
 def records_by_id(ids: DataFrame, snapshot: DataFrame, key: str = "id") -> DataFrame:
     """Full record for each id; an id without a record keeps a row of nulls."""
-    return ids.join(snapshot, key, "left")
+    return ids.join(one_per_key(snapshot, key), key, "left")
 
 
 def labels_by_id(ids: DataFrame, snapshot: DataFrame, key: str = "id") -> DataFrame:
     """Keywords and development-goal labels only."""
-    return ids.join(snapshot.select(key, "keywords", "sustainable_development_goals"), key, "left")
+    return records_by_id(ids, snapshot.select(key, "keywords", "sustainable_development_goals"), key)
 
 
 def core_flag(nodes: DataFrame, core_works: DataFrame) -> DataFrame:
@@ -68,7 +80,7 @@ def core_flag(nodes: DataFrame, core_works: DataFrame) -> DataFrame:
 
 def attach_sdg(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels(oa_id, sdgs)`` on the node label."""
-    return nodes.join(labels, F.col("Label") == F.col("oa_id"), "left")
+    return nodes.join(one_per_key(labels, "oa_id"), F.col("Label") == F.col("oa_id"), "left")
 
 
 def listed_in_corpus(listed: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -79,4 +91,4 @@ def listed_in_corpus(listed: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def core_subset(works: DataFrame, core_works: DataFrame) -> DataFrame:
     """Full rows of the core works."""
-    return works.join(core_works.select("openalex_work_id"), "openalex_work_id")
+    return works.join(core_works.select("openalex_work_id").distinct(), "openalex_work_id")

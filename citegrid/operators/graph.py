@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int
     for _ in range(max_rounds):
         # The round changed nothing if count and digest of the pairs are unchanged.
         links, now = scratch.measure(
-            _small_star(_large_star(links)), "links", F.count(F.lit(1)).alias("n"),
+            _small_star(_large_star(links, scratch), scratch), "links", F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("network", "u", "v").cast("decimal(38,0)")).alias("digest"))
         if now == mark:
             break
@@ -74,20 +76,24 @@ def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int
         "component", F.coalesce("component", "id"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """For each vertex: its larger neighbours point to the minimum around it."""
     both = links.select("network", "u", "v").unionByName(
         links.select("network", F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("network", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # Minima are stored before they are joined: the centre of a giant star is one key, which
+    # Spark can split only if neither side is an aggregate on it.
+    low = scratch.save(
+        both.groupBy("network", "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
     return (
         both.where(F.col("v") > F.col("u")).join(low, ["network", "u"])
         .select("network", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     )
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """For each vertex: it and its smaller neighbours point to the smallest of them."""
-    low = links.groupBy("network", "u").agg(F.min("v").alias("m"))
+    links = scratch.save(links, "half")
+    low = scratch.save(links.groupBy("network", "u").agg(F.min("v").alias("m")), "lowest")
     rest = links.join(low, ["network", "u"]).where(F.col("v") != F.col("m")).select(
         "network", F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(low.select("network", "u", F.col("m").alias("v"))).distinct()
@@ -95,43 +101,101 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 # --- eigenvector centrality -------------------------------------------------------
 
-def eigenvector(edges: DataFrame, steps: int = 500, tolerance: float = 1e-9, stride: int = 10,
-                hub_arcs: int = HUB_ARCS, scratch: Scratch | None = None) -> DataFrame:
+# Components up to this size are solved whole, each in one task (a dense matrix of 32 MB).
+DENSE_VERTICES = 2_000
+
+
+def eigenvector(edges: DataFrame, tolerance: float = 1e-10, max_steps: int = 100_000, stride: int = 10,
+                dense_vertices: int = DENSE_VERTICES, hub_arcs: int = HUB_ARCS,
+                scratch: Scratch | None = None) -> DataFrame:
     """Unweighted eigenvector centrality with the largest value of a network at 1.
 
-    Power iteration on ``A + I`` (the shift stops bipartite graphs from swinging), a
-    self-loop counting twice in ``A``. ``stride`` steps form one Spark job, followed by
-    scaling and a convergence test; ``tolerance=0`` runs exactly ``steps`` steps.
+    It is the limit of power iteration on ``A + I`` from equal values, a self-loop
+    counting twice in ``A``. The matrix falls into components, each with one leading
+    vector: small components are solved directly, large ones by power iteration until
+    the residual ``max|Ax - lx|`` is at most ``tolerance`` times ``l * max(x)``. In the
+    limit only components with the network's largest eigenvalue keep values, in
+    proportion to what the start has of their vectors. A component that has not
+    converged after ``max_steps`` is an error.
     """
     scratch = scratch or Scratch(edges.sparkSession, "eigenvector")
-    numbered = _numbered(vertices(edges), scratch)
-    # Parallel edges become a multiplicity.
     loops = F.when(F.col("src") == F.col("dst"), F.lit(2)).otherwise(F.lit(1))
-    counted = both_ways(edges).withColumn("n", loops).groupBy("network", "src", "dst").agg(F.sum("n").alias("n"))
+    member = scratch.save(components(edges), "member")
+    # Parallel edges become a multiplicity; both ends of an arc lie in one component.
+    counted = scratch.save(
+        both_ways(edges).withColumn("n", loops).groupBy("network", "src", "dst").agg(F.sum("n").alias("n"))
+        .join(member.withColumnRenamed("id", "src"), ["network", "src"]), "counted")
+    sizes = scratch.save(
+        member.groupBy("network", "component").agg(F.count(F.lit(1)).alias("size")).withColumn(
+            "small", F.col("size") <= dense_vertices), "sizes")
+    part = ["network", "component"]
+    solved = scratch.save(
+        counted.join(sizes.where("small").select(*part), part, "left_semi").groupBy(*part)
+        .applyInPandas(_leading, "network string, component bigint, id bigint, x double, value double"), "solved")
+    large = sizes.where("NOT small")
+    if not large.isEmpty():
+        solved = solved.unionByName(_iterate(
+            counted.join(large.select(*part), part, "left_semi"), member.join(large.select(*part), part, "left_semi"),
+            tolerance, max_steps, stride, hub_arcs, scratch))
+    share = solved.groupBy(*part).agg(
+        F.first("value").alias("value"), (F.sum("x") / F.sum(F.col("x") * F.col("x"))).alias("share"),
+        F.max("x").alias("top"))
+    leads = share.groupBy("network").agg(F.max("value").alias("most"))
+    led = scratch.save(
+        share.join(leads, "network").where(F.col("value") >= F.col("most") - 1e-8 * (1 + F.col("most"))), "led")
+    tops = led.groupBy("network").agg(F.max(F.col("share") * F.col("top")).alias("most_x"))
+    scale = led.join(tops, "network").select(*part, (F.col("share") / F.col("most_x")).alias("scale"))
+    return scratch.save(
+        solved.join(scale, part, "left").select(
+            "network", "id", (F.col("x") * F.coalesce("scale", F.lit(0.0))).alias("eigen_centrality")), "centrality")
+
+
+def _leading(arcs: pd.DataFrame) -> pd.DataFrame:
+    """Leading eigenvector and eigenvalue of one component."""
+    ids = np.unique(np.concatenate([arcs["src"], arcs["dst"]]))
+    matrix = np.zeros((len(ids), len(ids)))
+    matrix[np.searchsorted(ids, arcs["src"]), np.searchsorted(ids, arcs["dst"])] = arcs["n"]
+    values, vectors = np.linalg.eigh(matrix)
+    return pd.DataFrame({"network": arcs["network"].iloc[0], "component": arcs["component"].iloc[0], "id": ids,
+                         "x": np.abs(vectors[:, -1]), "value": values[-1]})
+
+
+def _iterate(counted: DataFrame, members: DataFrame, tolerance: float, max_steps: int, stride: int,
+             hub_arcs: int, scratch: Scratch) -> DataFrame:
+    """Power iteration on ``A + I`` for all components of ``members`` at once.
+
+    ``stride`` steps form one Spark job, which ends with scaling and the residual test.
+    """
+    numbered = _numbered(members, scratch)
     shift = numbered.select(F.col("v").alias("s"), F.col("v").alias("t"), F.lit(1).cast("bigint").alias("n"))
     arcs, hubs = _resident(_renumber(counted, numbered, "n").unionByName(shift), hub_arcs, scratch)
-    networks = numbered.select("v", "network")
-    x = networks.withColumn("x", F.lit(1.0))
-    done = 0
+    part = ["network", "component"]
+    x = numbered.select("v", *part, F.lit(1.0).alias("x"))
+    done, left = 0, 1
     try:
-        while done < steps:
-            batch = min(stride, steps - done)
+        while left:
+            if done >= max_steps:
+                raise RuntimeError(f"eigenvector: {left} components did not converge in {max_steps} steps")
             y = x.select("v", "x")
-            for _ in range(batch):
-                y = _multiply(arcs, hubs, y)
-            raw = scratch.save(y.join(networks, "v"), "raw")
-            top = raw.groupBy("network").agg(F.max("x").alias("top"))
-            scaled = raw.join(F.broadcast(top), "network").select("v", "network", (F.col("x") / F.col("top")).alias("x"))
-            before = x.select("v", F.col("x").alias("before"))
-            x, seen = scratch.measure(
-                scaled.join(before, "v"), "vector", F.max(F.abs(F.col("x") - F.col("before"))).alias("change"))
-            done += batch
-            if tolerance > 0 and (seen["change"] is None or seen["change"] <= tolerance):
-                break
+            for _ in range(stride):
+                before, y = y, _multiply(arcs, hubs, y)
+            done += stride
+            raw = scratch.save(
+                y.join(before.withColumnRenamed("x", "before"), "v").join(numbered.select("v", *part), "v"), "raw")
+            value = scratch.save(raw.groupBy(*part).agg(
+                (F.sum(F.col("x") * F.col("before")) / F.sum(F.col("before") * F.col("before"))).alias("value"),
+                F.max("x").alias("top")), "value")
+            x = scratch.save(
+                raw.join(value, part).select(
+                    "v", *part, (F.col("x") / F.col("top")).alias("x"), "value",
+                    (F.abs(F.col("x") - F.col("value") * F.col("before")) / F.col("top")).alias("rest")), "vector")
+            off = x.groupBy(*part).agg(F.max("rest").alias("rest")).where(F.col("rest") > tolerance)
+            left = off.count()
     finally:
         arcs.unpersist()
-        scratch.drop("arcs", "hubs", "raw")
-    return numbered.join(x.select("v", "x"), "v").select("network", "id", F.col("x").alias("eigen_centrality"))
+        scratch.drop("arcs", "hubs", "raw", "value")
+    return numbered.join(x.select("v", "x", (F.col("value") - 1.0).alias("value")), "v").select(
+        "network", "component", "id", "x", "value")
 
 
 def _numbered(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -194,11 +258,11 @@ _LANES = 16
 _GROUP = 64 * _LANES
 
 
-def closeness(edges: DataFrame, max_nodes: int | None = 50_000, hub_arcs: int = HUB_ARCS,
+def closeness(edges: DataFrame, max_nodes: int | None = None, hub_arcs: int = HUB_ARCS,
               scratch: Scratch | None = None) -> DataFrame:
     """``(reached - 1) / sum of hops`` within the reachable set; null where isolated.
 
-    Networks with more than ``max_nodes`` vertices get nulls (``None`` forces them).
+    All networks are measured; with ``max_nodes``, larger ones get nulls instead.
     All breadth-first searches run at once: a row ``(vertex, source group)`` holds a
     bit per source that has reached the vertex, and a round ORs the new bits of the
     neighbours. Distances are symmetric, so the bits set at a vertex in round d count

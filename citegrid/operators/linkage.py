@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.functions import titles as T
@@ -17,25 +17,31 @@ def extract_titles(references: DataFrame, column: str = "reference") -> DataFram
     return references.withColumn("title", T.normalize(T.extract_title(F.col(column))))
 
 
-def search(queries: DataFrame, catalog: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(queries: DataFrame, catalog: DataFrame, block_rows: int = BLOCK_ROWS,
+           spaced: str | None = None) -> DataFrame:
     """Number of catalogue titles that contain all words of the query, and the best of them.
 
     ``queries(row_idx, title, …)``, ``catalog(oa_id, oa_title, relevance_score, …)``. Adds
     ``count`` (0 without a hit), ``oa_id``, ``oa_title``, ``relevance_score`` and the best
     hit's access columns. Blank titles are skipped; equal scores go to the smaller id.
+    Punctuation joins the parts of a word unless it is among ``spaced``, characters that
+    stand for a space on both sides (``titles.QUERY_PUNCTUATION`` or its short form).
 
     Both sides collapse to distinct word sets first: copies of a title cost one
     comparison. A query is looked up under its rarest catalogue word only, and words
     that stay frequent are spread over a grid of blocks.
     """
+    def words(title: str) -> Column:
+        return T.tokens(T.query_text(F.col(title), spaced) if spaced else F.col(title))
+
     extra = [c for c in _HIT if c in catalog.columns]
-    asked = queries.where(T.has_text(F.col("title"))).withColumn("q_words", T.tokens(F.col("title")))
+    asked = queries.where(T.has_text(F.col("title"))).withColumn("q_words", words("title"))
     wanted = asked.select("q_words").distinct().where(F.size("q_words") > 0)
 
     # Scores rank first, then the smaller id, without an order-reversing string key.
     hit = F.struct("oa_id", "oa_title", "relevance_score", *extra)
     sets = (
-        catalog.withColumn("c_words", T.tokens(F.col("oa_title")))
+        catalog.withColumn("c_words", words("oa_title"))
         .groupBy("c_words").agg(
             F.count(F.lit(1)).alias("n"),
             F.min(F.struct((-F.col("relevance_score")).alias("rank"), F.col("oa_id").alias("tie"),

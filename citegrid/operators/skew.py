@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegrid.session import Scratch
+
 BLOCK_ROWS = 10_000
 
 
@@ -22,6 +24,16 @@ def _block_of(item: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(item), blocks).cast("int")
 
 
+def _stored(hot: DataFrame) -> DataFrame:
+    """The list of hot keys as a table of its own.
+
+    A join against an aggregate on the same key cannot be split by the planner, so the
+    rows of a hub would meet in one task before they are dealt into blocks. Against a
+    stored table, mostly empty, the join is a broadcast or one that can be split.
+    """
+    return Scratch(hot.sparkSession, "hot-keys").save(hot, "hot")
+
+
 def _spread(side: DataFrame, *cell: str) -> DataFrame:
     """Keep the configured number of partitions ahead of an expanding join.
 
@@ -40,11 +52,10 @@ def pairs_within(rows: DataFrame, key: str, item: str, carry: tuple[str, ...] =
     and ``c_target``. A key's blocks are paired once each (low, high), so every
     pair of items meets exactly once per pair of input rows.
     """
-    hot = (
+    hot = _stored(
         rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > block_rows)
-        .select(key, _blocks(F.col("n"), block_rows).alias("blocks"))
-    )
+        .select(key, _blocks(F.col("n"), block_rows).alias("blocks")))
     dealt = (
         rows.join(hot, key, "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -83,12 +94,11 @@ def grid_join(left: DataFrame, right: DataFrame, key: str, left_item: str, right
     """
     n_left = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_left"))
     n_right = right.groupBy(key).agg(F.count(F.lit(1)).alias("n_right"))
-    hot = (
+    hot = _stored(
         n_left.join(n_right, key)
         .where((F.col("n_left") > block_rows) | (F.col("n_right") > block_rows))
         .select(key, _blocks(F.col("n_left"), block_rows).alias("rows_l"),
-                _blocks(F.col("n_right"), block_rows).alias("rows_r"))
-    )
+                _blocks(F.col("n_right"), block_rows).alias("rows_r")))
 
     def dealt(side: DataFrame, item: str, own: str, other: str) -> DataFrame:
         return (

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.operators.networks import canonical
+from citegrid.session import Scratch
 
 
 def edge_diff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -44,13 +45,30 @@ def expected_strength(works: DataFrame, citations: DataFrame, item: str, key: st
     """
     ids = works.select(F.col("id").alias(item))
     rows = citations.select(item, key).join(ids, item, "left_semi").distinct()
-    shares = rows.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("others"))
+    # Stored, so that a key with many rows can be split in the join.
+    shares = Scratch(rows.sparkSession, "shares").save(
+        rows.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("others")), "shares")
     return (
         rows.join(shares, key).groupBy(F.col(item).alias("id"))
         .agg(F.sum("others").alias("strength")).where("strength > 0")
     )
 
 
+def plain_pairs(works: DataFrame, citations: DataFrame, item: str, key: str) -> DataFrame:
+    """Edges of coupling or co-citation by one plain self-join and ``distinct`` at its end.
+
+    A second formulation that shares neither the blocks nor the counting with the first:
+    an edge's weight is the number of distinct keys behind its pair.
+    """
+    ids = works.select(F.col("id").alias(item)).distinct()
+    rows = citations.select(item, key).join(ids, item)
+    other = rows.select(F.col(item).alias("target"), key)
+    return (
+        rows.withColumnRenamed(item, "source").join(other, key).where("source < target")
+        .groupBy("source", "target").agg(F.countDistinct(key).alias("weight"))
+    )
+
+
 def strength(edges: DataFrame) -> DataFrame:
     """Sum of edge weights at each work."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("id"), "weight")

@@ -24,8 +24,8 @@ def edge_tables(works: DataFrame, citations: DataFrame, multiset: bool = False,
     return N.stack({**base, **N.hybrid_networks(base)})
 
 
-def node_table(edges: DataFrame, works: DataFrame, closeness_max_nodes: int | None = 50_000,
-               seed: int = 42, eigen_steps: int = 100, scratch: Scratch | None = None) -> DataFrame:
+def node_table(edges: DataFrame, works: DataFrame, closeness_max_nodes: int | None = None,
+               seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
     """All node measures per network, with the work's link as ``Label``."""
     scratch = scratch or Scratch(edges.sparkSession, "nodes")
     measures = {
@@ -34,26 +34,28 @@ def node_table(edges: DataFrame, works: DataFrame, closeness_max_nodes: int | No
         "leiden": lambda: community.leiden(edges, seed, scratch=scratch),
         "degree": lambda: graph.degree(edges),
         "closeness": lambda: graph.closeness(edges, closeness_max_nodes, scratch=scratch),
-        "eigen": lambda: graph.eigenvector(edges, steps=eigen_steps, scratch=scratch),
+        "eigen": lambda: graph.eigenvector(edges, scratch=scratch),
     }
     nodes = graph.vertices(edges)
     for name, measure in measures.items():
         # Each measure is stored before the next one reuses the scratch names.
         nodes = nodes.join(scratch.save(measure(), f"measure-{name}"), ["network", "id"], "left")
-    labels = works.select("id", F.col("openalex_id").alias("Label")).dropDuplicates(["id"])
+    labels = works.groupBy("id").agg(F.min("openalex_id").alias("Label"))
     return nodes.join(labels, "id", "left").select(
         "network", "id", "component", "cluster_louvain", "cluster_leiden", "degree",
         "closeness", "eigen_centrality", "Label")
 
 
 def run(spark: SparkSession, works_path: str, citations_path: str, out: str,
-        closeness_max_nodes: int | None = 50_000, seed: int = 42, multiset: bool = False) -> None:
+        closeness_max_nodes: int | None = None, seed: int = 42, multiset: bool = False) -> None:
     """Read both tables, write ``<out>/edges`` and ``<out>/nodes`` partitioned by network."""
     works = readers.read_works(spark, works_path)
     citations = readers.read_citations(spark, citations_path)
     scratch = Scratch(spark, "build")
-    writers.write_by_network(edge_tables(works, citations, multiset, scratch), f"{out}/edges")
-    edges = spark.read.parquet(f"{out}/edges")
-    writers.write_by_network(
-        node_table(edges, works, closeness_max_nodes, seed, scratch=scratch), f"{out}/nodes")
-    scratch.clear()
+    try:
+        writers.write_by_network(edge_tables(works, citations, multiset, scratch), f"{out}/edges")
+        edges = spark.read.parquet(f"{out}/edges")
+        writers.write_by_network(
+            node_table(edges, works, closeness_max_nodes, seed, scratch=scratch), f"{out}/nodes")
+    finally:
+        scratch.clear()

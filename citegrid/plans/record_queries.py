@@ -9,6 +9,8 @@ from citegrid.functions.doi import strip_resolver_prefix
 from citegrid.operators import enrich as E
 from citegrid.operators import keys as K
 from citegrid.plans.catalogue import query
+from citegrid.session import Scratch
+from citegrid.sources import readers, schemas, writers
 
 _OA = "concat('https://openalex.org/W', CAST({} AS VARCHAR))"
 _ID = _OA.format("p_partkey")
@@ -139,9 +141,9 @@ def id_from_link(t):
     return t.works.select("openalex_id", X.id_from_link(F.col("openalex_id")).alias("short_id"))
 
 
-@query("strip_resolver", "SELECT oa_id, replace(doi, 'https://doi.org/', '') AS doi FROM catalog", "catalog")
+@query("strip_resolver", "SELECT oa_id, replace(doi, 'https://doi.org/', '') AS doi FROM all_titles", "all_titles")
 def strip_resolver(t):
-    return t.catalog.select("oa_id", strip_resolver_prefix(F.col("doi")).alias("doi"))
+    return t.all_titles.select("oa_id", strip_resolver_prefix(F.col("doi")).alias("doi"))
 
 
 @query("records_by_id", f"""SELECT w.openalex_id AS id, c.oa_title, c.is_oa FROM works w
@@ -159,3 +161,46 @@ def labels_by_id(t):
     return E.labels_by_id(ids, t.metadata).select(
         "id", X.first_display_name(F.col("keywords")).alias("first_keyword"),
         X.first_display_name(F.col("sustainable_development_goals")).alias("first_goal"))
+
+
+@query("records_to_columns", f"""SELECT {_ID} AS id, CAST(pos - 1 AS INT) AS pos, words[pos] AS word_id,
+    upper(words[pos]) AS display_name, 0.1::DOUBLE AS score FROM (
+    SELECT p_partkey, string_split(p_name, ' ') AS words, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS pos FROM part) k""")
+def records_to_columns(t):
+    renamed = t.metadata.select("id", F.transform("keywords", lambda k: F.struct(
+        k["id"].alias("word_id"), k["display_name"], k["score"])).alias("keywords"))
+    return X.records_to_columns(renamed, "keywords", ("word_id", "display_name", "score"))
+
+
+# Values that delimited text must quote: separators, quotes, backslashes, line breaks and blanks.
+_ODD_SQL = """SELECT o_orderkey AS row_idx, CASE o_orderkey % 8 WHEN 0 THEN NULL WHEN 1 THEN concat('a "q", b', chr(9), 'c')
+    WHEN 2 THEN concat('back', chr(92), 'slash', chr(92)) WHEN 3 THEN concat('line', chr(10), 'break') WHEN 4 THEN '  blanks  ' WHEN 5 THEN '"'
+    WHEN 6 THEN 'a|b;c' ELSE concat('plain ', CAST(o_custkey AS {S})) END AS value FROM orders"""
+_ODD_SCHEMA = schemas.table(row_idx=schemas.LONG, value=schemas.STRING)
+
+
+def _odd(t):
+    return t.spark.sql(_ODD_SQL.replace("{S}", "STRING").replace("FROM orders", "FROM {orders}"), orders=t.orders)
+
+
+def _round_trip(name, write, read):
+    @query(name, _ODD_SQL.replace("{S}", "VARCHAR"))
+    def round_trip(t):
+        path = Scratch(t.spark, name).base
+        write(_odd(t), path)
+        return read(t.spark, path, _ODD_SCHEMA, multi_line=True)
+
+
+_round_trip("roundtrip_tsv", writers.write_tsv, readers.read_tsv)
+_round_trip("roundtrip_csv", writers.write_csv, readers.read_csv)
+
+
+@query("roundtrip_json_batches", """SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) // 100 AS batch_id,
+    CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS row_idx, p_name AS name FROM part""")
+def roundtrip_json_batches(t):
+    """Rows numbered, written in batches as JSON and read back."""
+    path = Scratch(t.spark, "json-batches").base
+    numbered = K.dense_id(t.part.select("p_partkey", F.col("p_name").alias("name")), ["p_partkey"], "row_idx", 0)
+    writers.write_json_batches(numbered, path)
+    return readers.read_json_lines(t.spark, path, schemas.table(
+        batch_id=schemas.LONG, row_idx=schemas.LONG, name=schemas.STRING))

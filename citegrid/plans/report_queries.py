@@ -91,9 +91,9 @@ def oa_counts(t):
 
 
 @query("doi_coverage", """SELECT count(*) AS total, count(doi) AS with_value,
-    round(100.0 * count(doi) / count(*), 6) AS pct FROM catalog""", "catalog")
+    round(100.0 * count(doi) / count(*), 6) AS pct FROM all_titles""", "all_titles")
 def doi_coverage(t):
-    return rounded(R.coverage(t.catalog, "doi"), "pct")
+    return rounded(R.coverage(t.all_titles, "doi"), "pct")
 
 
 @query("core_works_by_type", """SELECT p_type AS type, count(*) AS count FROM core_works c

@@ -87,13 +87,13 @@ def title_in_corpus(t):
 
 
 @query("doi_fill", """, known AS (SELECT title, min(doi) AS doi FROM (
-      SELECT oa_title AS title, concat('10.9999/f.', oa_id) AS doi FROM catalog) k GROUP BY title)
-    SELECT c.oa_id, c.oa_title AS orig_title, coalesce(c.doi, k.doi) AS doi FROM catalog c
-    LEFT JOIN known k ON c.oa_title = k.title""", "catalog")
+      SELECT oa_title AS title, concat('10.9999/f.', oa_id) AS doi FROM all_titles) k GROUP BY title)
+    SELECT c.oa_id, c.oa_title AS orig_title, coalesce(c.doi, k.doi) AS doi FROM all_titles c
+    LEFT JOIN known k ON c.oa_title = k.title""", "all_titles")
 def doi_fill(t):
-    inputs = t.catalog.select(
+    inputs = t.all_titles.select(
         F.col("oa_title").alias("title"), F.concat(F.lit("10.9999/f."), F.col("oa_id")).alias("doi"))
-    results = t.catalog.select("oa_id", F.col("oa_title").alias("orig_title"), "doi")
+    results = t.all_titles.select("oa_id", F.col("oa_title").alias("orig_title"), "doi")
     return E.fill_missing(results, inputs)
 
 
@@ -139,3 +139,20 @@ def title_flag_counts(t):
     AND trim(lower(r.oa_title)) = s.b WHERE s.ratio >= 0.70""", VIEWS)
 def title_similar_pairs(t):
     return L.similar_pairs(_results(t).where("count > 0"), 0.70).select("row_idx", "oa_id")
+
+
+def _spaced(column: str) -> str:
+    return f"translate({column}, ':;?-.,\'\'', '       ')"
+
+
+@query("title_search_spaced", f""", asked AS (SELECT p_partkey AS row_idx, concat(p_name, '-', p_type) AS title,
+      {_words(_norm(_spaced("concat(p_name, '-', p_type)")))} AS q_words FROM part),
+    cat AS (SELECT oa_id, relevance_score, {_words(_norm(_spaced('oa_title')))} AS words FROM catalog),
+    hits AS (SELECT a.row_idx, c.oa_id, row_number() OVER (PARTITION BY a.row_idx ORDER BY c.relevance_score DESC, c.oa_id) AS rn,
+      count(*) OVER (PARTITION BY a.row_idx) AS n FROM asked a JOIN cat c ON list_has_all(c.words, a.q_words))
+    SELECT a.row_idx, a.title, coalesce(h.n, 0) AS count, h.oa_id FROM asked a
+    LEFT JOIN hits h ON a.row_idx = h.row_idx AND h.rn = 1""", "catalog")
+def title_search_spaced(t):
+    """Titles with a hyphen between the words of the catalogue."""
+    asked = t.part.select(F.col("p_partkey").alias("row_idx"), F.concat_ws("-", "p_name", "p_type").alias("title"))
+    return L.search(asked, t.catalog, spaced=T.QUERY_PUNCTUATION).select("row_idx", "title", "count", "oa_id")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -54,6 +56,23 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Scratch areas that are not cleared yet. A lazy result still reads its tables, so what a
+# job does not clear itself goes when the program ends.
+_OPEN: set[str] = set()
+_SESSIONS: weakref.WeakValueDictionary[str, SparkSession] = weakref.WeakValueDictionary()
+
+
+@atexit.register
+def clear_scratch() -> None:
+    """Remove the tables of all jobs of this program whose session still runs."""
+    for base in list(_OPEN):
+        spark = _SESSIONS.get(base)
+        if spark is not None and spark.sparkContext._jsc is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _OPEN.discard(base)
+
+
 class Scratch:
     """Intermediate tables of one job, written to shared storage.
 
@@ -66,6 +85,8 @@ class Scratch:
         self.base = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._paths: dict[str, str] = {}
         self._step = 0
+        _OPEN.add(self.base)
+        _SESSIONS[self.base] = spark
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back; the previous table of that name is dropped."""
@@ -94,6 +115,7 @@ class Scratch:
         """Remove all tables of the job, once its results are stored elsewhere."""
         self._paths.clear()
         self._drop(self.base)
+        _OPEN.discard(self.base)
 
     def _drop(self, path: str) -> None:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from citegrid.operators.keys import with_row_idx
+from citegrid.operators.keys import dense_id, with_row_idx
 from citegrid.sources import schemas
 
 # Spellings that a table reader takes for a missing value.
@@ -15,6 +17,8 @@ NA_SPELLINGS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+_TEXT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 # Other names of the work link column, first found wins.
 LINK_ALIASES = ("openalex_work_id", "openalex_work", "openalex")
 
@@ -63,20 +67,52 @@ def read_json_records(spark: SparkSession, path: str, schema: StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def read_json_chunks(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Chunks such as ``data_100_200.json`` as one table in chunk order: adds ``row_idx``.
+
+    Chunks are ordered by the first number of their file name, as a number.
+    """
+    start = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)", 1)
+    rows = read_json_records(spark, path, schema).select(
+        "*", F.when(start != "", start.cast("bigint")).alias("_start"), F.col("_metadata.file_name").alias("_file"),
+        F.monotonically_increasing_id().alias("_seen"))
+    return dense_id(rows, ["_start", "_file", "_seen"], "row_idx", 0).drop("_start", "_file", "_seen")
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def read_networks(spark: SparkSession, folder: str, prefix: str = "net_",
                   schema: StructType = schemas.EDGES) -> DataFrame:
-    """All ``<prefix><name>.csv`` files of a folder as one table with their ``network``."""
-    df = spark.read.schema(schema).option("header", True).csv(f"{folder}/{prefix}*.csv")
-    name = F.regexp_extract(F.col("_metadata.file_name"), f"^{prefix}(.*)\\.csv$", 1)
-    return df.withColumn("network", name)
+    """All ``<prefix><name>.csv`` files of a folder as one table with their ``network``.
+
+    Columns are taken by name, whatever their order in a file, and one that a file lacks
+    is null; files (or folders of files) with the same header are read together. A cell
+    that does not fit its type fails.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*.csv")
+    found = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(fs_path) or []
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for status in found:  # one per network
+        path = status.getPath().toString()
+        groups.setdefault(tuple(_header(spark, path)), []).append(path)
+    if not groups:
+        raise FileNotFoundError(f"no {prefix}*.csv in {folder}")
+    name = F.regexp_extract(F.col("_metadata.file_path"), f"/{prefix}([^/]*)\\.csv(/[^/]*)?$", 1)
+    parts = []
+    for header, paths in groups.items():
+        text = (
+            spark.read.schema(schemas.table(**{c: schemas.STRING for c in header})).options(**_TEXT)
+            .option("enforceSchema", False).option("mode", "FAILFAST").csv(paths))
+        parts.append(text.select(*[
+            (F.col(f.name).cast(f.dataType) if f.name in header else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in schema.fields], name.alias("network")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(**_TEXT).csv(path).columns
 
 
 def normalize_link(df: DataFrame) -> DataFrame:

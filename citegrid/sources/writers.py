@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from citegrid.operators.keys import batches
+from citegrid.session import Scratch
+
+# Quotes are doubled, as the readers expect them; blanks at the ends of a value stay.
+_TEXT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+REPORT_ROWS = 100_000
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated with header; missing values are spelled ``NA``."""
-    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("nullValue", "NA").csv(path)
+    df.write.mode("overwrite").options(**_TEXT).option("sep", "\t").option("nullValue", "NA").csv(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**_TEXT).csv(path)
 
 
 def write_by_network(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One folder per network, written in parallel."""
-    df.write.mode("overwrite").partitionBy("network").option("header", True).format(fmt).save(path)
+    df.write.mode("overwrite").partitionBy("network").options(**_TEXT).format(fmt).save(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A grouped report as a single file; meant for a few rows per key."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A grouped report as a single file if it has at most ``REPORT_ROWS`` rows.
+
+    The report is computed by all tasks and stored first; only its rows are gathered.
+    """
+    scratch = Scratch(df.sparkSession, "report")
+    try:
+        stored, seen = scratch.measure(df, "report", F.count(F.lit(1)).alias("rows"))
+        few = stored.coalesce(1) if seen["rows"] <= REPORT_ROWS else stored
+        few.write.mode("overwrite").options(**_TEXT).csv(path)
+    finally:
+        scratch.clear()
 
 
 def write_nested(df: DataFrame, path: str) -> None:
@@ -32,12 +47,12 @@ def write_nested(df: DataFrame, path: str) -> None:
 
 
 def write_json_batches(df: DataFrame, path: str, size: int = 100, order: str = "row_idx") -> None:
-    """One folder per ``size`` consecutive rows; a failed run can resume by batch.
+    """JSON lines with a ``batch_id`` per ``size`` consecutive rows.
 
-    Batches are brought together by range, so a batch is one file and neighbouring
-    batches share a task.
+    Rows are range-partitioned, so a file holds whole neighbouring batches in order; the
+    number of files follows the data and not the number of batches.
     """
     (
-        batches(df, size, order).repartitionByRange("batch_id")
-        .write.mode("overwrite").partitionBy("batch_id").json(path)
+        batches(df, size, order).repartitionByRange("batch_id").sortWithinPartitions("batch_id", order)
+        .write.mode("overwrite").json(path)
     )

@@ -1,6 +1,7 @@
 """Node measures against brute force and clusters against their invariants."""
 
 import random
+import math
 from collections import defaultdict, deque
 
 import pytest
@@ -88,9 +89,10 @@ def test_hubs_in_parts_change_nothing(data):
     _, edges = data
     ring = edges.where("network = 'b'")
     assert by_node(G.closeness(ring, hub_arcs=2), "closeness") == by_node(G.closeness(ring), "closeness")
-    one = by_node(G.eigenvector(ring, steps=4, tolerance=0), "eigen_centrality")
-    two = by_node(G.eigenvector(ring, steps=4, tolerance=0, stride=3, hub_arcs=2), "eigen_centrality")
-    assert two == pytest.approx(one)
+    whole = by_node(G.eigenvector(ring), "eigen_centrality")
+    one = by_node(G.eigenvector(ring, dense_vertices=0, tolerance=1e-9), "eigen_centrality")
+    two = by_node(G.eigenvector(ring, dense_vertices=0, tolerance=1e-9, stride=7, hub_arcs=2), "eigen_centrality")
+    assert two == pytest.approx(one, abs=1e-6) and one == pytest.approx(whole, abs=1e-6)
 
 
 def test_closeness_beyond_one_source_group(spark):
@@ -108,11 +110,32 @@ def test_closeness_beyond_one_source_group(spark):
 def test_eigenvector_is_an_eigenvector(data):
     nets, edges = data
     only = edges.where("network = 'b'")
-    x = {k[1]: v for k, v in by_node(G.eigenvector(only, steps=300, tolerance=1e-10), "eigen_centrality").items()}
+    x = {k[1]: v for k, v in by_node(G.eigenvector(only), "eigen_centrality").items()}
     near = neighbours(nets["b"])
     assert max(x.values()) == pytest.approx(1.0)
     ratios = [sum(x[u] for u in near[v]) / x[v] for v in near]
-    assert max(ratios) - min(ratios) < 1e-4
+    assert max(ratios) - min(ratios) < 1e-9
+
+
+def test_eigenvector_of_paths(spark):
+    """Closed form sin(pi i / (n + 1)); a shorter path in the network keeps nothing, an equal one the same."""
+    n = 400
+    rows = [("p", i, i + 1, 1) for i in range(1, n)] + [("p", 1000 + i, 1001 + i, 1) for i in range(1, n)]
+    rows += [("p", 5000, 5001, 1), ("q", 1, 2, 1), ("q", 3, 3, 1)]
+    got = by_node(G.eigenvector(spark.createDataFrame(rows, "network string, source long, target long, weight long")),
+                  "eigen_centrality")
+    top = math.sin(math.pi * (n // 2) / (n + 1))
+    for i in range(1, n + 1):
+        want = math.sin(math.pi * i / (n + 1)) / top
+        assert got["p", i] == pytest.approx(want, abs=1e-6) and got["p", 1000 + i] == pytest.approx(want, abs=1e-6)
+    assert got["p", 5000] == 0 and got["q", 1] == 0 and got["q", 3] == 1
+
+
+def test_eigenvector_limit_is_an_error(spark):
+    rows = [("p", i, i + 1, 1) for i in range(60)]
+    edges = spark.createDataFrame(rows, "network string, source long, target long, weight long")
+    with pytest.raises(RuntimeError, match="converge"):
+        G.eigenvector(edges, dense_vertices=10, max_steps=20)
 
 
 def plain_modularity(edges, label):
@@ -167,13 +190,26 @@ def test_clusters_do_not_depend_on_partitioning(spark, data, clusters):
     assert key(again) == key(clusters["cluster_louvain"])
 
 
+def test_clusters_of_a_network_alone_and_beside_others(data, clusters):
+    _, edges = data
+    for column, method in (("cluster_louvain", C.louvain), ("cluster_leiden", C.leiden)):
+        alone = {r.id: r[column] for r in method(edges.where("network = 'a'")).collect()}
+        assert alone == {r.id: r[column] for r in clusters[column] if r.network == "a"}
+
+
+def test_cluster_limits_are_errors(data):
+    _, edges = data
+    with pytest.raises(RuntimeError):
+        C.louvain(edges, max_rounds=1)
+
+
 def test_node_table(spark):
     works = spark.createDataFrame([(i, f"W{i}") for i in range(8)], "id long, openalex_id string")
     citations = spark.createDataFrame(
         [(1, 0), (2, 0), (2, 1), (3, 2), (3, 1), (6, 5), (7, 5)], "citing_id long, cited_id long")
     edges = edge_tables(works, citations)
     edges = G.Scratch(spark, "test").save(edges, "edges")
-    nodes = node_table(edges, works, eigen_steps=20)
+    nodes = node_table(edges, works)
     assert nodes.columns == ["network", "id", "component", "cluster_louvain", "cluster_leiden", "degree",
                              "closeness", "eigen_centrality", "Label"]
     got = nodes.where(F.col("network") == "dc").collect()
