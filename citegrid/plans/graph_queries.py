@@ -222,23 +222,3 @@ def leiden_invariants(t):
     labels = Scratch(t.spark, "labels").save(community.leiden(edges), "labels")
     return _cluster_invariants(edges, labels, "cluster_leiden", True)
 
-
-_T_NETS = network_ctes("thread_works", "thread_citations") + "".join(
-    f", {n} AS ({hybrid_sql(*p)})" for n, p in N.HYBRIDS.items())
-
-
-@query("nodes_table_invariants", _T_NETS + ", edges AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS network, source, target FROM {n}" for n in N.NETWORKS) + """),
-    ends AS (SELECT network, source AS id FROM edges UNION ALL SELECT network, target FROM edges)
-    SELECT network, count(DISTINCT id) AS n_nodes, count(*) AS degrees, count(DISTINCT id) AS complete,
-      1.0::DOUBLE AS top_eigen, count(DISTINCT id) AS distinct_ids FROM ends GROUP BY network""",
-       "thread_works thread_citations")
-def nodes_table_invariants(t):
-    """Per network: vertices, sum of degrees, rows with every label, largest centrality."""
-    edges = Scratch(t.spark, "edges").save(edge_tables(t.thread_works, t.thread_citations), "edges")
-    nodes = node_table(edges, t.thread_works)
-    full = F.col("component").isNotNull() & F.col("cluster_louvain").isNotNull() & F.col("cluster_leiden").isNotNull()
-    return nodes.groupBy("network").agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.sum("degree").alias("degrees"),
-        F.count_if(full & F.col("Label").isNotNull() & F.col("eigen_centrality").between(0, 1)).alias("complete"),
-        F.round(F.max("eigen_centrality"), 9).alias("top_eigen"), F.countDistinct("id").alias("distinct_ids"))

@@ -192,16 +192,25 @@ def roundtrip_networks(t):
 
 
 @query("network_run", network_ctes("thread_works", "thread_citations") + _HYBRID_CTES + ", edges AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS network, source, target FROM {n}" for n in N.NETWORKS) + """)
-    SELECT network, count(*) AS n_edges, (SELECT count(*) FROM (SELECT source FROM edges e WHERE e.network = x.network
-      UNION SELECT target FROM edges e WHERE e.network = x.network) u) AS n_nodes FROM edges x GROUP BY network""",
-       "thread_works thread_citations")
+    f"SELECT '{n}' AS network, source, target FROM {n}" for n in N.NETWORKS) + """),
+    ends AS (SELECT network, source AS id FROM edges UNION ALL SELECT network, target FROM edges)
+    SELECT network, count(*) // 2 AS n_edges, count(DISTINCT id) AS n_nodes, count(*) AS degrees,
+      count(DISTINCT id) AS complete, 1.0::DOUBLE AS top_eigen, count(DISTINCT id) AS distinct_ids
+    FROM ends GROUP BY network""", "thread_works thread_citations")
 def network_run(t):
-    """The whole run over files: edge and node counts of what it wrote."""
+    """The whole run over files, and what it wrote per network.
+
+    Edges, nodes, sum of degrees, rows with every label and a centrality in range, and
+    the largest centrality.
+    """
     folder = Scratch(t.spark, "run").base
     t.thread_works.write.parquet(f"{folder}/works")
     t.thread_citations.write.parquet(f"{folder}/citations")
     build.run(t.spark, f"{folder}/works", f"{folder}/citations", f"{folder}/out")
     edges = t.spark.read.parquet(f"{folder}/out/edges").groupBy("network").agg(F.count(F.lit(1)).alias("n_edges"))
-    nodes = t.spark.read.parquet(f"{folder}/out/nodes").groupBy("network").agg(F.count(F.lit(1)).alias("n_nodes"))
+    full = F.col("component").isNotNull() & F.col("cluster_louvain").isNotNull() & F.col("cluster_leiden").isNotNull()
+    nodes = t.spark.read.parquet(f"{folder}/out/nodes").groupBy("network").agg(
+        F.count(F.lit(1)).alias("n_nodes"), F.sum("degree").alias("degrees"),
+        F.count_if(full & F.col("Label").isNotNull() & F.col("eigen_centrality").between(0, 1)).alias("complete"),
+        F.round(F.max("eigen_centrality"), 9).alias("top_eigen"), F.countDistinct("id").alias("distinct_ids"))
     return edges.join(nodes, "network")
