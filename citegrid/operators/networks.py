@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.operators.skew import BLOCK_ROWS, pairs_within
@@ -104,8 +104,25 @@ def base_networks(works: DataFrame, citations: DataFrame, multiset: bool = False
     }
 
 
-def hybrid_networks(base: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    return {name: hybrid(*[base[p] for p in parts]) for name, parts in HYBRIDS.items()}
+def wide(base: dict[str, DataFrame]) -> DataFrame:
+    """One row per unordered pair with its weight in each base network, null where it is not in it."""
+    parts = [
+        canonical(df).select("source", "target", *[
+            F.when(F.lit(n == name), F.col("weight")).cast("bigint").alias(n) for n in base])
+        for name, df in base.items()
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("source", "target").agg(*[F.sum(n).alias(n) for n in base])
+
+
+def hybrid_networks(base: dict[str, DataFrame], store=lambda df: df) -> dict[str, DataFrame]:
+    """All hybrids as projections of one aggregation of the pairs, which ``store`` may keep."""
+    pairs = store(wide(base))
+    out = {}
+    for name, parts in HYBRIDS.items():
+        here = F.coalesce(*parts).isNotNull()
+        weight = reduce(Column.__add__, [F.coalesce(p, F.lit(0)) for p in parts])
+        out[name] = pairs.where(here).select("source", "target", weight.alias("weight"))
+    return out
 
 
 def stack(networks: dict[str, DataFrame]) -> DataFrame:

@@ -15,13 +15,14 @@ def edge_tables(works: DataFrame, citations: DataFrame, multiset: bool = False,
                 scratch: Scratch | None = None) -> DataFrame:
     """All seven networks in one edge table.
 
-    The base networks are written once and the hybrids read them back, so no pair is
-    generated twice.
+    The base networks are written once; one aggregation of their pairs, written too, gives
+    all hybrids, so no pair is generated or shuffled again for each of them.
     """
     works, citations = N.typed_ids(works, citations)
     scratch = scratch or Scratch(works.sparkSession, "networks")
     base = {n: scratch.save(df, n) for n, df in N.base_networks(works, citations, multiset).items()}
-    return N.stack({**base, **N.hybrid_networks(base)})
+    wide = N.hybrid_networks(base, lambda pairs: scratch.save(pairs, "wide"))
+    return N.stack({**base, **wide})
 
 
 def node_table(edges: DataFrame, works: DataFrame, closeness_max_nodes: int | None = None,
