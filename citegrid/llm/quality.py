@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors (NBSVM).
 
 Indicators of n-grams - runs of three bytes, words, pairs of neighbouring words, and
-"the word before again" - are hashed into a fixed number of dimensions. Each indicator
+pairs of one word, these for once, twice, four times and so on - are hashed into a fixed number of dimensions. Each indicator
 is scaled by its class log-count ratio r, the logarithm of its smoothed share among
 good texts over that among bad ones, and a linear hinge-loss model is fitted to the
 scaled, length-normalised vectors by dual coordinate descent. A sigmoid fitted to
@@ -15,13 +15,15 @@ What leaves that task is one weight per dimension, whatever the size of the corp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.llm.words import SLAB, binary, word_hashes
+from citegrid.llm.words import SLAB, binary, parts, word_hashes
 from citegrid.session import Scratch
 
 BITS = 17
@@ -31,6 +33,7 @@ FIT_FEATURES = 1 << 24
 THRESHOLD = 0.7
 SMOOTHING = 1.0
 BROADCAST_ROWS = 1_000_000
+# First of the dimensions that say how often, in powers of two, a word follows itself.
 _AGAIN = 1
 
 
@@ -46,18 +49,18 @@ def indicators(text: bytes, words: np.ndarray) -> np.ndarray:
         pairs = (words[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ words[1:]
         again = words[:-1] == words[1:]
         flags[((pairs * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int64)[~again]] = True
-        flags[_AGAIN] = bool(again.any())
+        flags[_AGAIN:_AGAIN + int(again.sum()).bit_length()] = True
     return np.flatnonzero(flags)
 
 
-def _texts(column) -> list[tuple[bytes, np.ndarray]]:
+def _texts(column) -> Iterator[tuple[bytes, np.ndarray]]:
     texts = binary(column)
-    return list(zip(texts, word_hashes(texts)))
+    return zip(texts, word_hashes(texts))
 
 
 def _count(batches):
     counts = np.zeros((2, DIMS), np.int64)
-    for batch in batches:
+    for batch in parts(batches):
         for label, (text, words) in zip(batch.column(1).to_pylist(), _texts(batch.column(0))):
             counts[label, indicators(text, words)] += 1
     at = np.flatnonzero(counts.any(axis=0))
@@ -127,7 +130,7 @@ def sigmoid_fit(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def _fit(ratio: np.ndarray, fit_features: int, cost: float):
     def run(batches):
         rows, labels, held = [], [], 0
-        for batch in batches:
+        for batch in parts(batches):
             for label, (text, words) in zip(batch.column(1).to_pylist(), _texts(batch.column(0))):
                 x = indicators(text, words)
                 if held + len(x) > fit_features:
@@ -138,8 +141,7 @@ def _fit(ratio: np.ndarray, fit_features: int, cost: float):
         y = np.array(labels)
         if len(set(labels)) == 2:
             signs = np.where(y == 1, 1.0, -1.0)
-            share = np.where(y == 1, (y == 1).mean(), (y == 0).mean())
-            weight = cost * 0.5 / share
+            weight = np.full(len(y), cost)
             # Every fifth row is left out to fit the sigmoid, then all rows give the weights.
             out = np.arange(len(y)) % 5 == 4
             if len(set(y[out].tolist())) < 2:
@@ -161,7 +163,7 @@ def _fit(ratio: np.ndarray, fit_features: int, cost: float):
 
 def _score(slope: float, offset: float, weights: np.ndarray, threshold: float):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             margins = []
             for text, words in _texts(batch.column(2)):
                 x = indicators(text, words)
@@ -229,7 +231,7 @@ def _keep(slope: float, offset: float, weights: np.ndarray, least: float, text:
     score = _score(slope, offset, weights, least)
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = pa.nulls(batch.num_rows, pa.int64())
             columns = pa.RecordBatch.from_arrays(
                 [ids, pa.nulls(batch.num_rows, pa.bool_()), batch.column(text).cast(pa.string())], names=["a", "b", "c"])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.llm.words import binary, rolling, word_hashes
+from citegrid.llm.words import binary, parts, rolling, word_hashes
 from citegrid.session import Scratch
 
 WIDTH = 35
@@ -62,7 +62,7 @@ def _emit(columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
 
 def _anchor_rows(width: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             keys = batch.column(0).to_pylist()
             out, rows = [[], [], []], 0
             for key, words in zip(keys, word_hashes(binary(batch.column(1)))):
@@ -98,7 +98,7 @@ def _suspects(words: np.ndarray, repeated: np.ndarray, width: int, gram: int):
 def _window_rows(width: int, gram: int):
     """(key, hash, start, n): n is 2 where the window is known to be repeated."""
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             keys, copies, marks = (batch.column(i).to_pylist() for i in (0, 2, 3))
             out, rows = [[], [], [], []], 0
             for key, many, marked, words in zip(keys, copies, marks, word_hashes(binary(batch.column(1)))):
@@ -124,7 +124,7 @@ def _digest(words: list[bytes]) -> str:
 
 def _cut_rows(width: int, gram: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             keys, copies, marks, hits = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
             texts = binary(batch.column(1))
             out: list[list] = [[], [], [], []]
@@ -149,7 +149,7 @@ def _cut_rows(width: int, gram: int):
 
 
 def _whole_rows(batches):
-    for batch in batches:
+    for batch in parts(batches):
         counts, digests = [], []
         for text in binary(batch.column(2)):
             words = text.split()

@@ -14,6 +14,7 @@ import pyarrow as pa
 
 # Bytes handled at a time; a longer text is cut at white space and put together again.
 SLAB = 1 << 20
+PART_ROWS = 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
@@ -55,6 +56,13 @@ def binary(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``rows`` rows, so that what a task holds per row stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
     """(index of the text, piece): long texts are cut after white space, others are whole."""
     for i, text in enumerate(texts):
