@@ -18,19 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.llm.units import Units
+from citegrid.llm.words import parts
 
 # Cells of the trees that are stepped together; texts handled at a time, in characters.
 CELLS = 1 << 20
-SLAB = 1 << 21
-# Pieces whose ids a process keeps.
-PIECES = 200_000
+SLAB = 1 << 20
 _SHIFT = 17
-_MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -46,7 +43,6 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.pattern = regex.compile(pattern)
         joined: dict[int, int] = {}
         for token, rank in ranks.items():
             for i in range(1, len(token)):
@@ -57,8 +53,7 @@ class Codec:
         self.pair_ranks = np.array([joined[k] for k in sorted(joined)], np.int64)
         self.bytes_to_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         self.none = max(ranks.values()) + 1
-        self.pieces: dict[str, bytes] = {}
-        self.units = Units(self._encode_units)
+        self.units = Units(pattern, self._encode_pieces)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of joined neighbours; ``none`` where they don't join or the right one is missing (-1)."""
@@ -145,26 +140,6 @@ class Codec:
                     out[i] = flat[a:b]
         return out
 
-    def _split(self, unit: str) -> list[str]:
-        """The pattern's matches; a word, or one with a common mark behind it, needs no pattern."""
-        body = unit[1:] if unit[0] == " " else unit
-        if body.isalpha():
-            return [unit]
-        if body[-1:] in _MARKS and body[:-1].isalpha():
-            return [unit[:-1], unit[-1]]
-        return self.pattern.findall(unit)
-
-    def _encode_units(self, units: list[str]) -> list[bytes]:
-        split = [self._split(u) for u in units]
-        known = self.pieces
-        new = list(dict.fromkeys([p for pieces in split for p in pieces if p not in known]))
-        before = len(known)
-        known.update(zip(new, self._encode_pieces(new)))
-        out = [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split]
-        for p in new[max(PIECES - before, 0):]:
-            del known[p]
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         return self.units(texts)
@@ -199,7 +174,7 @@ def slabs(texts: list[str], limit: int = SLAB) -> Iterator[list[str]]:
 def _rows(path: str, pattern: str, keep: bool):
     def run(batches):
         tool = codec(path, pattern)
-        for batch in batches:
+        for batch in parts(batches):
             at = 0
             for texts in slabs([t or "" for t in batch.column(1).to_pylist()]):
                 ids = tool.encode(texts)

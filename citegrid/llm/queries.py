@@ -87,7 +87,8 @@ def _token_planes(spark, sf_dir):
 
     from citegrid.llm.token_planes import planes_round_trip
 
-    return planes_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return planes_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.PATTERN, end_id=2)
 
 
 @query("op10_pareto_mixing", f"""

@@ -30,12 +30,17 @@ from pyspark.sql import functions as F
 from citegrid.llm import store
 from citegrid.llm.bpe import slabs
 from citegrid.llm.units import Units
+from citegrid.llm.words import parts
 from citegrid.session import Scratch
 
 MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 26
 LEVEL = 3
+# Units and pieces that a process keeps: the library's encoder is the larger part of the
+# work here, so more than elsewhere; some 200 bytes each.
+KEPT_UNITS, KEPT_PIECES = 500_000, 600_000
+SLAB = 1 << 21
 
 
 def split_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -164,33 +169,41 @@ class PlaneReader:
 _ENCODERS: dict[str, Units] = {}
 
 
-def encoder(path: str) -> Units:
-    """Encoder of a ``tokenizers`` file, read once per process."""
-    if path not in _ENCODERS:
-        import os
+def byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies.
+
+    Visible Latin-1 characters stand for themselves, the other bytes, in order, for the
+    characters from 256 on.
+    """
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+def encoder(path: str, pattern: str) -> Units:
+    """Encoder of a ``tokenizers`` file with byte-level pre-tokens by ``pattern``, read once per process."""
+    if path not in _ENCODERS:
         from tokenizers import Tokenizer
 
-        tool = Tokenizer.from_file(path)
-        tool.encode_special_tokens = True
+        model = Tokenizer.from_file(path).model
+        chars = byte_chars()
 
-        def encode_all(units: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for k in range(0, len(units), 4096):
-                out += [np.array(e.ids, "<u4").tobytes()
-                        for e in tool.encode_batch_fast(units[k:k + 4096], add_special_tokens=False)]
-            return out
+        def encode_pieces(pieces: list[str]) -> list[bytes]:
+            # The pieces are split already, so the library's model gets them in its spelling of bytes.
+            found = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))] for p in pieces]
+            flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
+            ends = (4 * np.cumsum([len(ids) for ids in found])).tolist()
+            return [flat[a:b] for a, b in zip([0] + ends, ends)]
 
-        _ENCODERS[path] = Units(encode_all)
+        _ENCODERS[path] = Units(pattern, encode_pieces, KEPT_UNITS, KEPT_PIECES)
     return _ENCODERS[path]
 
 
-def _write(path: str, end_id: int, root: str, mode: str, block: int, file_ids: int):
+def _write(path: str, pattern: str, end_id: int, root: str, mode: str, block: int, file_ids: int):
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, pattern)
         part, number = TaskContext.get().partitionId(), 0
         writer, uri = None, ""
 
@@ -201,9 +214,9 @@ def _write(path: str, end_id: int, root: str, mode: str, block: int, file_ids: i
                 pa.array([len(writer.lengths)], pa.int64()), pa.array([writer.n_ids], pa.int64())],
                 names=["part", "number", "uri", "n_docs", "n_ids"])
 
-        for batch in batches:
+        for batch in parts(batches, 2_048):
             doc_ids, at = batch.column(0).to_pylist(), 0
-            for texts in slabs([t or "" for t in batch.column(1).to_pylist()]):
+            for texts in slabs([t or "" for t in batch.column(1).to_pylist()], SLAB):
                 for ids in encode(texts):
                     if writer is None:
                         uri = f"{root}/{store.new_name(f'ids-{part:05d}-{number:04d}', '.planes')}"
@@ -218,11 +231,12 @@ def _write(path: str, end_id: int, root: str, mode: str, block: int, file_ids: i
     return run
 
 
-def write_ids(docs: DataFrame, path: str, end_id: int, mode: str = "bit", block: int = BLOCK,
+def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int, mode: str = "bit", block: int = BLOCK,
               file_ids: int = FILE_IDS, scratch: Scratch | None = None) -> DataFrame:
     """Write the ids of all texts; returns the manifest with each file's first position.
 
-    ``path`` names a file of the ``tokenizers`` library, ``end_id`` closes each document.
+    ``path`` names a byte-level BPE file of the ``tokenizers`` library, ``pattern`` is how
+    it splits texts, ``end_id`` closes each document.
     Rows are ordered by doc_id, then text; null ids come first, null texts are empty and
     repeated rows are written as often as they occur.
     """
@@ -232,7 +246,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int, mode: str = "bit", block:
     manifest = scratch.save(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-        .mapInArrow(_write(path, end_id, root, mode, block, file_ids),
+        .mapInArrow(_write(path, pattern, end_id, root, mode, block, file_ids),
                     "part int, number int, uri string, n_docs bigint, n_ids bigint"), "manifest")
     # One row per file.
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
@@ -259,6 +273,6 @@ def read_index(manifest: DataFrame) -> DataFrame:
         _read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def planes_round_trip(docs: DataFrame, path: str, end_id: int, mode: str = "bit", **options) -> DataFrame:
+def planes_round_trip(docs: DataFrame, path: str, pattern: str, end_id: int, mode: str = "bit", **options) -> DataFrame:
     """Write all documents and read them back. An empty table writes no file and gives no row."""
-    return read_index(write_ids(docs, path, end_id, mode, **options))
+    return read_index(write_ids(docs, path, pattern, end_id, mode, **options))

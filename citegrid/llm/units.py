@@ -3,7 +3,8 @@
 The split pattern of byte-level BPE always starts a new piece at a single space between
 two other characters, so a text may be cut there. Units repeat far more often than
 texts; a process keeps the ids of a bounded number of them, and others are encoded
-again, so that the ids do not depend on what is kept.
+again, so that the ids do not depend on what is kept. Pieces, the pattern's matches in
+new units, repeat more often still and are kept likewise.
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import regex
+
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
-# Units kept, and their longest.
-KEPT = 250_000
+# Units and pieces kept, and the longest unit.
+KEPT = 150_000
+PIECES = 150_000
 LONGEST = 48
+_MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def _quick(text: str) -> list[str]:
@@ -36,11 +41,40 @@ def _clean(unit: str) -> bool:
 
 
 class Units:
-    """Encode texts by units; ``encode_all`` gives the ids of new units as bytes."""
+    """Encode texts by units, and new units by the pieces that the pattern finds in them.
+
+    ``encode_pieces`` gives the ids of new pieces as bytes; each piece is encoded by
+    itself, as byte-level BPE does.
+    """
 
-    def __init__(self, encode_all: Callable[[list[str]], list[bytes]]):
-        self.encode_all = encode_all
+    def __init__(self, pattern: str, encode_pieces: Callable[[list[str]], list[bytes]],
+                 kept: int | None = None, pieces: int | None = None):
+        self.most_units = KEPT if kept is None else kept
+        self.most_pieces = PIECES if pieces is None else pieces
+        self.pattern = regex.compile(pattern)
+        self.encode_pieces = encode_pieces
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _split(self, unit: str) -> list[str]:
+        """The pattern's matches; a word, or one with a common mark behind it, needs no pattern."""
+        body = unit[1:] if unit[0] == " " else unit
+        if body.isalpha():
+            return [unit]
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return self.pattern.findall(unit)
+
+    def _encode(self, units: list[str]) -> list[bytes]:
+        split = [self._split(u) for u in units]
+        known = self.pieces
+        new = list(dict.fromkeys([p for pieces in split for p in pieces if p not in known]))
+        before = len(known)
+        known.update(zip(new, self.encode_pieces(new)))
+        out = [known[p[0]] if len(p) == 1 else b"".join([known[x] for x in p]) for p in split]
+        for p in new[max(self.most_pieces - before, 0):]:
+            del known[p]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -59,9 +93,9 @@ class Units:
             new.update(dict.fromkeys(unseen))
             split.append(units)
         before = len(known)
-        known.update(zip(new, self.encode_all(list(new))))
+        known.update(zip(new, self._encode(list(new))))
         out = [b"".join(map(known.__getitem__, units)) for units in split]
-        room = KEPT - before
+        room = self.most_units - before
         for unit in new:
             if room > 0 and len(unit) <= LONGEST and _clean(unit):
                 room -= 1

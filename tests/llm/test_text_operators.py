@@ -147,9 +147,22 @@ def test_codec_matches_the_library(reference_encoding):
         assert tool.decode(ids) == text.encode()
 
 
+def test_units_match_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tool.encode_special_tokens = True
+    encode = token_planes.encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    draw = random.Random(9)
+    data = ["", " ", "a  b", "a   b", "it's  we'll\n\n x", "<|endoftext|> x", "日本語 テスト"]
+    data += ["".join(draw.choice("ab c  \n\t1'sé日.!") for _ in range(draw.randrange(80))) for _ in range(800)]
+    for text, ids in zip(data, encode(data)):
+        assert np.frombuffer(ids, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, text
+
+
 def test_kept_units_do_not_change_ids(monkeypatch, reference_encoding):
     monkeypatch.setattr(units, "KEPT", 3)
-    monkeypatch.setattr(bpe, "PIECES", 3)
+    monkeypatch.setattr(units, "PIECES", 3)
     tool = bpe.Codec(bpe.load_ranks(BPE), public_tokenizers.PATTERN)
     for text in ("alpha beta gamma delta", "delta alphabetical gammas", "a  b   c"):
         assert np.frombuffer(tool.encode([text])[0], "<u4").tolist() == reference_encoding.encode_ordinary(text)
@@ -189,7 +202,7 @@ def test_id_files_round_trip(texts, plain, mode):
         ids = np.array(tool.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    got = token_planes.planes_round_trip(texts, public_tokenizers.path("byte_bpe_50k.json"), 2, mode,
+    got = token_planes.planes_round_trip(texts, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2, mode,
                                          block=256, file_ids=5_000).orderBy("start").collect()
     assert [tuple(r) for r in got] == want
 
@@ -277,6 +290,6 @@ def test_empty_tables(spark):
     assert substring_dedup.removal_report(empty).count() == 0
     assert ngram_join.jaccard_components(empty).count() == 0
     assert bpe.encode_texts(empty, BPE, public_tokenizers.PATTERN).count() == 0
-    assert token_planes.planes_round_trip(empty, public_tokenizers.path("byte_bpe_50k.json"), 2).count() == 0
+    assert token_planes.planes_round_trip(empty, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2).count() == 0
     assert license_scan.scan(empty).count() == 0
     assert mixing.mix_report(empty).count() == 0
