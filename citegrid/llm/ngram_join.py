@@ -14,9 +14,10 @@ Exact, for any similarity t above one half. Steps:
    compared with the smallest member of its groups: first by *hashed bitmaps*, whose
    bit counts bound the overlap from above, then by intersecting the sorted arrays.
 4. Groups that these links do not connect are compared member by member in blocks of
-   bounded size, again bitmaps first, skipping pairs that are connected already. Only
-   members with a possible partner bring their sets along, and a block returns the
-   links that join its parts, not all pairs.
+   bounded size, by bitmaps, skipping pairs that are connected already. The possible
+   pairs, each once, are checked as in 3; a block with many more of them than members
+   returns its members instead, and a second pass over their sets returns the links
+   that join its parts, not all pairs.
 5. The links' connected components are the result.
 
 Counts are combined before shuffling; the joins meet stored tables, so that a hot tile
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.llm.words import binary, mix, rolling, word_hashes
+from citegrid.llm.words import binary, mix, parts, rolling, word_hashes
 from citegrid.operators.graph import components
 from citegrid.session import Scratch
 
@@ -41,7 +42,9 @@ SHINGLE = 4
 SIMILARITY = (85, 100)
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 # Bytes of sets in one block of step 4, and rows of a list that may be broadcast.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
+# Pairs that a block may return per row before it returns its rows instead.
+PAIRS_PER_ROW = 4
 BROADCAST_ROWS = 1_000_000
 # Rows of an output batch.
 BATCH = 100_000
@@ -105,7 +108,7 @@ def _posts(shingles: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
 
 def _posting_rows(similarity: tuple[int, int], width: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys, owners, rows = [], [], 0
             for doc, s in zip(ids, shingle_sets(binary(batch.column(1)), width)):
@@ -128,7 +131,7 @@ def _posting_rows(similarity: tuple[int, int], width: int):
 
 def _class_rows(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             sizes, digests = [], []
             for s in shingle_sets(binary(batch.column(1)), width):
                 sizes.append(len(s))
@@ -178,7 +181,7 @@ def _linked(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
 
 def _set_rows(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             sets = list(shingle_sets(binary(batch.column(1)), width))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
@@ -188,27 +191,48 @@ def _set_rows(width: int):
     return run
 
 
-def _check_pairs(similarity: tuple[int, int]):
+def _possible_pairs(similarity: tuple[int, int]):
+    """Pairs whose bitmaps allow a link."""
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches):
             c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            if batch.num_rows == 0:
-                continue
-            n_x, n_y = c["n_x"].to_pylist(), c["n_y"].to_pylist()
-            maybe = []
-            for i, (x, y) in enumerate(zip(c["bits_x"].to_pylist(), c["bits_y"].to_pylist())):
+            keep = []
+            for i, (n_x, x, n_y, y) in enumerate(zip(*(c[k].to_pylist() for k in ("n_x", "bits_x", "n_y", "bits_y")))):
                 both = fold([x, y])
-                if _enough(overlap_bound(n_x[i], both[0], n_y[i], both[1]), n_x[i] + n_y[i], similarity):
-                    maybe.append(i)
-            keep = [i for i in maybe if _linked(
-                np.frombuffer(c["set_x"][i].as_py(), np.uint64),
-                np.frombuffer(c["set_y"][i].as_py(), np.uint64), similarity)]
-            yield pa.RecordBatch.from_arrays(
-                [c["source"].take(pa.array(keep, pa.int64())), c["target"].take(pa.array(keep, pa.int64()))],
-                names=["source", "target"])
+                if _enough(overlap_bound(n_x, both[0], n_y, both[1]), n_x + n_y, similarity):
+                    keep.append(i)
+            yield batch.select(["source", "target"]).take(pa.array(keep, pa.int64()))
+    return run
+
+
+def _linked_pairs(similarity: tuple[int, int]):
+    """Pairs whose sets link."""
+    def run(batches):
+        for batch in parts(batches):
+            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            keep = [i for i in range(batch.num_rows) if _linked(
+                np.frombuffer(c["shingles_x"][i].as_py(), np.uint64),
+                np.frombuffer(c["shingles_y"][i].as_py(), np.uint64), similarity)]
+            yield batch.select(["source", "target"]).take(pa.array(keep, pa.int64()))
     return run
 
 
+def _links(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
+    """The pairs that link: bitmaps first, so that few pairs bring their sets along."""
+    def with_sides(rows: DataFrame, *columns: str) -> DataFrame:
+        for at, suffix in (("target", "y"), ("source", "x")):
+            rows = rows.join(sets.select(F.col("doc_id").alias(at), *[F.col(c).alias(f"{c}_{suffix}") for c in columns]), at)
+        return rows
+
+    schema = "source bigint, target bigint"
+    possible = scratch.save(
+        with_sides(pairs, "n", "bits").select("source", "target", "n_x", "bits_x", "n_y", "bits_y")
+        .mapInArrow(_possible_pairs(similarity), schema).distinct(), f"possible-{name}")
+    return scratch.save(
+        with_sides(possible, "shingles").select("source", "target", "shingles_x", "shingles_y")
+        .mapInArrow(_linked_pairs(similarity), schema).distinct(), name)
+
+
 def _partners(n, side, part, bits, similarity) -> Iterator[tuple[int, np.ndarray]]:
     """Per row of a block the later rows that it may link with and that lie in other parts.
 
@@ -232,15 +256,28 @@ def _block_arrays(table: pa.Table):
 
 
 def _filter_block(similarity: tuple[int, int]):
-    """The rows of a block that may link with a row of another part, by their bitmaps."""
+    """Pairs of a block that may link and lie in different parts, by their bitmaps.
 
+    A row per pair, with ``other``; but where pairs are many more than rows, the rows
+    that are in any, without ``other``, so that what comes out follows what went in.
+    """
     def run(table: pa.Table) -> pa.Table:
         table, n, side, part, bits = _block_arrays(table)
         keep = np.zeros(len(n), bool)
+        first, second, many = [], [], 0
         for i, rest in _partners(n, side, part, bits, similarity):
             keep[i] = True
             keep[rest] = True
-        return table.filter(pa.array(keep)).select(["key", "lo", "hi", "side", "doc_id", "root", "n", "bits"])
+            many += len(rest)
+            if many <= PAIRS_PER_ROW * len(n):
+                first += [i] * len(rest)
+                second += rest.tolist()
+        columns = ["key", "lo", "hi", "side", "doc_id", "root", "n"]
+        if many <= PAIRS_PER_ROW * len(n):
+            out = table.take(pa.array(first, pa.int64())).select(columns)
+            return out.append_column("other", table["doc_id"].take(pa.array(second, pa.int64())))
+        out = table.filter(pa.array(keep)).select(columns)
+        return out.append_column("other", pa.nulls(out.num_rows, pa.int64()))
 
     return run
 
@@ -312,16 +349,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
         .dropDuplicates(["doc_id", "shingles"]) if seen["rows"] else
         spark.createDataFrame([], "doc_id bigint, n bigint, shingles binary, bits binary"), "sets")
 
-    def side(at: str, suffix: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(at), F.col("n").alias(f"n_{suffix}"),
-                           F.col("shingles").alias(f"set_{suffix}"), F.col("bits").alias(f"bits_{suffix}"))
-
     pairs = scratch.save(grouped.where("doc_id <> lead").select(
         F.col("lead").alias("source"), F.col("doc_id").alias("target")).distinct(), "pairs")
-    links = scratch.save(
-        pairs.join(side("target", "y"), "target").join(side("source", "x"), "source")
-        .select("source", "target", "n_x", "set_x", "bits_x", "n_y", "set_y", "bits_y")
-        .mapInArrow(_check_pairs(similarity), "source bigint, target bigint").distinct(), "links")
+    links = _links(pairs, sets, similarity, scratch, "links")
 
     def joined(edges: DataFrame, name: str) -> DataFrame:
         found = components(edges.select(F.lit(0).alias("network"), "source", "target"))
@@ -345,24 +375,32 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
         .alias("side"), "doc_id", "root")
     block = ["key", "lo", "hi"]
-    near = scratch.save(
+    near, seen = scratch.measure(
         cells.join(sets.select("doc_id", "n", "bits"), "doc_id").groupBy(*block).applyInArrow(
             _filter_block(similarity),
-            "key bigint, lo int, hi int, side int, doc_id bigint, root bigint, n bigint, bits binary"), "near")
-    more = scratch.save(
-        near.join(sets.select("doc_id", "n", "shingles"), ["doc_id", "n"]).groupBy(*block)
-        .applyInArrow(_compare_block(similarity), "source bigint, target bigint").distinct(), "more")
+            "key bigint, lo int, hi int, side int, doc_id bigint, root bigint, n bigint, other bigint"), "near",
+        F.count(F.lit(1)).alias("rows"), F.count("other").alias("pairs"))
     every = roots
-    if not more.isEmpty():
-        every = joined(links.unionByName(more), "every")
+    if seen["rows"]:
+        closer = near.where("other IS NOT NULL").select(
+            F.least("doc_id", "other").alias("source"), F.greatest("doc_id", "other").alias("target")).distinct()
+        more = _links(closer.join(pairs, ["source", "target"], "left_anti"), sets, similarity, scratch, "more")
+        if seen["pairs"] < seen["rows"]:
+            more = more.unionByName(scratch.save(
+                near.where("other IS NULL").drop("other").join(
+                    sets.select("doc_id", "n", "bits", "shingles"), ["doc_id", "n"])
+                .groupBy(*block).applyInArrow(_compare_block(similarity), "source bigint, target bigint").distinct(),
+                "most"))
+        if not more.isEmpty():
+            every = joined(links.unionByName(more), "every")
 
     known = scratch.save(classes.join(every.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
         "class", F.coalesce("root", "rep").alias("component")), "known")
     out = scratch.save(members.join(known, "class", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")), "result")
-    scratch.drop("members", "classes", "groups", "grouped", "wanted", "sets", "pairs", "links", "roots", "apart",
-                 "size", "near", "more", "every", "known")
+    scratch.drop("members", "classes", "groups", "grouped", "wanted", "sets", "pairs", "links", "possible-links", "roots",
+                 "apart", "size", "near", "more", "possible-more", "most", "every", "known")
     return out
 
 
