@@ -21,6 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citegrid.llm.store import short_batches
 from citegrid.llm.units import Units
 from citegrid.llm.words import parts
 
@@ -201,6 +202,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fals
     an empty table gives an empty result; further columns are not read.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    short_batches(docs.sparkSession)
     if keep_ids:
         schema += ", ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(

@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citegrid.llm.store import short_batches
 from citegrid.llm.words import binary, mix, parts, rolling, word_hashes
 from citegrid.operators.graph import components
 from citegrid.session import Scratch
@@ -317,6 +318,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
     columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     scratch = scratch or Scratch(spark, "ngram-join")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())

@@ -23,6 +23,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citegrid.llm.store import short_batches
 from citegrid.llm.words import SLAB, binary, parts, word_hashes
 from citegrid.session import Scratch
 
@@ -184,6 +185,7 @@ def fold_of(doc_id: Column) -> Column:
 def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES,
               cost: float = 1.0, scratch: Scratch | None = None) -> tuple[float, float, np.ndarray]:
     """(slope, offset, weight per dimension), from rows whose ``fold_of`` is not 2."""
+    short_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "quality")
     known, seen = scratch.measure(
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))

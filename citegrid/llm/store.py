@@ -10,6 +10,15 @@ from pyspark.sql import SparkSession
 from citegrid.session import scratch_root
 
 
+# Rows of whole texts that travel to Python at a time; Spark's own default is ten times as many.
+BATCH_ROWS = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Keep the batches of this session's Python stages small, since texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def folder(spark: SparkSession, label: str) -> str:
     """A new folder under the shared scratch root, as a URI."""
     root = scratch_root(spark).rstrip("/")

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citegrid.llm.store import short_batches
 from citegrid.llm.words import binary, parts, rolling, word_hashes
 from citegrid.session import Scratch
 
@@ -168,6 +169,7 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
 def repeated_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, scratch: Scratch | None = None,
                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Texts that lose words: ``(key, n_removed, kept_sha256, kept)`` with ``key = xxhash64(text)``."""
+    short_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "substring-dedup")
     gram = min(gram, width)
     texts = _keyed(docs).where(F.col("text").isNotNull())

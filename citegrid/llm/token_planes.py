@@ -241,6 +241,7 @@ def write_ids(docs: DataFrame, path: str, pattern: str, end_id: int, mode: str =
     repeated rows are written as often as they occur.
     """
     spark = docs.sparkSession
+    store.short_batches(spark)
     scratch = scratch or Scratch(spark, "token-planes")
     root = store.folder(spark, "id-files")
     manifest = scratch.save(

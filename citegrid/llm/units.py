@@ -17,8 +17,8 @@ import regex
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 # Units and pieces kept, and the longest unit.
-KEPT = 150_000
-PIECES = 150_000
+KEPT = 100_000
+PIECES = 100_000
 LONGEST = 48
 _MARKS = (".", ",", ";", ":", "!", "?")
 

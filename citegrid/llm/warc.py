@@ -197,6 +197,7 @@ def write_archives(pages: DataFrame, min_bytes: int = MIN_BYTES, archive_bytes:
     empty payload. Rows that repeat the largest id are all responses, and so are pages
     without id if none of the equal ones has an id.
     """
+    store.short_batches(pages.sparkSession)
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
