@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by a permutation index (Amato, Savino, 2008).
 
 A vector is represented by its nearest pivots, in order of distance. Pivots are drawn
-from a bounded sample of the rows (the first ``pivots`` in hash order); every row is
-indexed. Blocks of rows keep an inverted file per pivot with the rows that have it among
+from the distinct vectors (the first ``pivots`` in hash order); every row is indexed. Blocks of rows keep an inverted file per pivot with the rows that have it among
 their nearest and its position there. A query reads the files of its own nearest pivots
 and ranks the rows it meets by Spearman's footrule between the two orders, a pivot that
-one side lacks counting as just behind its last. The best share of each block is ranked
-again by cosine, and the best of all blocks are the result.
+one side lacks counting as just behind its last. Copies of one vector are ranked as one,
+so that they take one place in a block however many they are. The best share of each
+block, of equal footrules those with the smaller ids, is ranked again by cosine, and the
+best of all blocks are the result.
 """
 
 from __future__ import annotations
@@ -30,7 +31,23 @@ SHARE, LEAST = 0.12, 100
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length 1, scaled by their largest component first so that squares stay finite."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True) + 0.0  # no negative zeros
+
+
+def _copies(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First row of each distinct vector, ascending, and its first ``most`` rows (-1 where it has fewer)."""
+    n = len(rows)
+    octets = np.ascontiguousarray(rows).view(f"V{rows.itemsize * rows.shape[1]}").ravel()
+    _, lead, group = np.unique(octets, return_index=True, return_inverse=True)
+    place = np.empty(len(lead), np.int64)
+    place[np.argsort(lead)] = np.arange(len(lead))
+    group = place[group.ravel()]
+    order = np.argsort(group, kind="stable")
+    nth = np.arange(n) - np.searchsorted(group[order], group[order])
+    few = nth < most
+    members = np.full((len(lead), most), -1, np.int64)
+    members[group[order][few], nth[few]] = order[few]
+    return members[:, 0], members
 
 
 def _represent(pivots: dict[int, np.ndarray], prefix: int):
@@ -70,23 +87,33 @@ def _cell(k: int, share: float, least: int):
         (ids, rows, near), (query_ids, queries, asked) = sides(table, "vector", "near")
         out: list[list] = [[], [], []]
         if len(ids) and len(query_ids):
-            n, prefix = near.shape
             rows, queries = _unit(rows), _unit(queries)
+            keep = max(least, int(np.ceil(share * len(rows))))
+            # Of each vector only the smallest ids, besides the query's own, can be among the k first.
+            lead, members = _copies(rows, k + 1)
+            rows, near = rows[lead], near[lead]
+            n, prefix = near.shape
+            keep = min(n, keep)
             # Postings of each pivot: rows, and prefix minus position.
             flat = near.ravel()
             order = np.argsort(flat, kind="stable")
             cut = np.searchsorted(flat[order], np.arange(max(flat.max(), asked.max()) + 2))
             files = [(order[a:b] // prefix, (prefix - order[a:b] % prefix).astype(np.int32))
                      for a, b in zip(cut[:-1], cut[1:])]
-            keep = min(n, max(least, int(np.ceil(share * n))))
+            behind = np.arange(n)
             for q in range(len(query_ids)):
-                gain = footrule_gain(files, asked[q], n, prefix)
-                at = np.argpartition(-gain, keep - 1)[:keep]
-                at = at[ids[at] != query_ids[q]]
-                score = rows[at] @ queries[q]
-                first = np.lexsort((ids[at], -score))[:k]
+                gain = footrule_gain(files, asked[q], n, prefix).astype(np.int64)
+                at = np.argpartition(behind - gain * n, keep - 1)[:keep]
+                # Summed row by row: a matrix product may round copies differently.
+                score = (rows[at] * queries[q]).sum(axis=1)
+                # Each vector but the query's own has a candidate.
+                top = np.lexsort((at, -score))[:k + 1]
+                found, score = members[at[top]].ravel(), np.repeat(score[top], k + 1)
+                other = (found >= 0) & (ids[found] != query_ids[q])
+                found, score = found[other], score[other]
+                first = np.lexsort((ids[found], -score))[:k]
                 out[0] += [query_ids[q]] * len(first)
-                out[1] += ids[at[first]].tolist()
+                out[1] += ids[found[first]].tolist()
                 out[2] += score[first].tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()),
                          "score": pa.array(out[2], pa.float64())})
@@ -108,8 +135,10 @@ def nearest(table: DataFrame, k: int = K, every: int = 50, pivots: int = PIVOTS,
     dims = [r["dim"] for r in rows.select(F.size("vector").alias("dim")).distinct().collect()]
     known = {}
     for dim in dims:  # one length in all ordinary tables
-        drawn = (rows.where(F.size("vector") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots)
-                 .select("vector").collect())
+        # Hashes alone are made distinct, so that no vectors travel but those drawn.
+        hashed = rows.where(F.size("vector") == dim).withColumn("h", F.xxhash64("vector"))
+        first = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(pivots).collect()]
+        drawn = hashed.where(F.col("h").isin(first)).groupBy("h").agg(F.min("vector").alias("vector")).orderBy("h").collect()
         known[dim] = _unit(np.array([r["vector"] for r in drawn]))
     # Lengths with few rows have few pivots; orders of one length are equally long.
     indexed = rows.mapInArrow(_represent(known, prefix), "vec_id bigint, vector array<double>, near array<int>")

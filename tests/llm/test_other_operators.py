@@ -221,6 +221,29 @@ def test_permutation_index(vectors, cell_rows):
     assert hits / asked >= 0.9
 
 
+@pytest.mark.parametrize("cell_rows", [4096, 1000])
+def test_permutation_index_where_a_third_is_one_vector(spark, cell_rows):
+    draw = np.random.default_rng(12)
+    hot = draw.normal(size=8)
+    known = {i: hot if draw.random() < 1 / 3 else draw.normal(size=8) for i in range(3_000)}
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in known.items()], "vec_id bigint, embedding array<double>")
+    found: dict[int, list] = {}
+    for r in permutation_index.nearest(table, pivots=32, prefix=16, cell_rows=cell_rows).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    copies = [i for i, v in known.items() if v is hot]
+    unit = np.stack([v / np.linalg.norm(v) for v in known.values()])
+    hits = asked = 0
+    for q in range(0, 3_000, 50):
+        cosine = (unit * unit[q]).sum(axis=1)
+        best = [i for i in np.lexsort((np.arange(3_000), -cosine)).tolist() if i != q][:5]
+        if known[q] is hot:
+            assert found[q] == [i for i in copies if i != q][:5]
+        else:
+            hits += len(set(best) & set(found[q]))
+            asked += 5
+    assert hits / asked >= 0.9
+
+
 def test_searches_of_empty_tables(spark):
     empty = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert topk_nra.top_inner_products(empty).count() == 0
