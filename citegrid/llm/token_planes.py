@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +167,7 @@ class PlaneReader:
 
 
 _ENCODERS: dict[str, Units] = {}
+_TEXT_ENCODERS: dict[str, Callable[[list[str]], list[bytes]]] = {}
 
 
 def byte_chars() -> dict[int, str]:
@@ -199,11 +200,33 @@ def encoder(path: str, pattern: str) -> Units:
     return _ENCODERS[path]
 
 
+def text_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
+    """Encoder of whole texts, as the library's ``encode`` without special tokens around them.
+
+    A text that holds one of the file's added tokens, such as ``<|endoftext|>``, goes
+    through the library whole, which sets those apart before the pattern splits the rest.
+    """
+    if path not in _TEXT_ENCODERS:
+        from tokenizers import Tokenizer
+
+        tool, units = Tokenizer.from_file(path), encoder(path, pattern)
+        added = [t.content for t in tool.get_added_tokens_decoder().values() if t.content]
+
+        def encode(texts: list[str]) -> list[bytes]:
+            whole = [any(a in t for a in added) for t in texts]
+            plain = iter(units([t for t, w in zip(texts, whole) if not w]))
+            return [np.array(tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else next(plain)
+                    for t, w in zip(texts, whole)]
+
+        _TEXT_ENCODERS[path] = encode
+    return _TEXT_ENCODERS[path]
+
+
 def _write(path: str, pattern: str, end_id: int, root: str, mode: str, block: int, file_ids: int):
     end = np.array([end_id], "<u4")
 
     def run(batches):
-        encode = encoder(path, pattern)
+        encode = text_encoder(path, pattern)
         part, number = TaskContext.get().partitionId(), 0
         writer, uri = None, ""
 

@@ -207,6 +207,24 @@ def test_id_files_round_trip(texts, plain, mode):
     assert [tuple(r) for r in got] == want
 
 
+def test_id_files_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool = Tokenizer.from_file(path)
+    data = [(1, "a <|endoftext|> b"), (2, "plain words"), (3, "<|endoftext|>"), (4, "x  <|endoftext|><|endoftext|>\n é"),
+            (5, "<|endoftext |> <|ENDOFTEXT|>"), (6, ""), (7, "it's" + "<|endoftext|>" * 3 + "  end")]
+    want, at = [], 0
+    for i, text in data:
+        ids = np.array(tool.encode(text, add_special_tokens=False).ids + [2], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert tool.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = token_planes.planes_round_trip(spark.createDataFrame(data, "doc_id bigint, text string"), path,
+                                         public_tokenizers.PATTERN, 2).orderBy("start").collect()
+    assert [tuple(r) for r in got] == want
+
+
 def test_cut_off_id_file_is_refused(tmp_path):
     import io
 
