@@ -9,7 +9,9 @@ before broadcasting.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +59,7 @@ SPELLINGS = (
     (" https ", " http "),
 )
 
-#: Known texts by SPDX name; notices of one line are marked as such.
+#: Known texts by SPDX name, long ones in files; notices of one line are marked as such.
 MIT = """MIT License
 
 Copyright (c) <year> <copyright holders>
@@ -108,16 +110,47 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 
 For more information, please refer to <https://unlicense.org>
 """
+_BSD2, _BSD3 = _BSD_HEAD + _BSD_TAIL, _BSD_HEAD + _BSD_NAMES + _BSD_TAIL
+_ISC = (_ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n"
+        + _ISC_TAIL)
+
+
+def _file(name: str) -> str:
+    return files("citegrid.llm").joinpath("licenses", f"{name}.txt").read_text(encoding="utf-8")
+
+
+def _titled(name: str, titles: Sequence[str], *bodies: str) -> list[tuple[str, str]]:
+    """Each text alone and under each title, with and without the numbers of its points."""
+    bodies = tuple(dict.fromkeys(b for body in bodies for b in (body, re.sub(r"(?m)^[1-9]\. ", "", body))))
+    return [(name, title + "\n\n" + body) for title in ("", *titles) for body in bodies]
+
+
+def _long(name: str, title_lines: Sequence[int], end: str = "") -> list[tuple[str, str]]:
+    """A file as it is and without its first lines, each also up to ``end``, where what follows is advice."""
+    lines = _file(name).strip().splitlines(keepends=True)
+    texts = ["".join(lines[n:]) for n in (0, *title_lines)]
+    return [(name, t) for text in texts for t in ([text, text[:text.index(end) + len(end)]] if end else [text])]
+
+
+_END = "END OF TERMS AND CONDITIONS"
 KNOWN = (
-    ("MIT", MIT),
-    ("MIT", MIT.removeprefix("MIT License\n")),
-    ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL),
-    ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
-    ("ISC", _ISC_GRANT + ", provided that the above copyright notice and this permission notice appear in all copies.\n"
-     + _ISC_TAIL),
-    ("0BSD", _ISC_GRANT + ".\n" + _ISC_TAIL),
-    ("Zlib", ZLIB),
-    ("Unlicense", UNLICENSE),
+    *_titled("MIT", ("MIT License", "The MIT License", "The MIT License (MIT)"), MIT.removeprefix("MIT License\n")),
+    *_titled("BSD-2-Clause", ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License'), _BSD2),
+    *_titled("BSD-3-Clause", ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+             _BSD3, _file("BSD-3-Clause")),
+    *_titled("ISC", ("ISC License", "The ISC License", "ISC License (ISC)"), _ISC),
+    *_titled("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD"), _ISC_GRANT + ".\n" + _ISC_TAIL),
+    *_titled("Zlib", ("zlib License", "The zlib License", "The zlib/libpng License"), ZLIB),
+    *_titled("Unlicense", ("The Unlicense", "Unlicense"), UNLICENSE),
+    *_long("Apache-2.0", (3,), _END),
+    *_long("GPL-1.0", (2,), _END),
+    *_long("GPL-2.0", (2,), _END),
+    *_long("GPL-3.0", (2,), _END),
+    *_long("LGPL-2.0", (2,), _END),
+    *_long("LGPL-2.1", (2,), _END),
+    *_long("LGPL-3.0", (2,)),
+    *_long("MPL-2.0", (2,)),
+    *_long("CC0-1.0", (1, 3)),
     ("notice: MIT", "Released under the MIT License."),
     ("notice: Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("notice: GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),

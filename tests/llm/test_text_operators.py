@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from importlib.resources import files
 
 import numpy as np
 import public_tokenizers
@@ -258,6 +259,31 @@ def test_license_scan(spark, texts):
     assert license_scan.scan(texts).count() == texts.count()
 
 
+def test_license_scan_knows_the_common_licences(spark):
+    def whole(name):
+        return files("citegrid.llm").joinpath("licenses", f"{name}.txt").read_text()
+
+    long = ["Apache-2.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-3-Clause"]
+    data = [(name, whole(name)) for name in long]
+    data += [("Apache-2.0", whole("Apache-2.0").split("   APPENDIX")[0]),
+             ("Apache-2.0", whole("Apache-2.0").replace("[yyyy] [name of copyright owner]", "2020 A. Person")),
+             ("GPL-2.0", whole("GPL-2.0").split("Version 2, June 1991")[1].replace("\n", "\r\n")),
+             ("MPL-2.0", whole("MPL-2.0").split("==\n")[1]), ("CC0-1.0", whole("CC0-1.0").split("Legal Code")[1]),
+             (None, whole("GPL-3.0") + " extra"), (None, whole("Apache-2.0")[:5_000])]
+    named = {"MIT": "The MIT License (MIT)", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License",
+             "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "Zlib": "zlib License", "Unlicense": "The Unlicense"}
+    bodies = {"MIT": license_scan.MIT.removeprefix("MIT License\n"), "Zlib": license_scan.ZLIB, "Unlicense": license_scan.UNLICENSE,
+              "BSD-2-Clause": license_scan._BSD_HEAD + license_scan._BSD_TAIL,
+              "BSD-3-Clause": license_scan._BSD_HEAD + license_scan._BSD_NAMES + license_scan._BSD_TAIL,
+              "ISC": license_scan._ISC_GRANT + ", provided that the above copyright notice and this permission notice "
+                     "appear in all copies." + license_scan._ISC_TAIL,
+              "0BSD": license_scan._ISC_GRANT + "." + license_scan._ISC_TAIL}
+    data += [(name, title + "\n\n" + bodies[name]) for name, title in named.items()] + list(bodies.items())
+    data += [("BSD-3-Clause", bodies["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
+    got = license_scan.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(data)], "doc_id bigint, text string"))
+    assert {r["doc_id"]: r["license"] for r in got.collect()} == {i: name for i, (name, _) in enumerate(data)}
+
+
 def test_license_scan_runs_without_python(texts):
     plan = license_scan.scan(texts)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
