@@ -25,14 +25,8 @@ def test_checks_belong_to_queries():
     assert set(QUERIES) - set(CHECKS) == {"nodes_louvain", "nodes_leiden", "nodes_table"}
 
 
-# Minutes each; the same code runs on small graphs in test_graph.py and test_keys_io.py.
-HEAVY = {"network_run", "louvain_invariants", "leiden_invariants"}
-
-
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_query(spark, con, name):
-    if name in HEAVY and not os.environ.get("TEST_HEAVY"):
-        pytest.skip("set TEST_HEAVY=1")
     ok, message = compare(spark, con, name, QUERIES[name], CHECKS[name], SF_DIR)
     assert ok, message
 
