@@ -168,3 +168,12 @@ def _register_license_scan() -> None:
 
 
 _register_license_scan()
+
+
+def _register_quality_rules() -> None:
+    from citegrid.llm.quality_rules import judge, judge_sql
+
+    query("op11_quality_rules", judge_sql())(lambda spark, sf_dir: judge(table(spark, sf_dir, "documents")))
+
+
+_register_quality_rules()
