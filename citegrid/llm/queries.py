@@ -177,3 +177,13 @@ def _register_quality_rules() -> None:
 
 
 _register_quality_rules()
+
+
+def _register_collocations() -> None:
+    from citegrid.llm.collocations import collocations, collocations_sql
+
+    query("op13_collocations", collocations_sql())(
+        lambda spark, sf_dir: collocations(table(spark, sf_dir, "documents")))
+
+
+_register_collocations()
