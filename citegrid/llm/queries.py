@@ -187,3 +187,13 @@ def _register_collocations() -> None:
 
 
 _register_collocations()
+
+
+def _register_lexical_search() -> None:
+    from citegrid.llm.lexical_search import rank_documents, search_sql
+
+    query("op12_lexical_search", search_sql())(lambda spark, sf_dir: rank_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+_register_lexical_search()
