@@ -7,11 +7,13 @@ some shard at least as often as that shard's share of f, so:
 1. Every task mines its texts shard by shard, each shard completely: phrases that reach
    the shard's proportional support are its locally frequent ones. In a large language a
    shard's part of the support is below one occurrence, so there all phrases are.
-2. Locally frequent phrases are united, as hashes. Their summed local counts, plus what
-   the shards may have left out, must reach the support; those that can are marked in a
-   bit table of fixed size, which is the only thing that goes back to the tasks.
-3. A second pass over the texts counts the marked phrases, now by their words. These
-   counts are exact and decide; a mark too many costs a row and changes nothing.
+2. Locally frequent phrases are united, as places in a table of counters: the hash of a
+   phrase is its place. Counters are summed in slices; places whose sum, with what the
+   shards may have left out, reaches the support are marked. The table of marks, a bit per
+   place and of bounded size, is the only thing that goes back to the tasks.
+3. A second pass over the texts counts the phrases whose place and whose parts' places are
+   marked, now by their words. These counts are exact and decide; a mark too many, as
+   places are shared, costs a row and changes nothing.
 
 Inside a shard words and phrases are numbered, so its counts are exact as well. A part of
 a phrase is at least as frequent as the phrase, so all counts that a score needs are among
@@ -26,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citegrid.llm import marks
 from citegrid.llm.store import short_batches
 from citegrid.llm.words import binary, mix
 from citegrid.session import Scratch
@@ -40,14 +44,13 @@ NO_LANG = "und"
 #: Per hundred of its own count that a longer phrase must reach to take a shorter one's place.
 NESTED = 50
 # Bytes of text in a shard.
-SHARD_BYTES = 1 << 23
+SHARD_BYTES = 1 << 21
 # Words of a language from which on every phrase counts as locally frequent, and languages
 # whose totals are sent to the tasks; the shards of others have a support of one.
 LARGE_LANG, MOST_LANGS = 10_000_000, 10_000
-# Bits of the table of marked phrases.
-MARK_BITS = 1 << 27
-_SLICE = 1 << 15
 BATCH = 200_000
+# Parts of a language that are ranked before the whole.
+PARTS = 8
 
 #: Word runs of a text, for counting them without splitting.
 RUN = r"[^\x20\x09\x0A-\x0D.,;:!?]+"
@@ -146,37 +149,40 @@ def local_support(words: int, total: int, support: int) -> int:
     return max(1, -(-support * words // max(total, 1)))
 
 
-def _local_rows(longest: int, support: int, totals: dict[str, int], size: int, large: int):
-    """(key, n, spare) of each shard's locally frequent phrases."""
+def _local_rows(longest: int, support: int, totals: dict[str, int], size: int, large: int, places: int, salts: int):
+    """(slice, salt, entries) of each shard's locally frequent phrases."""
     def run(batches):
+        salt = TaskContext.get().partitionId() % salts
         for langs, texts in shards(batches, size):
             shard = Shard(langs, texts, longest)
             small = [totals.get(x, large) < large for x in shard.langs]
             least = np.array([local_support(int(n), totals[x], support) if s else 1
                               for x, n, s in zip(shard.langs, shard.n_words, small)])
             # What all shards together may leave out of a phrase is below the support.
-            spare = np.array([support - 1 if s else 0 for s in small], np.int32)
+            spare = np.array([support - 1 if s else 0 for s in small])
+            found, n = [], []
             for level, (_, _, counts, hashes) in enumerate(shard.levels):
                 lang = shard.lang_of(level, np.arange(len(counts)))
-                keep = np.flatnonzero(counts >= least[lang])
-                for a in range(0, len(keep), BATCH):
-                    at = keep[a:a + BATCH]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes[at].view(np.int64)), pa.array(counts[at].astype(np.int32)), pa.array(spare[lang[at]])],
-                        names=["key", "n", "spare"])
+                keep = counts >= least[lang]
+                found.append(hashes[keep])
+                n.append(np.minimum(counts[keep], 255) + spare[lang[keep]])
+            yield marks.entries(np.concatenate(found), np.concatenate(n), places, salt)
     return run
 
 
-def _counted_rows(longest: int, marks, bits: int, size: int):
+def _counted_rows(longest: int, known, size: int):
     """(lang, phrase, words, n) of each shard's marked phrases."""
     def run(batches):
-        table = np.frombuffer(marks.value, np.uint8)
         for langs, texts in shards(batches, size):
             shard = Shard(langs, texts, longest)
             names = pa.array(shard.langs, pa.string())
-            for level, (_, _, counts, hashes) in enumerate(shard.levels):
-                place = (hashes & np.uint64(bits - 1)).astype(np.int64)
-                keep = np.flatnonzero(table[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            passed = []
+            for level, (first, last, counts, hashes) in enumerate(shard.levels):
+                good = marks.marked(known, hashes)
+                if level:
+                    good &= passed[-1][first] & passed[0][last]
+                passed.append(good)
+                keep = np.flatnonzero(good)
                 for a in range(0, len(keep), BATCH):
                     at = keep[a:a + BATCH]
                     yield pa.RecordBatch.from_arrays([
@@ -186,17 +192,6 @@ def _counted_rows(longest: int, marks, bits: int, size: int):
     return run
 
 
-def _mark_table(keys: DataFrame, bits: int) -> bytes:
-    """A bit per hash, built in slices by Spark; the driver joins ``bits / 8`` bytes."""
-    place = F.col("key").bitwiseAND(F.lit(bits - 1).cast("bigint"))
-    rows = (keys.select(F.floor(place / _SLICE).cast("int").alias("slice"), (place % _SLICE).alias("bit"))
-            .groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("marks")).collect())
-    table = bytearray(max(bits, _SLICE) // 8)
-    for r in rows:
-        table[r["slice"] * _SLICE // 8:(r["slice"] + 1) * _SLICE // 8] = r["marks"]
-    return bytes(table)
-
-
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"),
                        F.col("text").cast("string").alias("text"))
@@ -209,18 +204,25 @@ def lang_words(docs: DataFrame) -> DataFrame:
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT, scratch: Scratch | None = None,
-                     shard_bytes: int = SHARD_BYTES, large: int = LARGE_LANG, mark_bits: int = MARK_BITS) -> DataFrame:
-    """``(lang, phrase, words, f)`` of all phrases of up to ``longest`` words with f >= ``support``."""
+                     shard_bytes: int = SHARD_BYTES, large: int = LARGE_LANG, most_places: int = marks.MOST_PLACES,
+                     group_bytes: int = marks.GROUP_BYTES) -> DataFrame:
+    """``(lang, phrase, words, f)`` of all phrases of up to ``longest`` words with f >= ``support``.
+
+    ``support`` is at most 246. Beyond some 10^9 different phrases most places are marked
+    and the second pass counts nearly all of them; counts stay exact.
+    """
     spark = docs.sparkSession
     short_batches(spark)
     scratch = scratch or Scratch(spark, "collocations")
-    known = scratch.save(lang_words(docs), "lang-words")
-    totals = {r["lang"]: r["n"] for r in known.orderBy("n", "lang").limit(MOST_LANGS).collect()}
+    sizes = scratch.save(lang_words(docs), "lang-words")
+    totals = {r["lang"]: r["n"] for r in sizes.orderBy("n", "lang").limit(MOST_LANGS).collect()}
+    words = sizes.agg(F.sum("n")).first()[0] or 0
+    places = marks.places_for(2 * words, most_places)
+    salts = marks.salts_for(longest * words, group_bytes)
     texts = _texts(docs).where(F.col("text").isNotNull())
-    local = texts.mapInArrow(_local_rows(longest, support, totals, shard_bytes, large), "key bigint, n int, spare int")
-    united = local.groupBy("key").agg(F.sum("n").alias("n"), F.max("spare").alias("spare")).where(F.col("n") + F.col("spare") >= support)
-    marks = spark.sparkContext.broadcast(_mark_table(united, mark_bits))
-    counted = texts.mapInArrow(_counted_rows(longest, marks, mark_bits, shard_bytes),
+    known = marks.mark(texts.mapInArrow(
+        _local_rows(longest, support, totals, shard_bytes, large, places, salts), marks.ENTRIES), support, places, salts)
+    counted = texts.mapInArrow(_counted_rows(longest, known, shard_bytes),
                                "lang string, phrase string, words int, n bigint")
     return scratch.save(counted.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.sum("n").alias("f"))
                         .where(F.col("f") >= support), "frequent")
@@ -285,8 +287,12 @@ def collocations(docs: DataFrame, longest: int = LONGEST, support: int = SUPPORT
     inside = scratch.save(nested(frequent, longest), "nested")
     left = scored.join(inside, ["lang", "phrase"], "left").where(
         F.col("top").isNull() | (100 * F.col("top") < NESTED * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    first = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+    # First the best of each of a few parts, so that one task orders a bounded number of rows.
+    some = left.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("at") <= top)
+    order = Window.partitionBy("lang").orderBy(*best)
+    first = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     total = lang_words(docs)
     return first.join(total, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 

@@ -62,8 +62,8 @@ def corpus(seed, docs=150):
     {},
     {"shard_bytes": 60},  # many shards with a support below the global one
     {"shard_bytes": 400, "large": 0},  # every language counts as large
-    {"shard_bytes": 200, "mark_bits": 1 << 15},
-    {"shard_bytes": 60, "mark_bits": 8},  # nearly everything is marked
+    {"shard_bytes": 200, "group_bytes": 1},  # counters are summed in two steps
+    {"shard_bytes": 60, "most_places": 1},  # few places, shared by many phrases
     {"longest": 4, "support": 4, "shard_bytes": 300},
     {"longest": 2, "top": 3},
 ])
