@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # Candidates and queries of one cell, at most in the mean.
 CELL_ROWS = 4096
 CELL_QUERIES = 1024
+MOST_PARTITIONS = 20_000
 
 
 def usable(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -36,12 +37,14 @@ def in_cells(rows: DataFrame, is_query: Column, run: Callable[[pa.Table], pa.Tab
     Rows are dealt into blocks by a hash of their id, so that a cell holds about
     ``cell_rows`` rows and ``cell_queries`` queries whatever the size of the table;
     vectors of different lengths do not meet. ``run`` gets ``role`` 0 for rows, 1 for
-    queries, and returns a few rows per query.
+    queries, and returns a few rows per query. The number of partitions follows the cells:
+    their bytes say nothing about the work, so they must not be put together by size.
     """
     rows = rows.withColumn("dim", F.size("vector")).withColumn("asks", is_query)
     blocks = rows.groupBy("dim").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias("row_blocks"),
         F.ceil(F.sum(F.col("asks").cast("int")) / F.lit(cell_queries)).cast("int").alias("query_blocks"))
+    cells = blocks.agg(F.sum(F.col("row_blocks").cast("bigint") * F.col("query_blocks"))).first()[0] or 0
     dealt = rows.join(blocks.where("query_blocks > 0"), "dim").withColumn("turn", F.xxhash64("vec_id"))
     keep = ["vec_id", "vector", *carry]
     met = dealt.select(
@@ -50,7 +53,8 @@ def in_cells(rows: DataFrame, is_query: Column, run: Callable[[pa.Table], pa.Tab
     asked = dealt.where("asks").select(
         "dim", F.explode(F.expr("sequence(0, row_blocks - 1)")).alias("r"),
         F.pmod("turn", "query_blocks").cast("int").alias("q"), F.lit(1).alias("role"), *keep)
-    return met.unionByName(asked).groupBy("dim", "r", "q").applyInArrow(run, schema)
+    return (met.unionByName(asked).repartition(min(max(2 * cells, 1), MOST_PARTITIONS), "dim", "r", "q")
+            .groupBy("dim", "r", "q").applyInArrow(run, schema))
 
 
 def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:

@@ -3,8 +3,12 @@
 import base64
 import hashlib
 import importlib
+import math
+import operator
 import os
+import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -183,12 +187,40 @@ def test_exact_top_k(vectors, cell_rows):
 
 def test_bounds_stop_before_the_lists_end():
     rows = np.concatenate([np.full((20, 4), 500.0), np.random.default_rng(0).integers(0, 50, (400, 4)).astype(float)])
-    found = topk_nra.best_rows(rows, np.arange(420), np.ones((1, 4)), np.array([-1]), 5, depths=(0.1,))
+    found = topk_nra.best_rows(rows, np.arange(420), np.ones((1, 4)), np.array([-1]), 5, depths=(0.1,), scale=1)
     assert [(j, s) for _, j, s in found] == [(j, 2000) for j in range(5)] or found == []
-    found = topk_nra.best_rows(rows, np.arange(420), np.ones((1, 4)), np.array([-1]), 5)
+    found = topk_nra.best_rows(rows, np.arange(420), np.ones((1, 4)), np.array([-1]), 5, scale=1)
     assert [(j, s) for _, j, s in found] == [(j, 2000) for j in range(5)]
 
 
+@pytest.mark.parametrize("cell_rows", [4096, 5])
+def test_exact_top_k_of_very_large_components(spark, cell_rows):
+    """Beyond 2^53, beyond 64 bits and far beyond doubles, beside plain rows."""
+    draw = random.Random(3)
+    data = [(i, [2.0**17 + draw.randrange(4) / 1024 for _ in range(3)]) for i in range(90, 140)]
+    data += [(i, [draw.choice([-1, 1]) * 2.0**draw.randrange(20, 40) for _ in range(3)]) for i in range(190, 215)]
+    data += [(i, [1.0, float(i), -2.0]) for i in range(290, 330)]
+    data += [(400, [1e300, 1e308, -3.0]), (401, [-1e300, 5.0, 1.0]), (402, [1e300, 1e300, 0.0]), (403, [2.0**400, 0.0, 0.5])]
+    table = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+
+    def scaled(v):
+        return [math.floor(Fraction(x) * 1024) for x in v]
+
+    known, want = {i: scaled(v) for i, v in data}, []
+    for q in (100, 200, 300, 400):
+        scores = [(-min(max(sum(map(operator.mul, known[q], v)), -2**63), 2**63 - 1), i) for i, v in known.items() if i != q]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted(scores)[:10])]
+    got = topk_nra.top_inner_products(table, cell_rows=cell_rows, cell_queries=2)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert any(2**53 < abs(s) < 2**63 - 1 for *_, s in want) and any(s == 2**63 - 1 for *_, s in want)
+
+
+def test_cells_are_dealt_to_tasks(vectors):
+    found = topk_nra.in_cells(topk_nra.usable(vectors), F.col("vec_id") % 100 == 0, topk_nra._cell(3, 1024),
+                              "query_id bigint, vec_id bigint, score bigint", cell_rows=60, cell_queries=3)
+    assert found.rdd.getNumPartitions() >= 10  # a cell per pair of blocks, whatever their bytes
+
+
 def test_footrule_from_inverted_files():
     draw = np.random.default_rng(2)
     prefix, n = 5, 40
