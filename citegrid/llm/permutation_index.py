@@ -5,9 +5,10 @@ from the distinct vectors (the first ``pivots`` in hash order); every row is ind
 their nearest and its position there. A query reads the files of its own nearest pivots
 and ranks the rows it meets by Spearman's footrule between the two orders, a pivot that
 one side lacks counting as just behind its last. Copies of one vector are ranked as one,
-so that they take one place in a block however many they are. The best share of each
-block, of equal footrules those with the smaller ids, is ranked again by cosine, and the
-best of all blocks are the result.
+so that they take one place in a block however many they are. Each block is ranked again by
+cosine, slice by slice in the order of footrules (of equal ones smaller ids first), until
+several slices in a row bring nothing among the block's nearest; there is no other end
+but that of the block. The best of all blocks are the result.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from citegrid.session import Scratch
 K = 5
 PIVOTS = 256
 PREFIX = 64
-# Share of a block that is ranked again, and at least so many rows.
-SHARE, LEAST = 0.12, 100
+# Share of a block in a slice that is ranked again, at least so many rows, and how many
+# slices in a row that bring nothing new end it.
+SHARE, LEAST, PATIENCE = 0.05, 100, 3
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -82,30 +84,36 @@ def footrule_gain(files, order: np.ndarray, n: int, prefix: int) -> np.ndarray:
     return 2 * gain
 
 
-def _cell(k: int, share: float, least: int):
+def _cell(k: int, share: float, least: int, patience: int):
     def run(table: pa.Table) -> pa.Table:
         (ids, rows, near), (query_ids, queries, asked) = sides(table, "vector", "near")
         out: list[list] = [[], [], []]
         if len(ids) and len(query_ids):
             rows, queries = _unit(rows), _unit(queries)
-            keep = max(least, int(np.ceil(share * len(rows))))
             # Of each vector only the smallest ids, besides the query's own, can be among the k first.
             lead, members = _copies(rows, k + 1)
             rows, near = rows[lead], near[lead]
             n, prefix = near.shape
-            keep = min(n, keep)
+            step = min(n, max(least, int(np.ceil(share * n))))
             # Postings of each pivot: rows, and prefix minus position.
             flat = near.ravel()
             order = np.argsort(flat, kind="stable")
             cut = np.searchsorted(flat[order], np.arange(max(flat.max(), asked.max()) + 2))
             files = [(order[a:b] // prefix, (prefix - order[a:b] % prefix).astype(np.int32))
                      for a, b in zip(cut[:-1], cut[1:])]
-            behind = np.arange(n)
             for q in range(len(query_ids)):
-                gain = footrule_gain(files, asked[q], n, prefix).astype(np.int64)
-                at = np.argpartition(behind - gain * n, keep - 1)[:keep]
-                # Summed row by row: a matrix product may round copies differently.
-                score = (rows[at] * queries[q]).sum(axis=1)
+                by_footrule = np.argsort(-footrule_gain(files, asked[q], n, prefix), kind="stable")
+                at, score, idle = np.empty(0, np.int64), np.empty(0), 0
+                for a in range(0, n, step):
+                    part = by_footrule[a:a + step]
+                    # Summed row by row: a matrix product may round copies differently.
+                    fresh = (rows[part] * queries[q]).sum(axis=1)
+                    # One more than k, as the query's own vector may be among them.
+                    kth = np.partition(score, -k - 1)[-k - 1] if len(score) > k else -np.inf
+                    idle = 0 if (fresh > kth).any() else idle + 1
+                    at, score = np.concatenate([at, part]), np.concatenate([score, fresh])
+                    if idle == patience:
+                        break
                 # Each vector but the query's own has a candidate.
                 top = np.lexsort((at, -score))[:k + 1]
                 found, score = members[at[top]].ravel(), np.repeat(score[top], k + 1)
@@ -121,7 +129,7 @@ def _cell(k: int, share: float, least: int):
 
 
 def nearest(table: DataFrame, k: int = K, every: int = 50, pivots: int = PIVOTS, prefix: int = PREFIX,
-            share: float = SHARE, least: int = LEAST, scratch: Scratch | None = None, **cells) -> DataFrame:
+            share: float = SHARE, least: int = LEAST, patience: int = PATIENCE, scratch: Scratch | None = None, **cells) -> DataFrame:
     """``(query_id, rank, vec_id, score)``; queries are rows whose id is divisible by ``every``.
 
     The score is the cosine in double precision. A query's own id is no candidate; with
@@ -142,6 +150,6 @@ def nearest(table: DataFrame, k: int = K, every: int = 50, pivots: int = PIVOTS,
         known[dim] = _unit(np.array([r["vector"] for r in drawn]))
     # Lengths with few rows have few pivots; orders of one length are equally long.
     indexed = rows.mapInArrow(_represent(known, prefix), "vec_id bigint, vector array<double>, near array<int>")
-    found = in_cells(indexed, F.col("vec_id") % every == 0, _cell(k, share, least),
+    found = in_cells(indexed, F.col("vec_id") % every == 0, _cell(k, share, least, patience),
                      "query_id bigint, vec_id bigint, score double", ("near",), **cells)
     return best_of(found, k)
