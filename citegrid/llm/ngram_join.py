@@ -6,11 +6,14 @@ Exact, for any similarity t above one half. Steps:
    a class; from here on only one representative per class is compared.
 2. *Size bands.* Sets that link have sizes within a factor t, and differ in at most
    k = (1 - t) / (1 + t) * (|x| + |y|) shingles. Per band the shingle space is cut by
-   hash into one tile more than the largest k, so linked sets agree in at least one
-   whole tile. A set posts the hash of its k(x) + 1 largest tiles, by (size, hash);
-   by the pigeonhole one of them is among those its partner posts. A set posts to
-   its own band and, if larger partners fall there, to the next.
-3. Tiles that two different classes post are groups of candidates. Every member is
+   hash into half as many tiles again as the largest k, so k differences leave most
+   tiles whole. A set posts the hash of its k(x) + 1 largest tiles, by (size, hash); by
+   the pigeonhole one of them is among those its partner posts. An empty tile, which
+   strangers share, comes last in that order, and with so many tiles hardly any set
+   needs one. A set posts to its own band and, if larger partners fall there, to the next.
+3. Only representatives post, and they post twice: first as marks, a few bytes per tile
+   in counters that show which hashes come up again, then the marked tiles themselves.
+   Tiles that two different classes post are groups of candidates. Every member is
    compared with the smallest member of its groups: first by *hashed bitmaps*, whose
    bit counts bound the overlap from above, then by intersecting the sorted arrays.
 4. Groups that these links do not connect are compared member by member in blocks of
@@ -31,9 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citegrid.llm import marks
 from citegrid.llm.store import short_batches
 from citegrid.llm.words import binary, mix, parts, rolling, word_hashes
 from citegrid.operators.graph import components
@@ -71,7 +76,8 @@ def bands(similarity: tuple[int, int], most: int) -> list[tuple[int, int]]:
     num, den = similarity
     out, top = [], 8
     while True:
-        out.append((top, 2 * top * (den - num) // (den + num) + 1))
+        k = 2 * top * (den - num) // (den + num)
+        out.append((top, k + k // 2 + 2))
         if top >= most:
             return out
         top *= 2
@@ -107,26 +113,59 @@ def _posts(shingles: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _posting_rows(similarity: tuple[int, int], width: int):
+def _posted(batches, similarity: tuple[int, int], width: int, ours) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, doc ids) of the documents whose id is marked, some ``BATCH`` rows at a time."""
+    for batch in parts(batches):
+        batch = batch.filter(pa.array(marks.marked(ours, _id_hash(batch.column(0)))))
+        keys, owners, rows = [], [], 0
+        for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(binary(batch.column(1)), width)):
+            if len(s):
+                key = _posts(s, similarity)
+                keys.append(key)
+                owners.append(np.full(len(key), doc, np.int64))
+                rows += len(key)
+            if rows >= BATCH:
+                yield np.concatenate(keys), np.concatenate(owners)
+                keys, owners, rows = [], [], 0
+        if rows:
+            yield np.concatenate(keys), np.concatenate(owners)
+
+
+def _id_hash(ids: pa.Array) -> np.ndarray:
+    return mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _id_entries(places: int):
+    """Entries that mark the ids of a table."""
     def run(batches):
-        for batch in parts(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, owners, rows = [], [], 0
-            for doc, s in zip(ids, shingle_sets(binary(batch.column(1)), width)):
-                if len(s):
-                    key = _posts(s, similarity)
-                    keys.append(key)
-                    owners.append(np.full(len(key), doc, np.int64))
-                    rows += len(key)
-                if rows >= BATCH:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))],
-                        names=["key", "doc_id"])
-                    keys, owners, rows = [], [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))],
-                    names=["key", "doc_id"])
+        for batch in batches:
+            if batch.num_rows:
+                yield marks.entries(_id_hash(batch.column(0)), np.ones(batch.num_rows, np.int64), places, 0)
+    return run
+
+
+def _tile_entries(similarity: tuple[int, int], width: int, ours, places: int, salts: int):
+    """Entries that count how often a tile's hash is posted."""
+    def run(batches):
+        salt = TaskContext.get().partitionId() % salts
+        held, n = [], 0
+        for key, _ in _posted(batches, similarity, width, ours):
+            held.append(key)
+            n += len(key)
+            if n >= 10 * BATCH:
+                yield marks.entries(np.concatenate(held), np.ones(n, np.int64), places, salt)
+                held, n = [], 0
+        if n:
+            yield marks.entries(np.concatenate(held), np.ones(n, np.int64), places, salt)
+    return run
+
+
+def _posting_rows(similarity: tuple[int, int], width: int, ours, shared):
+    """(key, doc_id) of the tiles that may be posted twice."""
+    def run(batches):
+        for key, owner in _posted(batches, similarity, width, ours):
+            keep = marks.marked(shared, key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(owner[keep])], names=["key", "doc_id"])
     return run
 
 
@@ -323,17 +362,25 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     usable = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
-    members = scratch.save(
-        texts.mapInArrow(_class_rows(shingle), "doc_id bigint, n_shingles bigint, class binary"), "members")
+    members, size = scratch.measure(
+        texts.mapInArrow(_class_rows(shingle), "doc_id bigint, n_shingles bigint, class binary"), "members",
+        F.sum("n_shingles").alias("shingles"))
     classes = scratch.save(
         members.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("class").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    reps, seen = scratch.measure(classes.select(F.col("rep").alias("doc_id")).distinct(), "reps", F.count(F.lit(1)).alias("rows"))
 
-    posted = usable.mapInArrow(_posting_rows(similarity, shingle), "key bigint, doc_id bigint")
-    shared = scratch.save(
-        posted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-    met = scratch.save(posted.join(shared, "key").join(reps, "doc_id", "left_semi").distinct(), "met")
+    # Marks let some copies through, which the exact list keeps out below.
+    places = marks.places_for(16 * seen["rows"])
+    ours = marks.mark(reps.mapInArrow(_id_entries(places), marks.ENTRIES), 1, places, marks.salts_for(seen["rows"]))
+    num, den = similarity
+    postings = 4 * (size["shingles"] or 0) * (den - num) // (den + num) + 4 * seen["rows"]
+    places = marks.places_for(4 * postings)
+    salts = marks.salts_for(postings)
+    shared = marks.mark(usable.mapInArrow(
+        _tile_entries(similarity, shingle, ours, places, salts), marks.ENTRIES), 2, places, salts)
+    posted = usable.mapInArrow(_posting_rows(similarity, shingle, ours, shared), "key bigint, doc_id bigint")
+    met = scratch.save(_pick(posted, reps, seen["rows"], "doc_id").distinct(), "met")
     groups = scratch.save(
         met.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead"),
                                F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who"))
@@ -342,7 +389,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, similarity: tupl
         .groupBy("n", "lead", "who").agg(F.min("key").alias("key")), "groups")
     grouped, seen = scratch.measure(met.join(groups.select("key", "lead", "n"), "key"), "grouped",
                                     F.count(F.lit(1)).alias("rows"))
-    scratch.drop("shared", "met")
+    scratch.drop("reps", "met")
 
     wanted, count = scratch.measure(grouped.select("doc_id").distinct(), "wanted", F.count(F.lit(1)).alias("rows"))
     sets = scratch.save(

@@ -13,7 +13,7 @@ Texts that are equal are handled once, with their number of copies: all windows
 text that has copies are repeated. A window repeated inside its own text needs no
 partner. Both are settled where the text is, so no row per copy is shuffled. Counts are
 combined before shuffling, and what is joined to them is a plain stored table, so that
-Spark can split a hot hash. Texts and windows are compared by 64-bit hashes.
+Spark can split a hot hash. Texts are compared by 128-bit digests, windows by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.llm.store import short_batches
@@ -57,30 +57,32 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def _emit(columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=names)
+def _emit(keys: pa.Array, columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """Columns as a batch; the first has positions in ``keys``."""
+    first, *rest = (pa.array(np.concatenate(c)) for c in columns)
+    return pa.RecordBatch.from_arrays([keys.take(first), *rest], names=names)
 
 
 def _anchor_rows(width: int, gram: int):
     def run(batches):
         for batch in parts(batches):
-            keys = batch.column(0).to_pylist()
+            keys = batch.column(0)
             out, rows = [[], [], []], 0
-            for key, words in zip(keys, word_hashes(binary(batch.column(1)))):
+            for at, words in enumerate(word_hashes(binary(batch.column(1)))):
                 grams, low = anchors(words, width, gram)
                 if len(low) == 0:
                     continue
                 distinct = np.unique(low)
                 ordered = np.sort(grams)
                 times = np.searchsorted(ordered, distinct, "right") - np.searchsorted(ordered, distinct, "left")
-                for c, values in zip(out, (np.full(len(distinct), key, np.int64), distinct.view(np.int64), times)):
+                for c, values in zip(out, (np.full(len(distinct), at), distinct.view(np.int64), times)):
                     c.append(values)
                 rows += len(distinct)
                 if rows >= BATCH:
-                    yield _emit(out, ["key", "anchor", "n"])
+                    yield _emit(keys, out, ["key", "anchor", "n"])
                     out, rows = [[], [], []], 0
             if rows:
-                yield _emit(out, ["key", "anchor", "n"])
+                yield _emit(keys, out, ["key", "anchor", "n"])
     return run
 
 
@@ -100,22 +102,22 @@ def _window_rows(width: int, gram: int):
     """(key, hash, start, n): n is 2 where the window is known to be repeated."""
     def run(batches):
         for batch in parts(batches):
-            keys, copies, marks = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            keys, (copies, marks) = batch.column(0), (batch.column(i).to_pylist() for i in (2, 3))
             out, rows = [[], [], [], []], 0
-            for key, many, marked, words in zip(keys, copies, marks, word_hashes(binary(batch.column(1)))):
+            for at, (many, marked, words) in enumerate(zip(copies, marks, word_hashes(binary(batch.column(1))))):
                 distinct, first, inner, _, _ = _suspects(words, np.array(marked, np.int64).view(np.uint64), width, gram)
                 if len(distinct) == 0:
                     continue
                 known = np.where(inner | (many > 1), 2, 1)
-                for c, values in zip(out, (np.full(len(distinct), key, np.int64), distinct.view(np.int64),
+                for c, values in zip(out, (np.full(len(distinct), at), distinct.view(np.int64),
                                            first.astype(np.int32), known.astype(np.int32))):
                     c.append(values)
                 rows += len(distinct)
                 if rows >= BATCH:
-                    yield _emit(out, ["key", "hash", "start", "n"])
+                    yield _emit(keys, out, ["key", "hash", "start", "n"])
                     out, rows = [[], [], [], []], 0
             if rows:
-                yield _emit(out, ["key", "hash", "start", "n"])
+                yield _emit(keys, out, ["key", "hash", "start", "n"])
     return run
 
 
@@ -144,7 +146,7 @@ def _cut_rows(width: int, gram: int):
                 for c, v in zip(out, (key, int(gone.sum()), _digest(left), b" ".join(left))):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([
-                pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()),
+                pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()),
                 pa.array(out[3], pa.binary()).cast(pa.string())], names=["key", "n_removed", "kept_sha256", "kept"])
     return run
 
@@ -161,20 +163,25 @@ def _whole_rows(batches):
             names=["doc_id", "key", "n_words", "sha256"])
 
 
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text))
+
+
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(*more, F.xxhash64(text).alias("key"), text.alias("text"))
+    return docs.select(*more, digest(text).alias("key"), text.alias("text"))
 
 
 def repeated_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, scratch: Scratch | None = None,
                    broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Texts that lose words: ``(key, n_removed, kept_sha256, kept)`` with ``key = xxhash64(text)``."""
+    """Texts that lose words: ``(key, n_removed, kept_sha256, kept)`` with ``key = digest(text)``."""
     short_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "substring-dedup")
     gram = min(gram, width)
     texts = _keyed(docs).where(F.col("text").isNotNull())
 
-    posted = texts.mapInArrow(_anchor_rows(width, gram), "key bigint, anchor bigint, n bigint")
+    posted = texts.mapInArrow(_anchor_rows(width, gram), "key binary, anchor bigint, n bigint")
     shared = scratch.save(posted.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "shared")
     marked, seen = scratch.measure(
         posted.select("key", "anchor").join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("marks")),
@@ -188,14 +195,14 @@ def repeated_texts(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, scratc
         texts.join(wanted, "key", "left_semi").groupBy("key")
         .agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
         .join(marked, "key").select("key", "text", "copies", "marks"), "held")
-    windows = held.mapInArrow(_window_rows(width, gram), "key bigint, hash bigint, start int, n int")
+    windows = held.mapInArrow(_window_rows(width, gram), "key binary, hash bigint, start int, n int")
     repeated = scratch.save(
         windows.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1").select("hash"), "repeated")
     hits = scratch.save(
         windows.where("n = 1").join(repeated, "hash").groupBy("key").agg(F.collect_set("start").alias("starts")), "hits")
     cut = scratch.save(
         held.join(hits, "key", "left").select("key", "text", "copies", "marks", "starts")
-        .mapInArrow(_cut_rows(width, gram), "key bigint, n_removed bigint, kept_sha256 string, kept string"), "cut")
+        .mapInArrow(_cut_rows(width, gram), "key binary, n_removed bigint, kept_sha256 string, kept string"), "cut")
     scratch.drop("marked", "held", "repeated", "hits")
     return cut
 
@@ -210,7 +217,7 @@ def removal_report(docs: DataFrame, width: int = WIDTH, scratch: Scratch | None
     """
     cut = repeated_texts(docs, width, scratch=scratch)
     whole = _keyed(docs, "doc_id").select("doc_id", "key", "text").mapInArrow(
-        _whole_rows, "doc_id bigint, key bigint, n_words bigint, sha256 string")
+        _whole_rows, "doc_id bigint, key binary, n_words bigint, sha256 string")
     return whole.join(cut.select("key", "n_removed", "kept_sha256"), "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
@@ -223,7 +230,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, scratch: Scratch | None
     they are. ``n_chars``, if there, follows the text.
     """
     cut = repeated_texts(docs, width, scratch=scratch).select("key", F.col("kept").alias("_llm_kept"))
-    out = (docs.withColumn("_llm_key", F.xxhash64(F.col("text").cast("string")))
+    out = (docs.withColumn("_llm_key", digest(F.col("text").cast("string")))
            .join(cut.withColumnRenamed("key", "_llm_key"), "_llm_key", "left")
            .withColumn("text", F.coalesce("_llm_kept", "text")))
     if "n_chars" in docs.columns:

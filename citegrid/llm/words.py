@@ -1,8 +1,10 @@
 """Words of whole texts and their hashes, many texts at a time.
 
-A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes are 64-bit:
-a polynomial over the bytes, taken from prefix sums, then mixed. They depend on the
-bytes of the word alone, so every task of every run agrees on them.
+A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes are 64-bit: two
+polynomials over the bytes, modulo two primes, taken from prefix sums, then mixed with the
+length. Modulo a prime two different words of n bytes agree for at most n of the bases, so
+there are no families of words that agree whatever the base, as there are modulo a power
+of two. They depend on the bytes of the word alone, so every task of every run agrees.
 """
 
 from __future__ import annotations
@@ -33,10 +35,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+# Coefficients of the bytes: their value plus one, so that leading zero bytes count.
+_BYTE = np.arange(1, 257, dtype=np.uint64)
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
+# Primes below 2^31 with a base each.
+_PRIMES = ((2_147_483_647, 1_392_050_177), (2_147_483_629, 738_915_449))
+# Bytes whose products with powers a 64-bit sum can hold; beyond, products are reduced first.
+_UNREDUCED = 1 << 24
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PRIME_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def prime_powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of a base and of its inverse, modulo a prime below 2^31."""
+    have = _PRIME_POWERS.get(prime)
+    if have is None or len(have[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, prime)):
+            row, step = np.ones(1, np.uint64), b
+            while len(row) < max(n, 1 << 12):
+                row, step = np.concatenate([row, row * np.uint64(step) % np.uint64(prime)]), step * step % prime
+            out.append(row)
+        have = _PRIME_POWERS[prime] = tuple(out)
+    return have[0][:n], have[1][:n]
 
 
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +107,15 @@ def _hash_slab(parts: list[bytes], table: np.ndarray) -> list[np.ndarray]:
     before[0] = False
     before[1:] = inside[:-1]
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
-    up, down = powers(max(len(data), 1))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up, out=sums[1:])
-    hashes = mix(((sums[ends] - sums[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64))
+    values, sums, half = table[data], np.zeros(len(data) + 1, np.uint64), []
+    for prime, base in _PRIMES:
+        up, down = prime_powers(len(data), prime, base)
+        products = values * up
+        if len(data) > _UNREDUCED:
+            products %= np.uint64(prime)
+        np.cumsum(products, out=sums[1:])
+        half.append((sums[ends] - sums[starts]) % np.uint64(prime) * down[starts] % np.uint64(prime))
+    hashes = mix(mix(half[0] << np.uint64(32) | half[1]) + (ends - starts).astype(np.uint64))
     first = np.cumsum([0] + [len(p) + 1 for p in parts])
     cut = np.searchsorted(starts, first)
     return [hashes[a:b] for a, b in zip(cut[:-1], cut[1:])]

@@ -337,3 +337,59 @@ def test_empty_tables(spark):
     assert token_planes.planes_round_trip(empty, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, 2).count() == 0
     assert license_scan.scan(empty).count() == 0
     assert mixing.mix_report(empty).count() == 0
+
+
+# --- words and texts that are easily taken for each other -----------------------------
+
+def opposite_words(bits):
+    """The Thue-Morse word over a and b and its complement, 2^bits letters each."""
+    word = "a"
+    for _ in range(bits):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", [10, 11, 12, 16])
+def test_opposite_words_have_different_hashes(bits):
+    x, y = word_hashes([w.encode() for w in opposite_words(bits)])
+    assert x[0] != y[0]
+
+
+def test_hashes_of_a_word_longer_than_unreduced_sums_hold(monkeypatch):
+    texts = [b"ab" * 5_000 + b" " + b"ab" * 5_000 + b"c", "é".encode() * 4_000]
+    plain = [h.tolist() for h in word_hashes(texts)]
+    monkeypatch.setattr("citegrid.llm.words._UNREDUCED", 100)
+    assert [h.tolist() for h in word_hashes(texts)] == plain
+
+
+def test_opposite_words_stay_apart_in_both_joins(spark):
+    x, y = opposite_words(10)
+    rest = " ".join(f"r{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{x} {rest}"), (2, f"{y} {rest}"), (3, x), (4, y)], "doc_id bigint, text string")
+    assert {r["n_removed"] for r in substring_dedup.removal_report(docs).collect()} == {0}
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert found[3] == 3 and found[4] == 4
+
+
+# --- tiles --------------------------------------------------------------------------------
+
+def test_hardly_any_set_posts_an_empty_tile():
+    draw = np.random.default_rng(2)
+    for n in (6, 12, 33, 64, 128, 500):
+        sets = [np.unique(draw.integers(0, 2**63, n).astype(np.uint64)) for _ in range(400)]
+        shared = Counter(k for s in sets for k in set(ngram_join._posts(s, (85, 100)).tolist()))
+        assert sum(c for c in shared.values() if c > 1) <= 12, n
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_marks_miss_nothing(spark, salts):
+    from citegrid.llm import marks
+
+    draw = np.random.default_rng(4)
+    hashes = draw.integers(0, 2**63, 5_000).astype(np.uint64)
+    often = hashes[:1_000]
+    places = marks.places_for(1 << 18)
+    batches = [marks.entries(h, np.ones(len(h), np.int64), places, i % salts) for i, h in enumerate((hashes, often, often))]
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    table = marks.mark(spark.createDataFrame(rows, marks.ENTRIES), 3, places, salts)
+    assert marks.marked(table, often).all() and marks.marked(table, hashes[1_000:]).mean() < 0.05
