@@ -24,14 +24,14 @@ _MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def _quick(text: str) -> list[str]:
-    """Cut at every space; right only if all units are clean."""
-    parts = text.split(" ")
-    out = [" " + p for p in parts]
-    if parts[0]:
-        out[0] = parts[0]
-    else:
-        del out[0]
-    return out
+    """Cut at every space; right only where no other white space touches one."""
+    first, *rest = text.split(" ")
+    return [first, *[" " + p for p in rest]]
+
+
+def _apart(text: str) -> bool:
+    """Whether no white space touches other white space or an end of the text."""
+    return len(" ".join(text.split())) == len(text)
 
 
 def _clean(unit: str) -> bool:
@@ -81,15 +81,18 @@ class Units:
         known = self.known
         split: list[list[str]] = []
         new: dict[str, None] = {}
+        unsure: set[str] = set()
         for text in texts:
             if not text:
                 split.append([])
                 continue
-            units = _quick(text)
-            unseen = [u for u in set(units) if u not in known and u not in new]
-            if not all(map(_clean, unseen)):
+            if _apart(text):
+                units = _quick(text)
+                unseen = [u for u in set(units) if u not in known]
+            else:
                 units = _CUT.split(text)
                 unseen = [u for u in units if u not in known]
+                unsure.update(u for u in unseen if not _clean(u))
             new.update(dict.fromkeys(unseen))
             split.append(units)
         before = len(known)
@@ -97,7 +100,7 @@ class Units:
         out = [b"".join(map(known.__getitem__, units)) for units in split]
         room = self.most_units - before
         for unit in new:
-            if room > 0 and len(unit) <= LONGEST and _clean(unit):
+            if room > 0 and len(unit) <= LONGEST and unit not in unsure:
                 room -= 1
             else:
                 del known[unit]
