@@ -1,24 +1,40 @@
-"""Louvain and Leiden communities as synchronous Spark rounds.
+"""Louvain and Leiden communities by blocks of vertices.
 
 A level holds ``arcs(network, src, dst, w)`` in both directions and ``nodes(network,
 v, k, own)``: ``k`` is the weighted degree and ``own`` the weight inside the vertex,
-counted from both ends. A round lets one half of the vertices, drawn by hash, move to
-the best neighbouring community; two rounds cover everyone. The half draw keeps two
-neighbours from swapping places, and the best partition seen is kept, since moves
-made at the same time can lose modularity together.
-
-All sums are keyed by (network, community) or (network, vertex) and combine map-side;
-the driver sees a few totals per network and round.
+counted from both ends.
+
+The vertices of a network are dealt into blocks of about ``block_arcs`` arcs. In a round
+every block is one group: it gets its vertices, their arcs and the communities and
+community totals at the far ends, and moves its vertices one after the other until none
+gains. What lies in other blocks stands still meanwhile, so a network of one block is at
+rest after one round, however many moves that takes. Between several blocks half of them
+move at a time, and the best partition seen is kept, since moves made at the same time can
+lose modularity together. After the first round only vertices beside moved ones are looked
+at, and only blocks that have some are read (the *frontier*).
+
+Community totals are combined map-side and joined salted, so one big community is no hot
+key. The driver sees one row per network and round.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.operators.graph import both_ways, components, vertices
 from citegrid.session import Scratch
 
+# Arcs of a block in the mean; a group of rows of that size is moved in one task.
+BLOCK_ARCS = 500_000
+# Copies of a community's total that its vertices are joined to.
+SALTS = 16
 EPS = 1e-12
 
 
@@ -39,173 +55,294 @@ def _level_zero(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return arcs, scratch.save(nodes, "nodes")
 
 
-def _half(v: str, turn: int, seed: int) -> Column:
-    """Which half of the vertices a vertex is in; ``turn`` and ``turn + 1`` are complements."""
-    return F.pmod(F.xxhash64(F.col(v), F.lit(seed + turn // 2)) + F.lit(turn), F.lit(2)) == 0
+def _salted(rows: DataFrame, totals: DataFrame, keys: list[str], vertex: str) -> DataFrame:
+    """``rows`` joined to a table of one row per community; a big community is met in ``SALTS`` places."""
+    copies = totals.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return (rows.withColumn("salt", F.pmod(F.xxhash64(vertex), F.lit(SALTS)).cast("int"))
+            .join(copies, [*keys, "salt"]).drop("salt"))
+
+
+def _block_counts(arcs: DataFrame, nodes: DataFrame, block_arcs: int) -> DataFrame:
+    """``(network, m2, blocks)``, one row per network."""
+    sizes = arcs.groupBy("network").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.groupBy("network").agg(F.sum("k").alias("m2")).join(sizes, "network", "left").select(
+        "network", "m2", F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / F.lit(block_arcs)), F.lit(1)).cast("int").alias("blocks"))
+
+
+def _turn_order(vertices_: np.ndarray, seed: int) -> np.ndarray:
+    """Positions of the vertices in an order drawn by hash."""
+    return np.argsort([xxhash.xxh3_64_intdigest(int(v).to_bytes(8, "little", signed=True), seed) for v in vertices_.tolist()],
+                      kind="stable")
+
 
+def _grouped(sources: np.ndarray, n: int) -> Iterator[slice]:
+    """Per vertex its slice of arcs sorted by source."""
+    cut = np.searchsorted(sources, np.arange(n + 1)).tolist()
+    return (slice(a, b) for a, b in zip(cut[:-1], cut[1:]))
 
-def _link_weights(arcs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """Weight from each vertex to each neighbouring community."""
-    far = labels.select("network", F.col("v").alias("dst"), F.col(label).alias("to"))
-    return arcs.join(far, ["network", "dst"]).groupBy("network", F.col("src").alias("v"), "to").agg(
-        F.sum("w").alias("link"))
 
+def _best_target(weights: dict[int, float], tot: list[float], k: float, m2: float, name: list[int], here: int):
+    """(gain, community) of the best other community; ties go to the smaller name."""
+    top, to = float("-inf"), -1
+    for c, w in weights.items():
+        if c != here:
+            gain = w - k * tot[c] / m2
+            if gain > top or (gain == top and name[c] < name[to]):
+                top, to = gain, c
+    return top, to
 
-def _local_moves(arcs: DataFrame, nodes: DataFrame, seed: int, max_rounds: int, min_gain: float,
+
+def _move_vertices(k: list[float], label: list[int], arcs: list[list[tuple[int, int, float]]], tot: list[float],
+                   name: list[int], m2: float, first: list[int]) -> None:
+    """Move vertices to their best neighbouring community until none of them gains.
+
+    ``arcs`` has (vertex or -1, community of a vertex outside the block, weight). ``label``
+    and ``tot`` are changed in place. A vertex is looked at again after a neighbour left.
+    """
+    queue, waiting = deque(first), [False] * len(k)
+    for v in first:
+        waiting[v] = True
+    while queue:
+        v = queue.popleft()
+        waiting[v] = False
+        weights: dict[int, float] = {}
+        for u, c, w in arcs[v]:
+            c = label[u] if u >= 0 else c
+            weights[c] = weights.get(c, 0.0) + w
+        here = label[v]
+        gain, to = _best_target(weights, tot, k[v], m2, name, here)
+        if to < 0 or gain <= weights.get(here, 0.0) - k[v] * (tot[here] - k[v]) / m2 + EPS * k[v]:
+            continue
+        tot[here] -= k[v]
+        tot[to] += k[v]
+        label[v] = to
+        for u, _, _ in arcs[v]:
+            if u >= 0 and label[u] != to and not waiting[u]:
+                queue.append(u)
+                waiting[u] = True
+
+
+class _Block:
+    """Rows of one group as arrays: vertices by number, arcs by source and target."""
+
+    def __init__(self, table: pa.Table):
+        kind = table["dst_c"].is_valid().to_numpy()
+        inner = table.filter(pa.array(~kind)).sort_by("v")
+        outer = table.filter(pa.array(kind)).sort_by([("v", "ascending"), ("dst", "ascending")])
+        self.rows, self.v = inner, inner["v"].to_numpy()
+        self.k, self.c, self.tot = (inner[x].to_numpy() for x in ("k", "c", "tot"))
+        self.source = np.searchsorted(self.v, outer["v"].to_numpy())
+        far = outer["dst"].to_numpy()
+        at = np.minimum(np.searchsorted(self.v, far), max(len(self.v) - 1, 0))
+        self.target = np.where(self.v[at] == far, at, -1) if len(self.v) else at
+        self.far_c, self.far_tot, self.w = (outer[x].to_numpy() for x in ("dst_c", "dst_tot", "w"))
+
+
+def _move_block(seed: int):
+    def run(table: pa.Table) -> pa.Table:
+        b = _Block(table)
+        name, index = np.unique(np.concatenate([b.c, b.far_c]), return_inverse=True)
+        tot = np.zeros(len(name))
+        tot[index] = np.concatenate([b.tot, b.far_tot])
+        n, label, m2 = len(b.v), index[:len(b.c)].tolist(), float(b.rows["m2"][0].as_py())
+        arcs = list(zip(b.target.tolist(), index[len(b.c):].tolist(), b.w.tolist()))
+        near = [arcs[part] for part in _grouped(b.source, n)]
+        order = _turn_order(b.v, seed)
+        first = order[b.rows["dirty"].to_numpy(zero_copy_only=False)[order]].tolist()
+        tot = tot.tolist()
+        if m2 > 0:
+            _move_vertices(b.k.tolist(), label, near, tot, name.tolist(), m2, first)
+        inside = [sum(w for u, c, w in a if (label[u] if u >= 0 else c) == label[i]) for i, a in enumerate(near)]
+        out = b.rows.select(["network", "block", "v", "k", "own", "c", "best"])
+        out = out.append_column("next", pa.array(name[label] if n else [], pa.int64()))
+        out = out.append_column("inside", pa.array(inside, pa.float64()))
+        return out.append_column("tot_next", pa.array([tot[c] for c in label], pa.float64()))
+    return run
+
+
+_STATE = "network string, block int, v bigint, k double, own double, c bigint, best bigint"
+
+
+def _labelled(state: DataFrame, counts: DataFrame, dirty: Column) -> DataFrame:
+    """The state with its communities' totals and its network's weight."""
+    totals = state.groupBy("network", "c").agg(F.sum("k").alias("tot"))
+    return _salted(state, totals, ["network", "c"], "v").join(
+        F.broadcast(counts.select("network", "m2", "blocks")), "network").withColumn("dirty", dirty)
+
+
+def _move_round(arcs: DataFrame, labelled: DataFrame, going: Column, seed: int) -> DataFrame:
+    """One round of the blocks ``going``: each vertex with its community before and after."""
+    blocks = labelled.where(going & F.col("dirty")).select("network", "block").distinct()
+    ours = labelled.join(blocks, ["network", "block"], "left_semi")
+    rest = labelled.join(blocks, ["network", "block"], "left_anti").select(
+        "network", "block", "v", "k", "own", "c", "best", F.col("c").alias("next"),
+        F.lit(None).cast("double").alias("inside"), F.lit(None).cast("double").alias("tot_next"))
+    far = labelled.select("network", F.col("v").alias("dst"), F.col("c").alias("dst_c"), F.col("tot").alias("dst_tot"))
+    none = {"k": "double", "own": "double", "c": "bigint", "best": "bigint", "tot": "double", "m2": "double", "dirty": "boolean"}
+    heard = arcs.join(blocks, ["network", "block"], "left_semi").join(far, ["network", "dst"]).select(
+        "network", "block", F.col("src").alias("v"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
+        "dst", "dst_c", "dst_tot", "w")
+    own = ours.select("network", "block", "v", *none, *[F.lit(None).cast(t).alias(c) for c, t in {
+        "dst": "bigint", "dst_c": "bigint", "dst_tot": "double", "w": "double"}.items()])
+    moved = heard.unionByName(own).groupBy("network", "block").applyInArrow(
+        _move_block(seed), f"{_STATE}, next bigint, inside double, tot_next double")
+    return moved.unionByName(rest)
+
+
+def _quality(arcs: DataFrame, state: DataFrame, label: str) -> DataFrame:
+    """``(network, quality)``: modularity of the labels on a level."""
+    here = state.select("network", F.col("v").alias("src"), F.col(label).alias("a"))
+    there = state.select("network", F.col("v").alias("dst"), F.col(label).alias("b"))
+    inside = arcs.join(here, ["network", "src"]).join(there, ["network", "dst"]).where("a = b").groupBy("network").agg(
+        F.sum("w").alias("inside"))
+    squares = state.groupBy("network", label).agg(F.sum("k").alias("tot"), F.sum("own").alias("own")).groupBy("network").agg(
+        F.sum("tot").alias("m2"), F.sum("own").alias("own"), F.sum(F.col("tot") * F.col("tot")).alias("squares"))
+    return squares.join(inside, "network", "left").select("network", F.coalesce(F.try_divide(
+        F.coalesce("inside", F.lit(0.0)) + F.col("own"), "m2") - F.try_divide("squares", F.col("m2") * F.col("m2")),
+        F.lit(0.0)).alias("quality"))
+
+
+def _local_moves(arcs: DataFrame, nodes: DataFrame, seed: int, max_rounds: int, min_gain: float, block_arcs: int,
                  scratch: Scratch) -> tuple[DataFrame, dict[str, float]]:
     """Best partition found from ``nodes.c``: ``(network, v, k, own, c)`` and its modularity.
 
-    A network rests once two rounds moved none of its vertices or brought it less than
-    ``min_gain``; its vertices stay from then on, so its result does not depend on the
-    networks beside it. One that has not come to rest after ``max_rounds`` is an error.
-    Degrees do not change within a level, so the price of joining a community of total
-    ``t``, ``k / m2 * t``, is carried as a rate on the arcs and needs no join of its own.
+    A network of one block rests after a round. One of several rests once two rounds, which
+    cover all blocks, moved none of its vertices or brought it less than ``min_gain``; its
+    result does not depend on the networks beside it. One that has not come to rest after
+    ``max_rounds`` is an error.
     """
-    twice = nodes.groupBy("network").agg(F.sum("k").alias("m2"))
-    rated = scratch.save(
-        nodes.join(twice, "network")
-        .withColumn("rate", F.coalesce(F.try_divide("k", "m2"), F.lit(0.0))), "rated")
-    rates = rated.select("network", F.col("v").alias("src"), "rate")
-    arcs = scratch.save(arcs.join(rates, ["network", "src"]), "rated-arcs")
-    totals = {r.network: r.m2 for r in twice.collect()}  # one row per network
-    state = rated.select("network", "v", "k", "own", "rate", "c", F.col("c").alias("best"))
+    counts = scratch.save(_block_counts(arcs, nodes, block_arcs), "blocks")
+    per = {r.network: r.blocks for r in counts.collect()}  # one row per network
+    block = F.pmod(F.xxhash64("v", F.lit(seed)), "blocks").cast("int").alias("block")
+    state = nodes.join(F.broadcast(counts), "network").select(
+        "network", block, "v", "k", "own", "c", F.col("c").alias("best"))
+    if any(n > 1 for n in per.values()):
+        state = scratch.save(state, "start")
+    arcs = scratch.save(
+        arcs.join(F.broadcast(counts), "network").select(
+            "network", F.pmod(F.xxhash64("src", F.lit(seed)), "blocks").cast("int").alias("block"), "src", "dst", "w"), "block-arcs")
     best: dict[str, float] = {}
-    history: dict[str, list[float]] = {n: [] for n in totals}
-    idle = dict.fromkeys(totals, 0)
-    active = set(totals)
+    history: dict[str, list[float]] = {n: [] for n, m in per.items() if m > 1}
+    idle = dict.fromkeys(history, 0)
+    active, dirty = set(per), None
     for turn in range(max_rounds):
-        going = _half("v", turn, seed)
-        if len(active) < len(totals):
-            going = going & F.col("network").isin(sorted(active))
-        after, seen = scratch.measure(_round(arcs, state, going), "moves", *_progress(list(totals)))
+        labelled = _labelled(state, counts, F.lit(True))
+        if dirty is not None:
+            labelled = labelled.drop("dirty").join(dirty, ["network", "v"], "left").withColumn(
+                "dirty", F.coalesce("dirty", F.lit(False)))
+        labelled = scratch.save(labelled, "labelled")
+        going = (F.col("blocks") == 1) | (F.pmod(F.xxhash64("block", F.lit(turn // 2)) + F.lit(turn), F.lit(2)) == 0)
+        after = scratch.save(_move_round(arcs, labelled, going & F.col("network").isin(sorted(active)), seed + turn), "moves")
+        seen = {r["network"]: r for r in after.groupBy("network").agg(
+            F.count_if(F.col("next") != F.col("c")).alias("moved"), F.sum("k").alias("m2"),
+            F.sum(F.col("inside") + F.col("own")).alias("inside"),
+            F.sum(F.col("k") * F.col("tot_next")).alias("squares")).collect()}
+        some = sorted(n for n in active if per[n] > 1)
+        quality = {r["network"]: r["quality"] for r in _quality(
+            arcs, after.where(F.col("network").isin(some)), "next").collect()} if some else {}
         better = []
-        for i, (n, m2) in enumerate(totals.items()):
-            if n not in active:
-                continue
-            quality = (seen[f"inside_{i}"] / m2 - seen[f"squares_{i}"] / m2 ** 2) if m2 else 0.0
-            if quality > best.get(n, float("-inf")):
-                best[n] = quality
-                better.append(n)
-            known = history[n]
-            known.append(best[n])
-            idle[n] = 0 if seen[f"moved_{i}"] else idle[n] + 1
-            if idle[n] == 2 or (len(known) > 2 and known[-1] - known[-3] < min_gain and known[-1] > known[0]):
+        for n in sorted(active):
+            r = seen[n]
+            if per[n] == 1:
+                quality[n] = (r["inside"] / r["m2"] - r["squares"] / r["m2"] ** 2) if r["m2"] else 0.0
                 active.discard(n)
+            else:
+                idle[n] = 0 if r["moved"] else idle[n] + 1
+                known = history[n]
+                known.append(max(quality[n], best.get(n, quality[n])))
+                if idle[n] == 2 or (len(known) > 2 and known[-1] - known[-3] < min_gain):
+                    active.discard(n)
+            if n not in best or quality[n] > best[n] + EPS:
+                best[n] = quality[n]
+                better.append(n)
         improved = F.col("network").isin(better) if better else F.lit(False)
-        state = after.select("network", "v", "k", "own", "rate", F.col("next").alias("c"),
-                             F.when(improved, F.col("c")).otherwise(F.col("best")).alias("best"))
+        state = after.select("network", "block", "v", "k", "own", F.col("next").alias("c"),
+                             F.when(improved, F.col("next")).otherwise(F.col("best")).alias("best"))
         if not active:
             break
+        # A vertex beside a moved one, or one whose block did not move in this round, is looked at next.
+        shifted = after.where(F.col("next") != F.col("c")).select("network", F.col("v").alias("src"))
+        beside = arcs.join(shifted, ["network", "src"]).select("network", F.col("dst").alias("v"))
+        waiting = labelled.where(F.col("dirty") & ~going).select("network", "v")
+        dirty = scratch.save(beside.unionByName(waiting).distinct().withColumn("dirty", F.lit(True)), "frontier")
+        state = scratch.save(state, "start")
     else:
         raise RuntimeError(f"communities of {sorted(active)} did not come to rest in {max_rounds} rounds")
     done = scratch.save(state.select("network", "v", "k", "own", F.col("best").alias("c")), "partition")
     return done, best
 
 
-def _progress(networks: list[str]) -> list[Column]:
-    """Sums over the vertices that give each network's modularity, read off while writing.
-
-    The squared community totals are a sum of ``k * total`` over the vertices, so no
-    grouping is needed.
-    """
-    sums = []
-    for i, name in enumerate(networks):
-        here = F.col("network") == name
-        sums += [F.count_if(here & (F.col("next") != F.col("c"))).alias(f"moved_{i}"),
-                 F.sum(F.when(here, F.col("inside")).otherwise(0.0)).alias(f"inside_{i}"),
-                 F.sum(F.when(here, F.col("k") * F.col("tot")).otherwise(0.0)).alias(f"squares_{i}")]
-    return sums
-
-
-def _round(arcs: DataFrame, state: DataFrame, turn: Column) -> DataFrame:
-    """Each vertex with its community, that community's totals and where it goes next."""
-    total = state.groupBy("network", F.col("c").alias("to")).agg(F.sum("k").alias("tot"))
-    far = state.select("network", F.col("v").alias("dst"), F.col("c").alias("to"))
-    nothing = F.lit(None).cast("double")
-    heard = arcs.join(far, ["network", "dst"]).select(
-        "network", F.col("src").alias("v"), "to", F.col("w").alias("link"), "rate",
-        nothing.alias("k"), nothing.alias("own"), F.lit(None).cast("bigint").alias("best"))
-    own = state.select("network", "v", F.col("c").alias("to"), F.lit(0.0).alias("link"), "rate", "k", "own", "best")
-    offers = (
-        heard.unionByName(own).groupBy("network", "v", "to")
-        .agg(F.sum("link").alias("link"), F.max("rate").alias("rate"), F.max("k").alias("k"),
-             F.max("own").alias("own"), F.max("best").alias("best"))
-        .join(total, ["network", "to"])
-    )
-    home = F.col("k").isNotNull()
-    gain = F.col("link") - F.col("rate") * F.col("tot")
-    chosen = offers.groupBy("network", "v").agg(
-        F.max("k").alias("k"), F.max("own").alias("own"), F.max("best").alias("best"), F.max("rate").alias("rate"),
-        F.max(F.when(home, F.col("to"))).alias("c"), F.max(F.when(home, F.col("tot"))).alias("tot"),
-        F.max(F.when(home, F.col("link"))).alias("stay"),
-        F.max(F.when(~home, F.struct(gain.alias("gain"), (-F.col("to")).alias("to")))).alias("top"),
-    )
-    stay_gain = F.col("stay") - F.col("rate") * (F.col("tot") - F.col("k"))
-    moves = turn & (F.col("top.gain") > stay_gain + EPS * F.col("k"))
-    return chosen.select(
-        "network", "v", "k", "own", "rate", "c", "best", "tot",
-        F.when(moves, -F.col("top.to")).otherwise(F.col("c")).alias("next"),
-        (F.col("stay") + F.col("own")).alias("inside"))
-
+def _refine_block(seed: int):
+    """Parts of the communities of a group: every vertex starts alone and may join a neighbour's part once."""
+    def run(table: pa.Table) -> pa.Table:
+        b = _Block(table)
+        n, m2 = len(b.v), float(b.rows["m2"][0].as_py())
+        k, bound, whole, c = b.k.tolist(), b.rows["bound"].to_numpy().tolist(), b.tot.tolist(), b.c.tolist()
+        arcs = list(zip(b.target.tolist(), b.w.tolist()))
+        near = [arcs[part] for part in _grouped(b.source, n)]
+        part, size, name = list(range(n)), [1] * n, b.v.tolist()
+        tot, open_, within = list(k), list(bound), [0.0] * n
 
-def _refine(arcs: DataFrame, parts: DataFrame, seed: int, rounds: int, scratch: Scratch) -> DataFrame:
-    """Split each community ``c`` into well-connected parts ``s``.
+        def linked(cut: float, weight: float, all_: float) -> bool:
+            return cut >= weight * (all_ - weight) / m2 - EPS
 
-    Every vertex starts alone. A vertex that is still alone, and well connected to its
-    community, may join the part of a neighbour in the same community that raises
-    modularity most. Only vertices of the moving half move and only into parts that
-    cannot dissolve in the same round, so each part stays connected.
+        for v in _turn_order(b.v, seed).tolist() if m2 > 0 else []:
+            if size[part[v]] > 1 or not linked(bound[v], k[v], whole[v]):
+                continue
+            weights: dict[int, float] = {}
+            for u, w in near[v]:
+                if u >= 0 and c[u] == c[v] and part[u] != part[v]:
+                    weights[part[u]] = weights.get(part[u], 0.0) + w
+            weights = {p: w for p, w in weights.items() if linked(open_[p] - within[p], tot[p], whole[v])}
+            gain, to = _best_target(weights, tot, k[v], m2, name, -1)
+            if to < 0 or gain <= EPS:
+                continue
+            within[to] += 2 * weights[to]
+            tot[to] += k[v]
+            open_[to] += bound[v]
+            size[to] += 1
+            size[v] = 0
+            part[v] = to
+        out = b.rows.select(["network", "v", "k", "own", "c"])
+        return out.append_column("s", pa.array(b.v[part] if n else [], pa.int64()))
+    return run
+
+
+def _refine(arcs: DataFrame, parts: DataFrame, seed: int, block_arcs: int, scratch: Scratch) -> DataFrame:
+    """Split each community ``c`` into well-connected parts ``s``, named by one of their vertices.
+
+    Every vertex starts alone. One that is still alone, and well connected to its community,
+    may join the well-connected part beside it that raises modularity most, so parts are
+    connected. Communities are dealt into groups of about ``block_arcs`` arcs; a larger
+    community is cut by vertex, and parts grow inside each cut, which the next level joins.
     """
-    twice = parts.groupBy("network").agg(F.sum("k").alias("m2"))
-    inside = (
-        arcs.join(parts.select("network", F.col("v").alias("src"), F.col("c").alias("c")), ["network", "src"])
-        .join(parts.select("network", F.col("v").alias("dst"), F.col("c").alias("c2")), ["network", "dst"])
-        .where("c = c2").select("network", "src", "dst", "w")
-    )
-    inside = scratch.save(inside, "inside")
-    whole = parts.groupBy("network", "c").agg(F.sum("k").alias("whole"))
+    here = parts.select("network", F.col("v").alias("src"), F.col("c").alias("a"))
+    there = parts.select("network", F.col("v").alias("dst"), F.col("c").alias("b"))
+    inside = scratch.save(arcs.join(here, ["network", "src"]).join(there, ["network", "dst"]).where("a = b").select(
+        "network", "src", "dst", F.col("a").alias("c"), "w"), "inside")
+    counts = F.broadcast(_block_counts(inside, parts, block_arcs).withColumnRenamed("blocks", "groups"))
+    sizes = inside.groupBy("network", "c").agg(F.count(F.lit(1)).alias("n"))
+    whole = scratch.save(
+        parts.groupBy("network", "c").agg(F.sum("k").alias("tot")).join(sizes, ["network", "c"], "left").join(counts, "network")
+        .select("network", "c", "tot", "m2", "groups",
+                F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / F.lit(block_arcs)), F.lit(1)).cast("int").alias("cuts")), "whole")
+
+    def group(v: str) -> Column:
+        return F.when(F.col("cuts") > 1, F.concat_ws("/", "c", F.pmod(F.xxhash64(v, F.lit(seed)), "cuts"))).otherwise(
+            F.pmod(F.xxhash64("c", F.lit(seed)), "groups").cast("string")).alias("block")
+
     bound = inside.groupBy("network", F.col("src").alias("v")).agg(F.sum("w").alias("bound"))
-    state = scratch.save(
-        parts.join(whole, ["network", "c"]).join(twice, "network").join(bound, ["network", "v"], "left")
-        .select("network", "v", "k", "own", "c", F.col("v").alias("s"), "whole", "m2",
-                F.coalesce("bound", F.lit(0.0)).alias("bound")), "refined")
-    idle = 0
-    for turn in range(rounds):
-        links = _link_weights(inside, state, "s")
-        within = (
-            links.join(state.select("network", "v", "s"), ["network", "v"]).where("to = s")
-            .groupBy("network", "s").agg(F.sum("link").alias("within"))
-        )
-        part = (
-            state.groupBy("network", "s").agg(
-                F.sum("k").alias("tot"), F.sum("bound").alias("bound"), F.count(F.lit(1)).alias("size"),
-                F.first("whole").alias("whole"), F.first("m2").alias("m2"))
-            .join(within, ["network", "s"], "left")
-            .withColumn("cut", F.col("bound") - F.coalesce("within", F.lit(0.0)))
-        )
-        linked = F.col("cut") >= F.col("tot") * (F.col("whole") - F.col("tot")) / F.col("m2") - EPS
-        open_parts = part.where(linked & ((F.col("size") > 1) | ~_half("s", turn, seed))).select(
-            "network", F.col("s").alias("to"), "tot")
-        alone = part.where("size = 1").select("network", "s")
-        firm = F.col("bound") >= F.col("k") * (F.col("whole") - F.col("k")) / F.col("m2") - EPS
-        movers = state.join(alone, ["network", "s"], "left_semi").where(_half("v", turn, seed) & firm)
-        gain = F.col("link") - F.col("k") * F.col("tot") / F.col("m2")
-        choice = (
-            movers.select("network", "v", "k", "m2", "s").join(links, ["network", "v"]).where("to <> s")
-            .join(open_parts, ["network", "to"]).withColumn("gain", gain).where(F.col("gain") > EPS)
-            .groupBy("network", "v").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("target"))
-        )
-        state, seen = scratch.measure(
-            state.join(choice, ["network", "v"], "left")
-            .select("network", "v", "k", "own", "c", F.coalesce("target", "s").alias("s"),
-                    "whole", "m2", "bound", F.col("target").isNotNull().alias("moved")),
-            "refined", F.count_if("moved").alias("moved"))
-        idle = 0 if seen["moved"] else idle + 1
-        if idle == 2:
-            break
-    else:
-        raise RuntimeError(f"refinement did not come to rest in {rounds} rounds")
-    return state.select("network", "v", "k", "own", "c", "s")
+    own = _salted(parts, whole, ["network", "c"], "v").join(bound, ["network", "v"], "left").select(
+        "network", group("v"), "v", "k", "own", "c", "tot", "m2", F.coalesce("bound", F.lit(0.0)).alias("bound"),
+        *[F.lit(None).cast(t).alias(x) for x, t in {"dst": "bigint", "dst_c": "bigint", "dst_tot": "double", "w": "double"}.items()])
+    heard = _salted(inside, whole, ["network", "c"], "src").where(
+        (F.col("cuts") == 1) | F.pmod(F.xxhash64("src", F.lit(seed)), "cuts").eqNullSafe(F.pmod(F.xxhash64("dst", F.lit(seed)), "cuts"))
+    ).select("network", group("src"), F.col("src").alias("v"),
+             *[F.lit(None).cast(t).alias(x) for x, t in {"k": "double", "own": "double"}.items()],
+             F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("tot"), F.lit(None).cast("double").alias("m2"),
+             F.lit(None).cast("double").alias("bound"), "dst", F.col("c").alias("dst_c"), F.lit(0.0).alias("dst_tot"), "w")
+    return scratch.save(own.unionByName(heard).groupBy("network", "block").applyInArrow(
+        _refine_block(seed), "network string, v bigint, k double, own double, c bigint, s bigint"), "refined")
 
 
 def _contract(arcs: DataFrame, state: DataFrame, group: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -247,7 +384,7 @@ def _smallest_member(members: DataFrame, label: str) -> DataFrame:
 
 
 def louvain(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds: int = 1_000,
-            min_gain: float = 1e-6, scratch: Scratch | None = None) -> DataFrame:
+            min_gain: float = 1e-6, block_arcs: int = BLOCK_ARCS, scratch: Scratch | None = None) -> DataFrame:
     """``(network, id, cluster_louvain)`` by weighted modularity; a label is the smallest member.
 
     A network ends at the level that brings it less than ``min_gain``; the limits are
@@ -259,7 +396,7 @@ def louvain(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds:
     reached: dict[str, float] = {}
     for level in range(max_levels):
         state, best = _local_moves(
-            arcs, nodes.withColumn("c", F.col("v")), seed + 1000 * level, max_rounds, min_gain, scratch)
+            arcs, nodes.withColumn("c", F.col("v")), seed + 1000 * level, max_rounds, min_gain, block_arcs, scratch)
         going = _gained(best, reached, min_gain)
         if not going:
             break
@@ -274,7 +411,7 @@ def louvain(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds:
 
 
 def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds: int = 1_000,
-           refine_rounds: int = 1_000, min_gain: float = 1e-6, scratch: Scratch | None = None) -> DataFrame:
+           min_gain: float = 1e-6, block_arcs: int = BLOCK_ARCS, scratch: Scratch | None = None) -> DataFrame:
     """``(network, id, cluster_leiden)``: as Louvain, but contracting refined communities.
 
     Parts of a community stay separate vertices of the next level and start there in
@@ -288,7 +425,7 @@ def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds:
     reached: dict[str, float] = {}
     final = members
     for level in range(max_levels):
-        state, best = _local_moves(arcs, nodes, seed + 1000 * level, max_rounds, min_gain, scratch)
+        state, best = _local_moves(arcs, nodes, seed + 1000 * level, max_rounds, min_gain, block_arcs, scratch)
         going = _gained(best, reached, min_gain)
         if not going:
             break
@@ -298,7 +435,7 @@ def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds:
         found = members.join(state.select("network", F.col("v").alias("at"), "c"), ["network", "at"]).select(
             "network", "id", F.col("c").alias("at"))
         final = scratch.save(final.where(~here).unionByName(found), "final")
-        refined = _refine(arcs.where(here), state, seed + 1000 * level, refine_rounds, scratch)
+        refined = _refine(arcs.where(here), state, seed + 1000 * level, block_arcs, scratch)
         arcs, nodes, step = _contract(arcs.where(here), refined, "s", scratch)
         nodes = scratch.save(nodes, "nodes")
         members = _follow(members, step, "rep", scratch)

@@ -199,7 +199,7 @@ def test_clusters_of_a_network_alone_and_beside_others(data, clusters):
 def test_cluster_limits_are_errors(data):
     _, edges = data
     with pytest.raises(RuntimeError):
-        C.louvain(edges, max_rounds=1)
+        C.louvain(edges, max_rounds=1, block_arcs=8)
 
 
 def test_node_table(spark):
