@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes handled at a time; a longer text is cut at white space and put together again.
-SLAB = 1 << 20
+SLAB = 1 << 18
 PART_ROWS = 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
