@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.functions.doi import ends_with_period
+from citegrid.session import Scratch
 
 NOT_FOUND = "Resource not found"
 
@@ -22,16 +23,25 @@ def one_per_key(table: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _stored(lookup: DataFrame) -> DataFrame:
+    """A lookup as a table of its own.
+
+    Rows joined to an aggregate on the join key cannot be split where one key has many of
+    them; against a stored table they can.
+    """
+    return Scratch(lookup.sparkSession, "lookup").save(lookup, "lookup")
+
+
 def registration_agency(df: DataFrame, registry: DataFrame, column: str = "doi") -> DataFrame:
     """Agency of each DOI; unknown DOIs are marked, rows without a DOI stay null."""
-    agencies = registry.groupBy(F.col("doi").alias(column)).agg(F.min("agency").alias("agency"))
+    agencies = _stored(registry.groupBy(F.col("doi").alias(column)).agg(F.min("agency").alias("agency")))
     found = F.when(F.col(column).isNotNull(), F.coalesce("agency", F.lit(NOT_FOUND)))
     return df.join(agencies, column, "left").withColumn("registration_agency", found).drop("agency")
 
 
 def registration_status(df: DataFrame, registry: DataFrame, column: str = "doi",
                         found: str = "ok", name: str = "registration_check") -> DataFrame:
-    known = registry.select(F.col("doi").alias(column)).distinct().withColumn("_status", F.lit(found))
+    known = _stored(registry.select(F.col("doi").alias(column)).distinct()).withColumn("_status", F.lit(found))
     status = F.when(F.col(column).isNotNull(), F.coalesce("_status", F.lit(NOT_FOUND)))
     return df.join(known, column, "left").withColumn(name, status).drop("_status")
 
@@ -52,10 +62,9 @@ def fill_missing(results: DataFrame, inputs: DataFrame) -> DataFrame:
     ``results(orig_title, doi, …)``, ``inputs(title, doi)``. One DOI per title is
     chosen first, so the join cannot multiply rows.
     """
-    known = (
+    known = _stored(
         inputs.where(F.col("title").isNotNull() & F.col("doi").isNotNull())
-        .groupBy(F.col("title").alias("orig_title")).agg(F.min("doi").alias("_doi"))
-    )
+        .groupBy(F.col("title").alias("orig_title")).agg(F.min("doi").alias("_doi")))
     return (
         results.join(known, "orig_title", "left")
         .withColumn("doi", F.coalesce("doi", "_doi")).drop("_doi")
@@ -74,7 +83,7 @@ def labels_by_id(ids: DataFrame, snapshot: DataFrame, key: str = "id") -> DataFr
 
 def core_flag(nodes: DataFrame, core_works: DataFrame) -> DataFrame:
     """1 where the node's label is a core work, else 0."""
-    core = core_works.select(F.col("openalex_work_id").alias("Label")).distinct().withColumn("_c", F.lit(1))
+    core = _stored(core_works.select(F.col("openalex_work_id").alias("Label")).distinct()).withColumn("_c", F.lit(1))
     return nodes.join(core, "Label", "left").withColumn("core_work", F.coalesce("_c", F.lit(0))).drop("_c")
 
 
@@ -85,7 +94,7 @@ def attach_sdg(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 def listed_in_corpus(listed: DataFrame, corpus: DataFrame) -> DataFrame:
     """Whether each listed title occurs among the corpus titles."""
-    have = corpus.select("title").where(F.col("title").isNotNull()).distinct().withColumn("_in", F.lit(True))
+    have = _stored(corpus.select("title").where(F.col("title").isNotNull()).distinct()).withColumn("_in", F.lit(True))
     return listed.join(have, "title", "left").withColumn("match", F.coalesce("_in", F.lit(False))).drop("_in")
 
 

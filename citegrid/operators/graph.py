@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrid.operators.keys import dense_id
@@ -258,15 +258,24 @@ _LANES = 16
 _GROUP = 64 * _LANES
 
 
-def closeness(edges: DataFrame, max_nodes: int | None = None, hub_arcs: int = HUB_ARCS,
-              scratch: Scratch | None = None) -> DataFrame:
+# Rows (vertex, source group) that the searches of one batch may hold, some 300 bytes each.
+STATE_ROWS = 50_000_000
+
+
+def closeness(edges: DataFrame, max_nodes: int | None = None, hub_arcs: int = HUB_ARCS, state_rows: int = STATE_ROWS,
+              resume: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``(reached - 1) / sum of hops`` within the reachable set; null where isolated.
 
     All networks are measured; with ``max_nodes``, larger ones get nulls instead.
-    All breadth-first searches run at once: a row ``(vertex, source group)`` holds a
-    bit per source that has reached the vertex, and a round ORs the new bits of the
-    neighbours. Distances are symmetric, so the bits set at a vertex in round d count
-    the sources at distance d *from it*, and no pair is ever listed.
+    Sources are searched in batches, one after the other, so that what is alive at a time
+    is bounded by ``state_rows`` whatever the number of vertices. In a batch all searches
+    run at once: a row ``(vertex, source group)`` holds a bit per source that has reached
+    the vertex, and a round ORs the new bits of the neighbours. Distances are symmetric, so
+    the bits set at a vertex in round d count the sources at distance d *from it*, and no
+    pair is ever listed. A batch leaves one row of totals per vertex.
+
+    ``resume`` names a folder, for these edges alone, where the totals of finished batches
+    are kept; a run that was ended goes on behind the last of them.
     """
     scratch = scratch or Scratch(edges.sparkSession, "closeness")
     nodes = scratch.save(vertices(edges), "nodes")
@@ -276,51 +285,77 @@ def closeness(edges: DataFrame, max_nodes: int | None = None, hub_arcs: int = HU
     numbered = _numbered(nodes.join(allowed, "network", "left_semi"), scratch)
     near = both_ways(edges.where(F.col("source") != F.col("target"))).distinct()
     arcs, hubs = _resident(_renumber(near, numbered), hub_arcs, scratch)
+    groups = (numbered.agg(F.max("v")).first()[0] or 0) // _GROUP + 1
+    step = max(1, state_rows // (groups * _GROUP))
+    done = []
+    try:
+        for batch, first in enumerate(range(0, groups, step)):
+            kept = f"{resume.rstrip('/')}/totals-{step}-{batch}" if resume else None
+            if kept and _written(edges.sparkSession, kept):
+                totals = edges.sparkSession.read.parquet(kept)
+            else:
+                totals = _search(arcs, hubs, numbered, first, first + step, scratch).groupBy("v").agg(
+                    F.sum("reached").alias("reached"), F.sum("hops").alias("hops"))
+                if kept:
+                    totals.write.mode("overwrite").parquet(kept)
+                    totals = edges.sparkSession.read.parquet(kept)
+                else:
+                    totals = scratch.save(totals, f"totals-{batch}")
+            done.append(totals)
+    finally:
+        arcs.unpersist()
+        scratch.drop("arcs", "hubs", "state")
+    totals = reduce(DataFrame.unionByName, done).groupBy("v").agg(F.sum("reached").alias("reached"), F.sum("hops").alias("hops"))
+    value = F.try_divide(F.col("reached").cast("double"), F.col("hops"))
+    scored = numbered.join(totals, "v").select("network", "id", value.alias("closeness"))
+    return nodes.join(scored, ["network", "id"], "left")
+
 
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def _search(arcs: DataFrame, hubs: DataFrame | None, numbered: DataFrame, first: int, end: int, scratch: Scratch) -> DataFrame:
+    """Breadth-first searches from the source groups ``first`` to ``end - 1``: ``(v, g, reached, hops, ...)``."""
     seen = [f"seen{i}" for i in range(_LANES)]
     new = [f"new{i}" for i in range(_LANES)]
     lane = F.floor(F.col("v") / 64).cast("int") % _LANES
     own = F.expr("shiftleft(1L, cast(v % 64 as int))")
     start = [F.when(lane == i, own).otherwise(F.lit(0).cast("bigint")) for i in range(_LANES)]
-    state = scratch.save(numbered.select(
+    sources = numbered.where((F.col("v") >= first * _GROUP) & (F.col("v") < end * _GROUP))
+    state = scratch.save(sources.select(
         "v", F.floor(F.col("v") / _GROUP).alias("g"),
         *[s.alias(seen[i]) for i, s in enumerate(start)], *[s.alias(new[i]) for i, s in enumerate(start)],
         F.lit(0).cast("bigint").alias("reached"), F.lit(0).cast("bigint").alias("hops"),
     ), "state")
     zero = F.lit(0).cast("bigint")
     hop = 0
-    try:
-        while True:
-            hop += 1
-            active = reduce(Column.__or__, [F.col(c) != 0 for c in new])
-            heard = (
-                _send(state.where(active).select(F.col("v").alias("s"), "g", *new), arcs, hubs)
-                .groupBy(F.col("t").alias("v"), "g")
-                .agg(*[F.bit_or(c).alias(f"in{i}") for i, c in enumerate(new)])
-            )
-            met = state.drop(*new).join(heard, ["v", "g"], "full_outer")
-            fresh = [
-                F.coalesce(f"in{i}", zero).bitwiseAND(F.bitwise_not(F.coalesce(seen[i], zero))) for i in range(_LANES)
-            ]
-            step = met.select(
-                "v", "g", "reached", "hops", *seen, *[f.alias(new[i]) for i, f in enumerate(fresh)])
-            gained = reduce(Column.__add__, [F.bit_count(c).cast("bigint") for c in new])
-            state, seen_now = scratch.measure(step.select(
-                "v", "g",
-                *[F.coalesce(seen[i], zero).bitwiseOR(F.col(new[i])).alias(seen[i]) for i in range(_LANES)],
-                *new,
-                (F.coalesce("reached", zero) + gained).alias("reached"),
-                (F.coalesce("hops", zero) + gained * hop).alias("hops"),
-            ), "state", F.count_if(active).alias("active"))
-            if not seen_now["active"]:
-                break
-    finally:
-        arcs.unpersist()
-        scratch.drop("arcs", "hubs")
-    totals = state.groupBy("v").agg(F.sum("reached").alias("reached"), F.sum("hops").alias("hops"))
-    value = F.try_divide(F.col("reached").cast("double"), F.col("hops"))
-    scored = numbered.join(totals, "v").select("network", "id", value.alias("closeness"))
-    return nodes.join(scored, ["network", "id"], "left")
+    while True:
+        hop += 1
+        active = reduce(Column.__or__, [F.col(c) != 0 for c in new])
+        heard = (
+            _send(state.where(active).select(F.col("v").alias("s"), "g", *new), arcs, hubs)
+            .groupBy(F.col("t").alias("v"), "g")
+            .agg(*[F.bit_or(c).alias(f"in{i}") for i, c in enumerate(new)])
+        )
+        met = state.drop(*new).join(heard, ["v", "g"], "full_outer")
+        fresh = [
+            F.coalesce(f"in{i}", zero).bitwiseAND(F.bitwise_not(F.coalesce(seen[i], zero))) for i in range(_LANES)
+        ]
+        step = met.select(
+            "v", "g", "reached", "hops", *seen, *[f.alias(new[i]) for i, f in enumerate(fresh)])
+        gained = reduce(Column.__add__, [F.bit_count(c).cast("bigint") for c in new])
+        state, seen_now = scratch.measure(step.select(
+            "v", "g",
+            *[F.coalesce(seen[i], zero).bitwiseOR(F.col(new[i])).alias(seen[i]) for i in range(_LANES)],
+            *new,
+            (F.coalesce("reached", zero) + gained).alias("reached"),
+            (F.coalesce("hops", zero) + gained * hop).alias("hops"),
+        ), "state", F.count_if(active).alias("active"))
+        if not seen_now["active"]:
+            return state
 
 
 # --- modularity -------------------------------------------------------------------

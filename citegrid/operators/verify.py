@@ -54,17 +54,19 @@ def expected_strength(works: DataFrame, citations: DataFrame, item: str, key: st
     )
 
 
-def plain_pairs(works: DataFrame, citations: DataFrame, item: str, key: str) -> DataFrame:
+def plain_pairs(works: DataFrame, citations: DataFrame, item: str, key: str, spread: int = 8) -> DataFrame:
     """Edges of coupling or co-citation by one plain self-join and ``distinct`` at its end.
 
     A second formulation that shares neither the blocks nor the counting with the first:
-    an edge's weight is the number of distinct keys behind its pair.
+    an edge's weight is the number of distinct keys behind its pair. Sources are dealt into
+    ``spread`` parts that each meet all targets of a key, so a hub is not one task.
     """
     ids = works.select(F.col("id").alias(item)).distinct()
     rows = citations.select(item, key).join(ids, item)
-    other = rows.select(F.col(item).alias("target"), key)
+    part = F.pmod(F.xxhash64("source"), F.lit(spread)).cast("int")
+    other = rows.select(F.col(item).alias("target"), key, F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"))
     return (
-        rows.withColumnRenamed(item, "source").join(other, key).where("source < target")
+        rows.withColumnRenamed(item, "source").withColumn("part", part).join(other, [key, "part"]).where("source < target")
         .groupBy("source", "target").agg(F.countDistinct(key).alias("weight"))
     )
 

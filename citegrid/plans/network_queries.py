@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citegrid.operators import networks as N
 from citegrid.operators import verify as V
+from citegrid.operators.certify import certify
 from citegrid.plans import build
 from citegrid.plans.build import edge_tables
 from citegrid.plans.catalogue import query
@@ -195,22 +196,24 @@ def roundtrip_networks(t):
     f"SELECT '{n}' AS network, source, target FROM {n}" for n in N.NETWORKS) + """),
     ends AS (SELECT network, source AS id FROM edges UNION ALL SELECT network, target FROM edges)
     SELECT network, count(*) // 2 AS n_edges, count(DISTINCT id) AS n_nodes, count(*) AS degrees,
-      count(DISTINCT id) AS complete, 1.0::DOUBLE AS top_eigen, count(DISTINCT id) AS distinct_ids
+      count(DISTINCT id) AS complete, 1.0::DOUBLE AS top_eigen, count(DISTINCT id) AS distinct_ids,
+      0 AS component_off, 0 AS cluster_louvain_off, 0 AS cluster_leiden_off, 0 AS eigen_off, 0 AS closeness_off
     FROM ends GROUP BY network""", "thread_works thread_citations")
 def network_run(t):
     """The whole run over files, and what it wrote per network.
 
-    Edges, nodes, sum of degrees, rows with every label and a centrality in range, and
-    the largest centrality.
+    Edges, nodes, sum of degrees, rows with every label and a centrality in range, the
+    largest centrality, and how often a certificate of the measures is broken.
     """
     folder = Scratch(t.spark, "run").base
     t.thread_works.write.parquet(f"{folder}/works")
     t.thread_citations.write.parquet(f"{folder}/citations")
     build.run(t.spark, f"{folder}/works", f"{folder}/citations", f"{folder}/out")
-    edges = t.spark.read.parquet(f"{folder}/out/edges").groupBy("network").agg(F.count(F.lit(1)).alias("n_edges"))
+    written, table = (t.spark.read.parquet(f"{folder}/out/{name}") for name in ("edges", "nodes"))
+    edges = written.groupBy("network").agg(F.count(F.lit(1)).alias("n_edges"))
     full = F.col("component").isNotNull() & F.col("cluster_louvain").isNotNull() & F.col("cluster_leiden").isNotNull()
-    nodes = t.spark.read.parquet(f"{folder}/out/nodes").groupBy("network").agg(
+    nodes = table.groupBy("network").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.sum("degree").alias("degrees"),
         F.count_if(full & F.col("Label").isNotNull() & F.col("eigen_centrality").between(0, 1)).alias("complete"),
         F.round(F.max("eigen_centrality"), 9).alias("top_eigen"), F.countDistinct("id").alias("distinct_ids"))
-    return edges.join(nodes, "network")
+    return edges.join(nodes, "network").join(certify(written, table), "network")
