@@ -9,8 +9,10 @@ new units, repeat more often still and are kept likewise.
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import regex
 
@@ -23,15 +25,24 @@ LONGEST = 48
 _MARKS = (".", ",", ";", ":", "!", "?")
 
 
-def _quick(text: str) -> list[str]:
-    """Cut at every space; right only where no other white space touches one."""
-    first, *rest = text.split(" ")
-    return [first, *[" " + p for p in rest]]
+def _spaced(text: str) -> list[str] | None:
+    """The units of a text whose only white space is single spaces between other characters."""
+    words = text.split()
+    if text.count(" ") != len(words) - 1 or len(" ".join(words)) != len(text):
+        return None
+    return [words[0], *[" " + w for w in words[1:]]]
 
 
-def _apart(text: str) -> bool:
-    """Whether no white space touches other white space or an end of the text."""
-    return len(" ".join(text.split())) == len(text)
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """No search for reference cycles: millions of new lists and strings have none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def _clean(unit: str) -> bool:
@@ -78,6 +89,10 @@ class Units:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        with _uncollected():
+            return self._texts(texts)
+
+    def _texts(self, texts: list[str]) -> list[bytes]:
         known = self.known
         split: list[list[str]] = []
         new: dict[str, None] = {}
@@ -86,8 +101,8 @@ class Units:
             if not text:
                 split.append([])
                 continue
-            if _apart(text):
-                units = _quick(text)
+            units = _spaced(text)
+            if units:
                 unseen = [u for u in set(units) if u not in known]
             else:
                 units = _CUT.split(text)
