@@ -26,10 +26,12 @@ _MARKS = (".", ",", ";", ":", "!", "?")
 
 
 def _spaced(text: str) -> list[str] | None:
-    """The units of a text whose only white space is single spaces between other characters."""
+    """Units cut at every space, if no white space touches other white space or an end of the text."""
     words = text.split()
-    if text.count(" ") != len(words) - 1 or len(" ".join(words)) != len(text):
+    if len(" ".join(words)) != len(text):
         return None
+    if text.count(" ") != len(words) - 1:
+        words = text.split(" ")
     return [words[0], *[" " + w for w in words[1:]]]
 
 
@@ -102,7 +104,7 @@ class Units:
                 split.append([])
                 continue
             units = _spaced(text)
-            if units:
+            if units is not None:
                 unseen = [u for u in set(units) if u not in known]
             else:
                 units = _CUT.split(text)
