@@ -3,17 +3,22 @@
 Work in a join on one key grows with the product of both sides, so a key is
 split by its row count and not by its bytes: its rows are dealt into blocks of
 about ``block_rows`` and every pair of blocks becomes a join key of its own.
-No row and no partner is dropped; keys below the limit form a single block.
+No row and no partner is dropped; keys below the limit form a single block, so a
+cell makes about ``block_rows`` squared pairs at most. The counts of all keys also give
+the number of pairs, and that the number of partitions: about ``TASK_PAIRS`` for a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from citegrid.session import Scratch
 
-BLOCK_ROWS = 10_000
+BLOCK_ROWS = 2_000
+TASK_PAIRS = 20_000_000
+# Partitions that a shuffle may have; beyond it tasks make more pairs each.
+MOST_TASKS = 50_000
 
 
 def _blocks(n: Column, block_rows: int) -> Column:
@@ -24,24 +29,32 @@ def _block_of(item: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(item), blocks).cast("int")
 
 
-def _stored(hot: DataFrame) -> DataFrame:
-    """The list of hot keys as a table of its own.
+def tasks_for(spark: SparkSession, pairs: float) -> int:
+    """Partitions for so many pairs, at least the session's number."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_TASKS, int(pairs // TASK_PAIRS) + 1))
 
-    A join against an aggregate on the same key cannot be split by the planner, so the
+
+def _histogram(sizes: DataFrame, pairs: Column, hot: Column, *columns: Column) -> tuple[DataFrame, int]:
+    """The ``columns`` of hot keys as a table of its own, and the partitions for the pairs of all keys.
+
+    Both come from one pass over the sizes. A join against an aggregate on the same key cannot be split by the planner, so the
     rows of a hub would meet in one task before they are dealt into blocks. Against a
     stored table, mostly empty, the join is a broadcast or one that can be split.
     """
-    return Scratch(hot.sparkSession, "hot-keys").save(hot, "hot")
+    spark, seen = sizes.sparkSession, Observation()
+    counted = sizes.observe(seen, F.sum(pairs).alias("pairs"))
+    table = Scratch(spark, "hot-keys").save(counted.where(hot).select(*columns), "hot")
+    return table, tasks_for(spark, seen.get.get("pairs") or 0)
 
 
-def _spread(side: DataFrame, *cell: str) -> DataFrame:
-    """Keep the configured number of partitions ahead of an expanding join.
+def _spread(side: DataFrame, tasks: int, *cell: str) -> DataFrame:
+    """A fixed number of partitions ahead of an expanding join.
 
     Partition coalescing looks at the bytes going in, which say nothing about the
     pairs coming out; an explicit number is left alone.
     """
-    n = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return side.repartition(n, *cell)
+    return side.repartition(tasks, *cell)
 
 
 def pairs_within(rows: DataFrame, key: str, item: str, carry: tuple[str, ...] = (),
@@ -52,10 +65,10 @@ def pairs_within(rows: DataFrame, key: str, item: str, carry: tuple[str, ...] =
     and ``c_target``. A key's blocks are paired once each (low, high), so every
     pair of items meets exactly once per pair of input rows.
     """
-    hot = _stored(
-        rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > block_rows)
-        .select(key, _blocks(F.col("n"), block_rows).alias("blocks")))
+    n = F.col("n").cast("double")
+    hot, tasks = _histogram(
+        rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), n * (n - 1) / 2,
+        F.col("n") > block_rows, F.col(key), _blocks(F.col("n"), block_rows).alias("blocks"))
     dealt = (
         rows.join(hot, key, "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -71,7 +84,7 @@ def pairs_within(rows: DataFrame, key: str, item: str, carry: tuple[str, ...] =
         F.col("block").alias("hi"),
         F.col(item).alias("item_r"), *[F.col(c).alias(f"{c}_r") for c in carry],
     )
-    met = _spread(low, key, "lo", "hi").join(_spread(high, key, "lo", "hi"), [key, "lo", "hi"]).where(
+    met = _spread(low, tasks, key, "lo", "hi").join(_spread(high, tasks, key, "lo", "hi"), [key, "lo", "hi"]).where(
         ((F.col("lo") < F.col("hi")) & (F.col("item_l") != F.col("item_r")))
         | ((F.col("lo") == F.col("hi")) & (F.col("item_l") < F.col("item_r")))
     )
@@ -94,11 +107,11 @@ def grid_join(left: DataFrame, right: DataFrame, key: str, left_item: str, right
     """
     n_left = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_left"))
     n_right = right.groupBy(key).agg(F.count(F.lit(1)).alias("n_right"))
-    hot = _stored(
-        n_left.join(n_right, key)
-        .where((F.col("n_left") > block_rows) | (F.col("n_right") > block_rows))
-        .select(key, _blocks(F.col("n_left"), block_rows).alias("rows_l"),
-                _blocks(F.col("n_right"), block_rows).alias("rows_r")))
+    hot, tasks = _histogram(
+        n_left.join(n_right, key), F.col("n_left").cast("double") * F.col("n_right"),
+        (F.col("n_left") > block_rows) | (F.col("n_right") > block_rows),
+        F.col(key), _blocks(F.col("n_left"), block_rows).alias("rows_l"),
+        _blocks(F.col("n_right"), block_rows).alias("rows_r"))
 
     def dealt(side: DataFrame, item: str, own: str, other: str) -> DataFrame:
         return (
@@ -113,4 +126,4 @@ def grid_join(left: DataFrame, right: DataFrame, key: str, left_item: str, right
     l = dealt(left, left_item, "rows_l", "rows_r")
     r = dealt(right, right_item, "rows_r", "rows_l")
     cell = [key, "rows_l_block", "rows_r_block"]
-    return _spread(l, *cell).join(_spread(r, *cell), cell).drop("rows_l_block", "rows_r_block")
+    return _spread(l, tasks, *cell).join(_spread(r, tasks, *cell), cell).drop("rows_l_block", "rows_r_block")
