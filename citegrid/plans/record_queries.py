@@ -8,6 +8,7 @@ from citegrid.functions import nested as X
 from citegrid.functions.doi import strip_resolver_prefix
 from citegrid.operators import enrich as E
 from citegrid.operators import keys as K
+from citegrid.operators import reports as R
 from citegrid.plans.catalogue import query
 from citegrid.session import Scratch
 from citegrid.sources import readers, schemas, writers
@@ -179,20 +180,26 @@ _ODD_SQL = """SELECT o_orderkey AS row_idx, CASE o_orderkey % 8 WHEN 0 THEN NULL
 _ODD_SCHEMA = schemas.table(row_idx=schemas.LONG, value=schemas.STRING)
 
 
-def _odd(t):
-    return t.spark.sql(_ODD_SQL.replace("{S}", "STRING").replace("FROM orders", "FROM {orders}"), orders=t.orders)
+# The same with characters that Latin-1 spells by one byte.
+_LATIN_SQL = f"SELECT row_idx, CASE WHEN value IS NOT NULL THEN concat(chr(233), value, chr(223)) END AS value FROM ({_ODD_SQL}) x"
 
 
-def _round_trip(name, write, read):
-    @query(name, _ODD_SQL.replace("{S}", "VARCHAR"))
+def _odd(t, sql=_ODD_SQL):
+    return t.spark.sql(sql.replace("{S}", "STRING").replace("FROM orders", "FROM {orders}"), orders=t.orders)
+
+
+def _round_trip(name, write, read, sql=_ODD_SQL, **options):
+    @query(name, sql.replace("{S}", "VARCHAR"))
     def round_trip(t):
         path = Scratch(t.spark, name).base
-        write(_odd(t), path)
+        write(_odd(t, sql), path, **options)
         return read(t.spark, path, _ODD_SCHEMA, multi_line=True)
 
 
 _round_trip("roundtrip_tsv", writers.write_tsv, readers.read_tsv)
 _round_trip("roundtrip_csv", writers.write_csv, readers.read_csv)
+_round_trip("roundtrip_piped", writers.write_csv, readers.read_piped, sep="|")
+_round_trip("roundtrip_latin1", writers.write_csv, readers.read_latin1_tsv, _LATIN_SQL, sep="\t", encoding="ISO-8859-1")
 
 
 @query("roundtrip_json_batches", """SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) // 100 AS batch_id,
@@ -204,3 +211,55 @@ def roundtrip_json_batches(t):
     writers.write_json_batches(numbered, path)
     return readers.read_json_lines(t.spark, path, schemas.table(
         batch_id=schemas.LONG, row_idx=schemas.LONG, name=schemas.STRING))
+
+
+_PARTS_SQL = """SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS row_idx, p_name AS name,
+    CASE WHEN p_size % 4 <> 0 THEN p_size END AS size FROM part"""
+
+
+def _part_files(t, label: str) -> str:
+    """Parts as JSON arrays in numbered files."""
+    path = Scratch(t.spark, label).base
+    rows = t.part.select("p_partkey", F.col("p_name").alias("name"), F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("size"))
+    writers.write_json_arrays(K.dense_id(rows, ["p_partkey"], "row_idx", 0).drop("p_partkey"), path)
+    return path
+
+
+@query("roundtrip_json_records", f"SELECT name, size FROM ({_PARTS_SQL}) p")
+def roundtrip_json_records(t):
+    """Files of JSON arrays read as one set."""
+    return readers.read_json_records(t.spark, _part_files(t, "json-records"), t.part.select(
+        F.col("p_name").alias("name"), F.col("p_size").alias("size")).schema)
+
+
+@query("roundtrip_json_chunks", _PARTS_SQL)
+def roundtrip_json_chunks(t):
+    """The same files as one table in their order."""
+    return readers.read_json_chunks(t.spark, _part_files(t, "json-chunks"), t.part.select(
+        F.col("p_name").alias("name"), F.col("p_size").alias("size")).schema)
+
+
+@query("roundtrip_link_alias", "SELECT openalex_id, id FROM works", "works")
+def roundtrip_link_alias(t):
+    """A works file whose link column has another name."""
+    path = f"{Scratch(t.spark, 'link-alias').base}/works.csv"
+    writers.write_csv(t.works.select(F.col("openalex_id").alias("openalex_work"), "id"), path)
+    return readers.read_works(t.spark, path).select("openalex_id", "id")
+
+
+@query("roundtrip_report", """SELECT type, count(*) AS n FROM works_meta GROUP BY type""", "works_meta")
+def roundtrip_report(t):
+    path = Scratch(t.spark, "report-file").base
+    writers.write_report(R.count_by(t.works_meta, "type", name="n"), path)
+    return readers.read_csv(t.spark, path, schemas.table(type=schemas.STRING, n=schemas.LONG))
+
+
+@query("roundtrip_nested", f"""SELECT {_ID} AS id, coalesce(array_to_string(list_transform(list_filter(
+    range(1, 2 + p_size % 3), lambda i: (p_partkey + i) % 9 <> 0), lambda i: concat(p_brand, '-', i)), '|'), '') AS authors,
+    CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS source FROM part""")
+def roundtrip_nested(t):
+    """Nested records written and read back as they are."""
+    path = Scratch(t.spark, "nested").base
+    writers.write_nested(t.metadata.select("id", "authorships", "primary_location"), path)
+    return t.spark.read.parquet(path).select(
+        "id", F.array_join(X.author_names(F.col("authorships")), "|").alias("authors"), F.col("primary_location.source").alias("source"))

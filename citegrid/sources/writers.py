@@ -18,8 +18,9 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").options(**_TEXT).option("sep", "\t").option("nullValue", "NA").csv(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").options(**_TEXT).csv(path)
+def write_csv(df: DataFrame, path: str, **options: str) -> None:
+    """Comma-separated with header; ``options`` such as ``sep`` or ``encoding`` name other forms."""
+    df.write.mode("overwrite").options(**_TEXT).options(**options).csv(path)
 
 
 def write_by_network(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -46,6 +47,21 @@ def write_nested(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, size: int = 100, order: str = "row_idx") -> None:
+    """A file per ``size`` consecutive rows holding them as one JSON array, numbered in order.
+
+    ``order`` numbers the rows from 0 without gaps. A file is one group of ``size`` rows and
+    one task, so ``size`` should grow with the table; the column ``order`` is not written,
+    since the place of a row tells it.
+    """
+    row = F.struct(F.col(order).alias("_at"), F.struct(*[c for c in df.columns if c != order]).alias("_row"))
+    chunks = df.groupBy(F.floor(F.col(order) / size).cast("int").alias("chunk")).agg(
+        F.transform(F.array_sort(F.collect_list(row)), lambda r: r["_row"]).alias("rows"))
+    n = chunks.agg(F.max("chunk")).first()[0]
+    # The number of a file is that of its partition.
+    chunks.repartitionById((n or 0) + 1, F.col("chunk")).select(F.to_json("rows").alias("value")).write.mode("overwrite").text(path)
+
+
 def write_json_batches(df: DataFrame, path: str, size: int = 100, order: str = "row_idx") -> None:
     """JSON lines with a ``batch_id`` per ``size`` consecutive rows.
 
