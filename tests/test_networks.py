@@ -5,10 +5,13 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from citegrid.operators import networks as N
+from citegrid.operators import skew
 from citegrid.operators import verify as V
 from citegrid.operators.skew import grid_join, pairs_within
+from citegrid.plans import build
 
 
 @pytest.fixture(scope="module")
@@ -110,3 +113,54 @@ def test_blocked_joins_lose_and_repeat_nothing(spark, rows):
     pairs = pairs_within(left, "k", "a", block_rows=4)
     want = list(itertools.combinations(range(50), 2)) + list(itertools.combinations(range(3), 2))
     assert rows(pairs) == sorted(want)
+
+
+def test_partitions_follow_the_pairs(spark, monkeypatch):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert skew.tasks_for(spark, 0) == least
+    assert skew.tasks_for(spark, 100 * skew.TASK_PAIRS) == 101
+    assert skew.tasks_for(spark, 1e30) == skew.MOST_TASKS
+    monkeypatch.setattr(skew, "TASK_PAIRS", 50)
+    rows = spark.createDataFrame([(k, i) for k in range(3) for i in range(30 if k else 2)], "key int, item int")
+    pairs = skew.pairs_within(rows, "key", "item", block_rows=7)
+    found = [tuple(r) for r in pairs.collect()]
+    want = [(a, b) for n in (2, 30, 30) for a in range(n) for b in range(a + 1, n)]
+    assert sorted(found) == sorted(want)
+    assert pairs.rdd.getNumPartitions() == 871 // 50 + 1
+    empty = skew.pairs_within(rows.where("key > 9"), "key", "item")
+    assert empty.count() == 0
+
+
+def test_a_run_goes_on_behind_finished_stages(spark, tmp_path, monkeypatch):
+    works, cites, out = (str(tmp_path / n) for n in ("works", "citations", "out"))
+    spark.createDataFrame([(i, f"w{i}") for i in range(6)], "id bigint, openalex_id string").write.parquet(works)
+    spark.createDataFrame([(a, b) for a in range(6) for b in range(a)], "citing_id bigint, cited_id bigint").write.parquet(cites)
+    calls = []
+
+    def measured(name):
+        def measure(edges, *args, **kwargs):
+            calls.append(name)
+            if name == "leiden" and calls.count(name) == 1:
+                raise RuntimeError("ended")
+            column = {"component": "component", "louvain": "cluster_louvain", "leiden": "cluster_leiden",
+                      "closeness": "closeness", "eigen": "eigen_centrality"}[name]
+            return build.graph.vertices(edges).withColumn(column, F.lit(1))
+        return measure
+
+    for module, attribute, name in ((build.graph, "components", "component"), (build.community, "louvain", "louvain"),
+                                    (build.community, "leiden", "leiden"), (build.graph, "closeness", "closeness"),
+                                    (build.graph, "eigenvector", "eigen")):
+        monkeypatch.setattr(module, attribute, measured(name))
+    with pytest.raises(RuntimeError, match="ended"):
+        build.run(spark, works, cites, out)
+    assert calls == ["component", "louvain", "leiden"]
+    monkeypatch.setattr(build.N, "cocitation", lambda *a: pytest.fail("made again"))
+    build.run(spark, works, cites, out, resume=True)
+    assert calls[3:] == ["leiden", "closeness", "eigen"]
+    nodes = spark.read.parquet(f"{out}/nodes")
+    assert nodes.groupBy("network").count().count() == 7 and nodes.where("cluster_leiden IS NULL").count() == 0
+    assert not (tmp_path / "out" / "_stages").exists()
+    # Other parameters take nothing that is finished.
+    kept = build.Stages(spark, f"{out}/_stages", seed=1)
+    kept.table("t", lambda: nodes)
+    assert kept.finished("t") and not build.Stages(spark, f"{out}/_stages", seed=2).finished("t")
