@@ -5,7 +5,7 @@ v, k, own)``: ``k`` is the weighted degree and ``own`` the weight inside the ver
 counted from both ends.
 
 The vertices of a network are dealt into blocks of about ``block_arcs`` arcs. In a round
-every block is one group: it gets its vertices, their arcs and the communities and
+every block is one group of two sides: it gets its vertices, their arcs and the communities and
 community totals at the far ends, and moves its vertices one after the other until none
 gains. What lies in other blocks stands still meanwhile, so a network of one block is at
 rest after one round, however many moves that takes. Between several blocks half of them
@@ -20,7 +20,7 @@ key. The driver sees one row per network and round.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from citegrid.operators.graph import both_ways, components, vertices
 from citegrid.session import Scratch
 
-# Arcs of a block in the mean; a group of rows of that size is moved in one task.
-BLOCK_ARCS = 500_000
+# Arcs of a block in the mean; a group of rows of that size is moved in one task. A network of
+# one block needs one round a level, one of several some hundred, so blocks are as large as a task can hold.
+BLOCK_ARCS = 4_000_000
 # Copies of a community's total that its vertices are joined to.
 SALTS = 16
 EPS = 1e-12
@@ -75,12 +76,6 @@ def _turn_order(vertices_: np.ndarray, seed: int) -> np.ndarray:
                       kind="stable")
 
 
-def _grouped(sources: np.ndarray, n: int) -> Iterator[slice]:
-    """Per vertex its slice of arcs sorted by source."""
-    cut = np.searchsorted(sources, np.arange(n + 1)).tolist()
-    return (slice(a, b) for a, b in zip(cut[:-1], cut[1:]))
-
-
 def _best_target(weights: dict[int, float], tot: list[float], k: float, m2: float, name: list[int], here: int):
     """(gain, community) of the best other community; ties go to the smaller name."""
     top, to = float("-inf"), -1
@@ -92,12 +87,12 @@ def _best_target(weights: dict[int, float], tot: list[float], k: float, m2: floa
     return top, to
 
 
-def _move_vertices(k: list[float], label: list[int], arcs: list[list[tuple[int, int, float]]], tot: list[float],
-                   name: list[int], m2: float, first: list[int]) -> None:
+def _move_vertices(k: list[float], label: list[int], arcs: Callable[[int], Iterable[tuple[int, int, float]]],
+                   tot: list[float], name: list[int], m2: float, first: list[int]) -> None:
     """Move vertices to their best neighbouring community until none of them gains.
 
-    ``arcs`` has (vertex or -1, community of a vertex outside the block, weight). ``label``
-    and ``tot`` are changed in place. A vertex is looked at again after a neighbour left.
+    ``arcs`` gives (vertex or -1, community of a vertex outside the block, weight) for a vertex.
+    ``label`` and ``tot`` are changed in place. A vertex is looked at again after a neighbour left.
     """
     queue, waiting = deque(first), [False] * len(k)
     for v in first:
@@ -106,7 +101,7 @@ def _move_vertices(k: list[float], label: list[int], arcs: list[list[tuple[int,
         v = queue.popleft()
         waiting[v] = False
         weights: dict[int, float] = {}
-        for u, c, w in arcs[v]:
+        for u, c, w in arcs(v):
             c = label[u] if u >= 0 else c
             weights[c] = weights.get(c, 0.0) + w
         here = label[v]
@@ -116,43 +111,51 @@ def _move_vertices(k: list[float], label: list[int], arcs: list[list[tuple[int,
         tot[here] -= k[v]
         tot[to] += k[v]
         label[v] = to
-        for u, _, _ in arcs[v]:
+        for u, _, _ in arcs(v):
             if u >= 0 and label[u] != to and not waiting[u]:
                 queue.append(u)
                 waiting[u] = True
 
 
 class _Block:
-    """Rows of one group as arrays: vertices by number, arcs by source and target."""
-
-    def __init__(self, table: pa.Table):
-        kind = table["dst_c"].is_valid().to_numpy()
-        inner = table.filter(pa.array(~kind)).sort_by("v")
-        outer = table.filter(pa.array(kind)).sort_by([("v", "ascending"), ("dst", "ascending")])
-        self.rows, self.v = inner, inner["v"].to_numpy()
-        self.k, self.c, self.tot = (inner[x].to_numpy() for x in ("k", "c", "tot"))
+    """Rows of one group as arrays: vertices by number, arcs by source and target.
+
+    Arcs stay in arrays, 32 bytes each; only those of the vertex at hand become Python objects.
+    """
+
+    def __init__(self, own: pa.Table, heard: pa.Table):
+        self.rows = own.sort_by("v")
+        outer = heard.drop_columns(["network", "block"]).sort_by([("v", "ascending"), ("dst", "ascending")])
+        self.v = self.rows["v"].to_numpy()
+        self.k, self.c, self.tot = (self.rows[x].to_numpy() for x in ("k", "c", "tot"))
         self.source = np.searchsorted(self.v, outer["v"].to_numpy())
         far = outer["dst"].to_numpy()
         at = np.minimum(np.searchsorted(self.v, far), max(len(self.v) - 1, 0))
         self.target = np.where(self.v[at] == far, at, -1) if len(self.v) else at
         self.far_c, self.far_tot, self.w = (outer[x].to_numpy() for x in ("dst_c", "dst_tot", "w"))
+        self.cut = np.searchsorted(self.source, np.arange(len(self.v) + 1)).tolist()
+
+    def arcs(self, *columns: np.ndarray) -> Callable[[int], Iterable[tuple]]:
+        """The columns of a vertex' arcs."""
+        cut = self.cut
+        return lambda v: zip(*[x[cut[v]:cut[v + 1]].tolist() for x in columns])
 
 
 def _move_block(seed: int):
-    def run(table: pa.Table) -> pa.Table:
-        b = _Block(table)
+    def run(own: pa.Table, heard: pa.Table) -> pa.Table:
+        b = _Block(own, heard)
         name, index = np.unique(np.concatenate([b.c, b.far_c]), return_inverse=True)
         tot = np.zeros(len(name))
         tot[index] = np.concatenate([b.tot, b.far_tot])
-        n, label, m2 = len(b.v), index[:len(b.c)].tolist(), float(b.rows["m2"][0].as_py())
-        arcs = list(zip(b.target.tolist(), index[len(b.c):].tolist(), b.w.tolist()))
-        near = [arcs[part] for part in _grouped(b.source, n)]
+        n, label, far, m2 = len(b.v), index[:len(b.c)].tolist(), index[len(b.c):], float(b.rows["m2"][0].as_py())
         order = _turn_order(b.v, seed)
         first = order[b.rows["dirty"].to_numpy(zero_copy_only=False)[order]].tolist()
         tot = tot.tolist()
         if m2 > 0:
-            _move_vertices(b.k.tolist(), label, near, tot, name.tolist(), m2, first)
-        inside = [sum(w for u, c, w in a if (label[u] if u >= 0 else c) == label[i]) for i, a in enumerate(near)]
+            _move_vertices(b.k.tolist(), label, b.arcs(b.target, far, b.w), tot, name.tolist(), m2, first)
+        now = np.array(label, dtype=np.int64)
+        same = np.where(b.target >= 0, now[b.target], far) == now[b.source]
+        inside = np.bincount(b.source[same], weights=b.w[same], minlength=n)
         out = b.rows.select(["network", "block", "v", "k", "own", "c", "best"])
         out = out.append_column("next", pa.array(name[label] if n else [], pa.int64()))
         out = out.append_column("inside", pa.array(inside, pa.float64()))
@@ -178,13 +181,10 @@ def _move_round(arcs: DataFrame, labelled: DataFrame, going: Column, seed: int)
         "network", "block", "v", "k", "own", "c", "best", F.col("c").alias("next"),
         F.lit(None).cast("double").alias("inside"), F.lit(None).cast("double").alias("tot_next"))
     far = labelled.select("network", F.col("v").alias("dst"), F.col("c").alias("dst_c"), F.col("tot").alias("dst_tot"))
-    none = {"k": "double", "own": "double", "c": "bigint", "best": "bigint", "tot": "double", "m2": "double", "dirty": "boolean"}
     heard = arcs.join(blocks, ["network", "block"], "left_semi").join(far, ["network", "dst"]).select(
-        "network", "block", F.col("src").alias("v"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()],
-        "dst", "dst_c", "dst_tot", "w")
-    own = ours.select("network", "block", "v", *none, *[F.lit(None).cast(t).alias(c) for c, t in {
-        "dst": "bigint", "dst_c": "bigint", "dst_tot": "double", "w": "double"}.items()])
-    moved = heard.unionByName(own).groupBy("network", "block").applyInArrow(
+        "network", "block", F.col("src").alias("v"), "dst", "dst_c", "dst_tot", "w")
+    own = ours.select("network", "block", "v", "k", "own", "c", "best", "tot", "m2", "dirty")
+    moved = own.groupBy("network", "block").cogroup(heard.groupBy("network", "block")).applyInArrow(
         _move_block(seed), f"{_STATE}, next bigint, inside double, tot_next double")
     return moved.unionByName(rest)
 
@@ -274,12 +274,11 @@ def _local_moves(arcs: DataFrame, nodes: DataFrame, seed: int, max_rounds: int,
 
 def _refine_block(seed: int):
     """Parts of the communities of a group: every vertex starts alone and may join a neighbour's part once."""
-    def run(table: pa.Table) -> pa.Table:
-        b = _Block(table)
+    def run(own: pa.Table, heard: pa.Table) -> pa.Table:
+        b = _Block(own, heard)
         n, m2 = len(b.v), float(b.rows["m2"][0].as_py())
         k, bound, whole, c = b.k.tolist(), b.rows["bound"].to_numpy().tolist(), b.tot.tolist(), b.c.tolist()
-        arcs = list(zip(b.target.tolist(), b.w.tolist()))
-        near = [arcs[part] for part in _grouped(b.source, n)]
+        near = b.arcs(b.target, b.w)
         part, size, name = list(range(n)), [1] * n, b.v.tolist()
         tot, open_, within = list(k), list(bound), [0.0] * n
 
@@ -290,7 +289,7 @@ def _refine_block(seed: int):
             if size[part[v]] > 1 or not linked(bound[v], k[v], whole[v]):
                 continue
             weights: dict[int, float] = {}
-            for u, w in near[v]:
+            for u, w in near(v):
                 if u >= 0 and c[u] == c[v] and part[u] != part[v]:
                     weights[part[u]] = weights.get(part[u], 0.0) + w
             weights = {p: w for p, w in weights.items() if linked(open_[p] - within[p], tot[p], whole[v])}
@@ -333,15 +332,11 @@ def _refine(arcs: DataFrame, parts: DataFrame, seed: int, block_arcs: int, scrat
 
     bound = inside.groupBy("network", F.col("src").alias("v")).agg(F.sum("w").alias("bound"))
     own = _salted(parts, whole, ["network", "c"], "v").join(bound, ["network", "v"], "left").select(
-        "network", group("v"), "v", "k", "own", "c", "tot", "m2", F.coalesce("bound", F.lit(0.0)).alias("bound"),
-        *[F.lit(None).cast(t).alias(x) for x, t in {"dst": "bigint", "dst_c": "bigint", "dst_tot": "double", "w": "double"}.items()])
+        "network", group("v"), "v", "k", "own", "c", "tot", "m2", F.coalesce("bound", F.lit(0.0)).alias("bound"))
     heard = _salted(inside, whole, ["network", "c"], "src").where(
         (F.col("cuts") == 1) | F.pmod(F.xxhash64("src", F.lit(seed)), "cuts").eqNullSafe(F.pmod(F.xxhash64("dst", F.lit(seed)), "cuts"))
-    ).select("network", group("src"), F.col("src").alias("v"),
-             *[F.lit(None).cast(t).alias(x) for x, t in {"k": "double", "own": "double"}.items()],
-             F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("tot"), F.lit(None).cast("double").alias("m2"),
-             F.lit(None).cast("double").alias("bound"), "dst", F.col("c").alias("dst_c"), F.lit(0.0).alias("dst_tot"), "w")
-    return scratch.save(own.unionByName(heard).groupBy("network", "block").applyInArrow(
+    ).select("network", group("src"), F.col("src").alias("v"), "dst", F.col("c").alias("dst_c"), F.lit(0.0).alias("dst_tot"), "w")
+    return scratch.save(own.groupBy("network", "block").cogroup(heard.groupBy("network", "block")).applyInArrow(
         _refine_block(seed), "network string, v bigint, k double, own double, c bigint, s bigint"), "refined")
 
 

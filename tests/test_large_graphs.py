@@ -63,6 +63,16 @@ def test_a_network_of_one_block_rests_after_a_round(two):
     assert C.louvain(edges, max_rounds=1).count() == 160
 
 
+def test_half_a_million_arcs_and_more_are_one_block(spark):
+    """A network that a task can hold rests after one round a level; dealt into blocks it took hundreds."""
+    ends = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(20_000)) for i in (1, 2)]
+    edges = spark.range(270_000).select(
+        F.lit("n").alias("network"), ends[0].alias("source"), ends[1].alias("target"), F.lit(1).cast("bigint").alias("weight"))
+    edges = G.Scratch(spark, "test").save(edges, "edges")
+    labels = G.Scratch(spark, "test").save(C.louvain(edges, max_rounds=1), "labels")
+    assert labels.count() == 20_000 and G.modularity(edges, labels, "cluster_louvain").first().modularity > 0.1
+
+
 def test_big_community_totals_are_met_in_salts(spark):
     """No salt has more than a few times its share of a community of 80 %."""
     rows = spark.range(10_000).select(F.lit("n").alias("network"), F.col("id").alias("v"), F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(-1).alias("c"))
