@@ -5,8 +5,8 @@ outputs are ``(source, target, weight[, type])``.
 
 An edge of a coupling or co-citation network *is* a pair of works that share a
 reference or a citer, so pairs have to be produced. What can be controlled is
-that they never concentrate in one task (``pairs_within``) and that they are
-summed map-side before the only shuffle that carries them.
+that they never concentrate in one task and that what is shuffled is a list of
+targets per source and key instead of a row per pair (``summed_pairs``).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.operators.skew import BLOCK_ROWS, pairs_within
+from citegrid.operators.skew import BLOCK_ROWS, summed_pairs
 
 HYBRIDS = {
     "bc_cc_dc": ("bc", "cc", "dc"),
@@ -41,19 +41,14 @@ def _shared(citations: DataFrame, works: DataFrame, item: str, key: str,
     own = citations.select(item, key).where(F.col(item).isNotNull() & F.col(key).isNotNull())
     if not multiset:
         rows = own.join(ids, item, "left_semi").distinct()
-        pairs = pairs_within(rows, key, item, block_rows=block_rows)
-        weight = F.count(F.lit(1))
+        carry, weight = (), F.count(F.lit(1))
     else:
         # Repeated citations multiply, and so do repeated ids of the source work.
         # Both are counted first, so copies never inflate the pair join.
         copies = ids.groupBy(item).agg(F.count(F.lit(1)).alias("w"))
         rows = own.groupBy(item, key).agg(F.count(F.lit(1)).alias("m")).join(copies, item)
-        pairs = pairs_within(rows, key, item, ("m", "w"), block_rows)
-        weight = F.sum(F.col("m_source") * F.col("m_target") * F.col("w_source"))
-    return (
-        pairs.groupBy("source", "target").agg(weight.alias("weight"))
-        .withColumn("type", F.lit("undirected"))
-    )
+        carry, weight = ("m", "w"), F.sum(F.col("m_source") * F.col("m_target") * F.col("w_source"))
+    return summed_pairs(rows, key, item, weight, carry, block_rows).withColumn("type", F.lit("undirected"))
 
 
 def coupling(works: DataFrame, citations: DataFrame, multiset: bool = False,

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from citegrid.session import Scratch
 
 BLOCK_ROWS = 2_000
-TASK_PAIRS = 20_000_000
+# A task sums its pairs in a hash table, some 300 bytes each.
+TASK_PAIRS = 1_000_000
+# Keys that the pairs of one item may come from before they are dealt to several tasks.
+HEAVY_KEYS = 10_000
 # Partitions that a shuffle may have; beyond it tasks make more pairs each.
 MOST_TASKS = 50_000
 
@@ -97,6 +100,59 @@ def pairs_within(rows: DataFrame, key: str, item: str, carry: tuple[str, ...] =
     )
 
 
+def summed_pairs(rows: DataFrame, key: str, item: str, weight: Column, carry: tuple[str, ...] = (),
+                 block_rows: int = BLOCK_ROWS, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
+    """``(source, target, weight)`` over all pairs of ``pairs_within``; ``weight`` aggregates the carried columns.
+
+    The items of a key are kept as sorted lists of about ``block_rows``. What travels is a
+    row per item and list, with all larger items of that list; the rows of a source meet in one
+    partition, where its pairs are listed and summed. A source of more than ``heavy_keys`` keys is
+    dealt into several by the hash of the target. The number of partitions follows the pairs.
+    """
+    scratch = Scratch(rows.sparkSession, "pairs")
+    rows = scratch.save(rows.where(F.col(key).isNotNull() & F.col(item).isNotNull()).select(key, item, *carry), "rows")
+    n = F.col("n").cast("double")
+    hot, tasks = _histogram(
+        rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), n * (n - 1) / 2,
+        F.col("n") > block_rows, F.col(key), _blocks(F.col("n"), block_rows).alias("blocks"))
+    heavy = scratch.save(
+        rows.groupBy(F.col(item).alias("source")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_keys)
+        .select("source", F.ceil(F.col("n") / heavy_keys).cast("int").alias("salts")), "heavy")
+    entry = F.struct(F.col(item).alias("x"), *carry) if carry else F.col(item)
+    at = (lambda e: e["x"]) if carry else (lambda e: e)
+    listed = F.sort_array(F.collect_list(entry)).alias("own")
+    larger = F.expr("slice(own, at + 2, size(own))").alias("others")
+    if hot.isEmpty():
+        rays = rows.groupBy(key).agg(listed).select("own", F.posexplode("own").alias("at", "one")).select("one", larger)
+    else:
+        dealt = rows.join(hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        lists = scratch.save(
+            dealt.groupBy(key, "blocks", _block_of(F.col(item), F.col("blocks")).alias("block")).agg(listed), "lists")
+        alone = lists.where("blocks = 1").select("own", F.posexplode("own").alias("at", "one")).select("one", larger)
+        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        grid = lists.where("blocks > 1")
+        low = grid.select(key, F.col("block").alias("lo"), every.alias("hi"), "own")
+        high = grid.select(key, every.alias("lo"), F.col("block").alias("hi"), F.col("own").alias("far"))
+        cell = [key, "lo", "hi"]
+        met = _spread(low, tasks, *cell).join(_spread(high, tasks, *cell), cell).select(F.explode("own").alias("one"), "far")
+        rays = alone.unionByName(met.select("one", F.filter("far", lambda e: at(e) > at(F.col("one"))).alias("others")))
+    rays = rays.where(F.size("others") > 0).withColumn("source", at(F.col("one")))
+    place = ["source"]
+    if not heavy.isEmpty():
+        place = ["source", "salt"]
+        rays = rays.join(heavy, "source", "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        mine = F.filter("others", lambda e: _block_of(at(e), F.col("salts")) == F.col("salt"))
+        rays = rays.withColumn("others", F.when(F.col("salts") == 1, F.col("others")).otherwise(mine))
+    pairs = _spread(rays, tasks, *place).select(
+        *place, "one", F.explode("others").alias("other")).withColumn("target", at(F.col("other")))
+    # Grouped by what they are partitioned by and more, so nothing is shuffled again.
+    return pairs.where("source <> target").select(
+        *place, "target", *[F.col(f"one.{c}").alias(f"{c}_source") for c in carry],
+        *[F.col(f"other.{c}").alias(f"{c}_target") for c in carry],
+    ).groupBy(*place, "target").agg(weight.alias("weight")).select("source", "target", "weight")
+
+
 def grid_join(left: DataFrame, right: DataFrame, key: str, left_item: str, right_item: str,
               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Inner join on ``key`` whose large keys are spread over a grid of blocks.

@@ -155,11 +155,10 @@ def core_neighbourhood(t):
     SELECT a.author_id AS source, b.author_id AS target, count(*) AS weight
     FROM u a JOIN u b ON a.work_id = b.work_id AND a.author_id < b.author_id GROUP BY 1, 2""", "author_links")
 def coauthor_links(t):
-    from citegrid.operators.skew import pairs_within
+    from citegrid.operators.skew import summed_pairs
 
     rows = t.author_links.select("work_id", "author_id").distinct()
-    return pairs_within(rows, "work_id", "author_id").groupBy("source", "target").agg(
-        F.count(F.lit(1)).alias("weight"))
+    return summed_pairs(rows, "work_id", "author_id", F.count(F.lit(1)))
 
 
 def _verify(name: str, item: str, key: str, edges) -> None:

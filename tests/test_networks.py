@@ -164,3 +164,27 @@ def test_a_run_goes_on_behind_finished_stages(spark, tmp_path, monkeypatch):
     kept = build.Stages(spark, f"{out}/_stages", seed=1)
     kept.table("t", lambda: nodes)
     assert kept.finished("t") and not build.Stages(spark, f"{out}/_stages", seed=2).finished("t")
+
+
+@pytest.mark.parametrize("multiset", [False, True])
+def test_pairs_of_heavy_sources_are_dealt_and_summed(data, rows, multiset):
+    """Sources of more than a few keys go to several tasks, hubs to cells; nothing is lost or counted twice."""
+    works, citations, w, c = data
+    known = c.where("citing_id <= 40 AND cited_id IS NOT NULL")
+    counted = (known.groupBy("citing_id", "cited_id").agg(F.count(F.lit(1)).alias("m")) if multiset
+               else known.distinct().withColumn("m", F.lit(1).cast("bigint")))
+    for block_rows in (4, 10_000):
+        found = skew.summed_pairs(counted, "cited_id", "citing_id", F.sum(F.col("m_source") * F.col("m_target")),
+                                  ("m",), block_rows, heavy_keys=3)
+        assert rows(found) == brute(works, citations, 0, 1, multiset)
+
+
+def test_tasks_that_sum_pairs_follow_their_number(spark, data, monkeypatch):
+    """A fixed number of partitions let the pairs of a task grow with the input."""
+    _, _, w, c = data
+    monkeypatch.setattr(skew, "TASK_PAIRS", 20)
+    edges = N.coupling(w, c)
+    tasks = max(spark.sparkContext.defaultParallelism, edges.agg(F.sum("weight")).first()[0] // 20)
+    per = edges.groupBy(F.spark_partition_id()).agg(F.sum("weight").alias("n")).agg(F.max("n"), F.count("n")).first()
+    assert per[1] > 20 and per[0] < tasks * 20 / 4
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 3
