@@ -106,6 +106,18 @@ def test_closeness_in_batches_and_from_where_a_run_ended(spark, monkeypatch, tmp
     assert calls == [0, 1, 2, 2, 3, 4]  # groups of sources; the first two are not searched again
 
 
+def test_rounds_of_closeness_leave_no_shuffle_files_behind(spark, monkeypatch):
+    """Disk in use does not add up over rounds and batches."""
+    rows = [("p", i, i + 1, 1) for i in range(1_200)] + [("p", i, (i * 7) % 1_200, 1) for i in range(1_200)]
+    edges = G.Scratch(spark, "test").save(spark.createDataFrame(rows, SCHEMA), "edges")
+    rounds, measure, release = [], G.Scratch.measure, G.Scratch.release
+    monkeypatch.setattr(G.Scratch, "measure", lambda *a: rounds.append("round") or measure(*a))
+    monkeypatch.setattr(G.Scratch, "release", lambda self: rounds.append("release") or release(self))
+    assert G.closeness(edges).count() == 1_201
+    assert rounds and rounds == ["round", "release"] * (len(rounds) // 2)
+    assert G.STATE_ROWS * 300 < 2e9
+
+
 @pytest.fixture(scope="module")
 def table(two):
     _, edges = two
