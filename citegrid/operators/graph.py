@@ -50,13 +50,49 @@ def degree(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int = 200) -> DataFrame:
     """Component of each vertex, named by its smallest vertex id.
 
+    First every vertex follows its smallest neighbours down to one that has none below it,
+    which names a tree. Only links between different trees are left after that, mostly few,
+    and settle the names of the trees. So most rounds move vertices and not links.
+    """
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    links = edges.where(F.col("source") != F.col("target")).select("network", "source", "target")
+    both = links.unionByName(links.select("network", F.col("target").alias("source"), F.col("source").alias("target")))
+    named = scratch.save(both.groupBy("network", F.col("source").alias("u")).agg(
+        F.least("u", F.min("target")).alias("v")), "named")
+    for _ in range(max_rounds):
+        above = named.select("network", F.col("u").alias("v"), F.col("v").alias("w"))
+        named, now = scratch.measure(
+            named.join(above, ["network", "v"]).select("network", "u", F.col("w").alias("v"), (F.col("v") != F.col("w")).alias("moved")),
+            "named", F.count_if("moved").alias("moved"))
+        scratch.release()
+        if not now["moved"]:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    named = named.select("network", "u", "v")
+    for end, tree in (("source", "a"), ("target", "b")):
+        links = links.join(named.select("network", F.col("u").alias(end), F.col("v").alias(tree)), ["network", end])
+    rest = scratch.save(
+        links.where("a <> b").select("network", F.col("a").alias("source"), F.col("b").alias("target")).distinct(), "rest")
+    if not rest.isEmpty():
+        joined = scratch.save(_settle(rest, scratch, max_rounds), "joined").select(
+            "network", F.col("u").alias("v"), F.col("v").alias("root"))
+        named = named.join(joined, ["network", "v"], "left").select("network", "u", F.coalesce("root", "v").alias("v"))
+    stars = named.select("network", F.col("u").alias("id"), F.col("v").alias("component"))
+    every = vertices(edges)
+    return every.join(stars, ["network", "id"], "left").withColumn(
+        "component", F.coalesce("component", "id"))
+
+
+def _settle(edges: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
+    """Links ``(network, u, v)`` of each vertex but the smallest to the smallest of its component.
+
     Alternates two local steps on vertex pairs (Kiveris et al., 2014): every vertex
     links its larger neighbours, then its smaller ones, to its minimum neighbour. The
     edge set shrinks to one star per component in a logarithmic number of rounds.
     """
-    scratch = scratch or Scratch(edges.sparkSession, "components")
     links = scratch.save(
-        edges.where(F.col("source") != F.col("target")).select(
+        edges.select(
             "network", F.greatest("source", "target").alias("u"), F.least("source", "target").alias("v")
         ).distinct(), "links")
     mark = None
@@ -65,15 +101,11 @@ def components(edges: DataFrame, scratch: Scratch | None = None, max_rounds: int
         links, now = scratch.measure(
             _small_star(_large_star(links, scratch), scratch), "links", F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("network", "u", "v").cast("decimal(38,0)")).alias("digest"))
+        scratch.release()
         if now == mark:
-            break
+            return links
         mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    stars = links.select("network", F.col("u").alias("id"), F.col("v").alias("component"))
-    every = vertices(edges)
-    return every.join(stars, ["network", "id"], "left").withColumn(
-        "component", F.coalesce("component", "id"))
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def _large_star(links: DataFrame, scratch: Scratch) -> DataFrame:

@@ -106,6 +106,17 @@ def test_closeness_in_batches_and_from_where_a_run_ended(spark, monkeypatch, tmp
     assert calls == [0, 1, 2, 2, 3, 4]  # groups of sources; the first two are not searched again
 
 
+def test_components_move_vertices_and_not_links(spark, monkeypatch):
+    """In a dense network the star rounds get links between trees, and not the network's links."""
+    rows = [("d", i, (i * k + k) % 400, 1) for i in range(400) for k in range(1, 40)] + [("e", i, i + 1, 1) for i in range(300)]
+    edges = G.Scratch(spark, "test").save(spark.createDataFrame(rows, SCHEMA), "edges")
+    sizes, star = [], G._large_star
+    monkeypatch.setattr(G, "_large_star", lambda links, *args: sizes.append(links.count()) or star(links, *args))
+    got = {(r.network, r.id): r.component for r in G.components(edges).collect()}
+    assert got == {("d", i): 0 for i in range(400)} | {("e", i): 0 for i in range(301)}
+    assert max(sizes, default=0) <= 701
+
+
 def test_rounds_of_closeness_leave_no_shuffle_files_behind(spark, monkeypatch):
     """Disk in use does not add up over rounds and batches."""
     rows = [("p", i, i + 1, 1) for i in range(1_200)] + [("p", i, (i * 7) % 1_200, 1) for i in range(1_200)]
