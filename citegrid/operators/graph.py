@@ -12,7 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citegrid.operators.keys import dense_id
@@ -301,7 +301,8 @@ def closeness(edges: DataFrame, max_nodes: int | None = None, hub_arcs: int = HU
 
     All networks are measured; with ``max_nodes``, larger ones get nulls instead.
     Sources are searched in batches, one after the other, so that what is alive at a time
-    is bounded by ``state_rows`` whatever the number of vertices. In a batch all searches
+    is bounded by ``state_rows`` whatever the number of vertices; components that are small
+    need few batches (``_batches``). In a batch all searches
     run at once: a row ``(vertex, source group)`` holds a bit per source that has reached
     the vertex, and a round ORs the new bits of the neighbours. Distances are symmetric, so
     the bits set at a vertex in round d count the sources at distance d *from it*, and no
@@ -311,39 +312,53 @@ def closeness(edges: DataFrame, max_nodes: int | None = None, hub_arcs: int = HU
     are kept; a run that was ended goes on behind the last of them.
     """
     scratch = scratch or Scratch(edges.sparkSession, "closeness")
-    nodes = scratch.save(vertices(edges), "nodes")
+    member = scratch.save(components(edges, scratch), "member")
+    nodes = member.select("network", "id")
     sizes = nodes.groupBy("network").agg(F.count(F.lit(1)).alias("n"))
     allowed = F.broadcast((sizes if max_nodes is None else sizes.where(F.col("n") <= max_nodes)).select("network"))
 
-    numbered = _numbered(nodes.join(allowed, "network", "left_semi"), scratch)
+    # Vertices of a component have neighbouring numbers, so few groups have sources in it.
+    numbered = scratch.save(dense_id(
+        member.join(allowed, "network", "left_semi"), ["network", "component", "id"], "v", 0, scratch), "numbered")
     near = both_ways(edges.where(F.col("source") != F.col("target"))).distinct()
     arcs, hubs = _resident(_renumber(near, numbered), hub_arcs, scratch)
-    groups = (numbered.agg(F.max("v")).first()[0] or 0) // _GROUP + 1
-    step = max(1, state_rows // (groups * _GROUP))
+    kept = f"{(resume or scratch.base).rstrip('/')}/totals"
     done = []
     try:
-        for batch, first in enumerate(range(0, groups, step)):
-            kept = f"{resume.rstrip('/')}/totals-{step}-{batch}" if resume else None
-            if kept and _written(edges.sparkSession, kept):
-                totals = edges.sparkSession.read.parquet(kept)
-            else:
-                totals = _search(arcs, hubs, numbered, first, first + step, scratch).groupBy("v").agg(
-                    F.sum("reached").alias("reached"), F.sum("hops").alias("hops"))
-                if kept:
-                    totals.write.mode("overwrite").parquet(kept)
-                    totals = edges.sparkSession.read.parquet(kept)
-                else:
-                    totals = scratch.save(totals, f"totals-{batch}")
-            done.append(totals)
+        for first, end in _batches(numbered, state_rows, scratch):
+            path = f"{kept}-{first}-{end}"
+            if not (resume and _written(edges.sparkSession, path)):
+                _search(arcs, hubs, numbered, first, end, scratch).groupBy("v").agg(
+                    F.sum("reached").alias("reached"), F.sum("hops").alias("hops")).write.mode("overwrite").parquet(path)
+            done.append(path)
     finally:
         arcs.unpersist()
         scratch.drop("arcs", "hubs", "state")
-    totals = reduce(DataFrame.unionByName, done).groupBy("v").agg(F.sum("reached").alias("reached"), F.sum("hops").alias("hops"))
+    # One scan of all batches, however many there are.
+    totals = edges.sparkSession.read.schema("v bigint, reached bigint, hops bigint").parquet(*done).groupBy("v").agg(
+        F.sum("reached").alias("reached"), F.sum("hops").alias("hops")) if done else numbered.select(
+        "v", F.lit(0).cast("bigint").alias("reached"), F.lit(0).cast("bigint").alias("hops"))
     value = F.try_divide(F.col("reached").cast("double"), F.col("hops"))
     scored = numbered.join(totals, "v").select("network", "id", value.alias("closeness"))
     return nodes.join(scored, ["network", "id"], "left")
 
 
+def _batches(numbered: DataFrame, state_rows: int, scratch: Scratch) -> list[tuple[int, int]]:
+    """Source groups in batches ``(first, end)`` whose searches hold about ``state_rows`` rows each.
+
+    A search stays in its component, so a source group holds a row for each vertex of the
+    components that it has sources in, and one of small components little more than its own.
+    """
+    spans = numbered.groupBy("network", "component").agg(
+        F.count(F.lit(1)).alias("n"), F.floor(F.min("v") / _GROUP).alias("low"), F.floor(F.max("v") / _GROUP).alias("high"))
+    held = spans.select("n", F.explode(F.sequence("low", "high")).alias("g")).groupBy("g").agg(F.sum("n").alias("n"))
+    # One row per 1024 vertices, so this window over everything is small.
+    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = held.withColumn("batch", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / F.lit(state_rows)))
+    ends = scratch.save(dealt.groupBy("batch").agg(F.min("g").alias("first"), (F.max("g") + 1).alias("end")), "batches")
+    return sorted((r.first_, r.end) for r in ends.withColumnRenamed("first", "first_").collect())  # one row per batch
+
+
 def _written(spark: SparkSession, path: str) -> bool:
     """Whether a table was written to its end."""
     mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")

@@ -117,6 +117,18 @@ def test_components_move_vertices_and_not_links(spark, monkeypatch):
     assert max(sizes, default=0) <= 701
 
 
+def test_small_components_are_searched_in_few_batches(spark, monkeypatch):
+    """Batches follow the rows that searches hold, not the square of the vertices."""
+    edges = G.Scratch(spark, "test").save(spark.range(0, 60_000, 3).selectExpr(
+        "'p' AS network", "explode(array(struct(id AS a, id + 1 AS b), struct(id + 1 AS a, id + 2 AS b))) AS e").selectExpr(
+        "network", "e.a AS source", "e.b AS target", "1L AS weight"), "edges")
+    calls, search = [], G._search
+    monkeypatch.setattr(G, "_search", lambda *args: calls.append(args[3:5]) or search(*args))
+    got = G.closeness(edges, state_rows=100_000)
+    assert calls == [(0, 59)]
+    assert got.groupBy("closeness").count().orderBy("closeness").collect() == [(2 / 3, 40_000), (1.0, 20_000)]
+
+
 def test_rounds_of_closeness_leave_no_shuffle_files_behind(spark, monkeypatch):
     """Disk in use does not add up over rounds and batches."""
     rows = [("p", i, i + 1, 1) for i in range(1_200)] + [("p", i, (i * 7) % 1_200, 1) for i in range(1_200)]
