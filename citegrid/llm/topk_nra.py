@@ -101,28 +101,22 @@ def best_rows(rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
     own = query_ids[going][:, None] == ids[plain][None, :]
     # All sums and products of a bound are rounded some 4 * dim times.
     room = 4e-16 * x.shape[1] * (np.abs(y[going]) @ np.abs(x).max(axis=0)) * 4
-    lower = np.repeat((up @ least + down @ most)[:, None], n, axis=1)
-    read = 0
+    base = (up @ least + down @ most)[:, None]
     for share in depths:
         t = min(n, max(1, int(np.ceil(share * n))))
-        # What the slice brings: the value in place of the least that its list holds.
-        for j in range(x.shape[1]):
-            top, low = order[n - t:n - read, j], order[read:t, j]
-            if up[:, j].any():
-                lower[:, top] += up[:, j, None] * (x[top, j] - least[j])
-            if down[:, j].any():
-                lower[:, low] += down[:, j, None] * (x[low, j] - most[j])
-        read = t
+        top, low = place >= n - t, place < t
+        # What has been read counts in place of the least that its list holds; the rest is
+        # at most where reading stands. Products of matrices do this for all lists at once.
+        lower = base + up @ np.where(top, x - least, 0.0).T + down @ np.where(low, x - most, 0.0).T
         stand_up, stand_down = up * (rising[n - t] - least), down * (rising[t - 1] - most)
-        unseen_top, unseen_low = (place < n - t).astype(float), (place >= t).astype(float)
-        upper = lower + stand_up @ unseen_top.T + stand_down @ unseen_low.T + room[:, None]
+        upper = lower + stand_up @ (~top).astype(float).T + stand_down @ (~low).astype(float).T + room[:, None]
         kth = np.partition(np.where(own, -np.inf, lower), max(n - k, 0), axis=1)[:, max(n - k, 0)] - room
         # Beyond 64 bits scores are alike.
         left = (np.clip(upper, LEAST_LONG, MOST_LONG) >= np.clip(kth, LEAST_LONG, MOST_LONG)[:, None]) & ~own
         done = (left.sum(axis=1) <= k) | (t == n)
         for i in np.flatnonzero(done).tolist():
             settle(int(going[i]), plain[left[i]])
-        going, up, down, own, room, lower = (a[~done] for a in (going, up, down, own, room, lower))
+        going, up, down, own, room, base = (a[~done] for a in (going, up, down, own, room, base))
         if len(going) == 0:
             break
     return found

@@ -7,6 +7,7 @@ import math
 import operator
 import os
 import random
+import time
 import zlib
 from fractions import Fraction
 
@@ -193,6 +194,20 @@ def test_bounds_stop_before_the_lists_end():
     assert [(j, s) for _, j, s in found] == [(j, 2000) for j in range(5)]
 
 
+def test_bounds_of_all_lists_at_once():
+    """Many queries cost products of matrices, not a pass over the rows per list."""
+    draw = np.random.default_rng(5)
+    rows, ids = np.abs(draw.normal(size=(4_096, 64))) ** 3, np.arange(4_096)
+    start = time.process_time()
+    found = topk_nra.best_rows(rows, ids, rows[::4], ids[::4], 10)
+    assert time.process_time() - start < 7
+    score = np.floor(rows * 1024) @ np.floor(rows[:40:4] * 1024).T
+    for q in range(10):
+        score[4 * q, q] = -1
+        want = np.lexsort((ids, -score[:, q]))[:10]
+        assert sorted((j, s) for i, j, s in found if i == q) == sorted((j, int(score[j, q])) for j in want.tolist())
+
+
 @pytest.mark.parametrize("cell_rows", [4096, 5])
 def test_exact_top_k_of_very_large_components(spark, cell_rows):
     """Beyond 2^53, beyond 64 bits and far beyond doubles, beside plain rows."""
