@@ -140,13 +140,17 @@ REFERENCE_LISTS = """
              x -> concat("'https://openalex.org/W", x, "'")), ', '), ']') AS referenced_works
     FROM {citations} GROUP BY citing_id"""
 
+# The words of a text are placed, sorted and cut where the word changes inside one row, so that
+# no row per word is grouped.
 INVERTED_INDEX = """
-    SELECT doc_id, map_from_entries(collect_list(struct(word, positions))) AS abstract_inverted_index
-    FROM (SELECT doc_id, word, collect_list(pos) AS positions
-          FROM (SELECT doc_id, posexplode(split(trim(regexp_replace(text, '[ \\\\t\\\\n\\\\r]+', ' ')), ' ')) AS (pos, word)
-                FROM (SELECT /*+ REPARTITION(doc_id) */ doc_id, text FROM {documents}))
-          GROUP BY doc_id, word)
-    GROUP BY doc_id"""
+    SELECT doc_id, map_from_entries(transform(starts, (s, k) -> struct(placed[s].word,
+             transform(slice(placed, s + 1, coalesce(get(starts, k + 1), size(placed)) - s), p -> p.pos)))) AS abstract_inverted_index
+    FROM (SELECT doc_id, placed, filter(sequence(0, size(placed) - 1),
+                 i -> i = 0 OR get(placed, i).word <> get(placed, i - 1).word) AS starts
+          FROM (SELECT doc_id, sort_array(flatten(transform(texts,
+                         t -> transform(split(trim(regexp_replace(t, '[ \\\\t\\\\n\\\\r]+', ' ')), ' '),
+                                        (w, i) -> named_struct('word', w, 'pos', i))))) AS placed
+                FROM (SELECT doc_id, collect_list(text) AS texts FROM {documents} WHERE text IS NOT NULL GROUP BY doc_id)))"""
 
 
 def _names(sql: str) -> list[str]:

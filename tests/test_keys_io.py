@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from citegrid.functions import nested as X
 from citegrid.operators import keys as K
-from citegrid.plans import build
+from citegrid.plans import build, views
 from citegrid.sources import readers, schemas, writers
 
 
@@ -156,3 +156,12 @@ def test_run_writes_edges_and_nodes(spark, tmp_path):
     bc = {(r.source, r.target): r.weight for r in edges.where("network = 'bc'").collect()}
     assert bc == {(1, 3): 2, (1, 5): 1, (3, 5): 2}
     assert nodes.where("Label is null").count() == 0
+
+
+def test_inverted_index_groups_no_row_per_word(spark, tmp_path):
+    rows = [(1, "b a\n\tb"), (1, "a c"), (2, None), (3, ""), (None, " x  x y "), (4, "z")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    index = views.view(spark, str(tmp_path), "inverted_index")
+    got = {r.doc_id: {w: sorted(p) for w, p in r.abstract_inverted_index.items()} for r in index.collect()}
+    assert got == {1: {"a": [0, 1], "b": [0, 2], "c": [1]}, 3: {"": [0]}, None: {"x": [0, 1], "y": [2]}, 4: {"z": [0]}}
+    assert "Generate" not in index._jdf.queryExecution().toString()
