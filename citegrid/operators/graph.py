@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,10 +136,19 @@ def _small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 # Components up to this size are solved whole, each in one task (a dense matrix of 32 MB).
 DENSE_VERTICES = 2_000
+# Larger ones: the matrix of a network is cut into a grid of this many vertex blocks, more if
+# a block would have more vertices than that, and a cell into parts of so many edges.
+SIDE = 6
+BLOCK_VERTICES = 4_000_000
+CELL_EDGES = 16_000_000
+# Edges in one row of a cell, and rows packed together before they are dealt to cells.
+SLICE_EDGES = 1 << 19
+PACKED_ROWS = 1 << 18
+_CELL = ["network", "i", "j", "p"]
 
 
 def eigenvector(edges: DataFrame, tolerance: float = 1e-10, max_steps: int = 100_000, stride: int = 10,
-                dense_vertices: int = DENSE_VERTICES, hub_arcs: int = HUB_ARCS,
+                dense_vertices: int = DENSE_VERTICES, hub_arcs: int = CELL_EDGES,
                 scratch: Scratch | None = None) -> DataFrame:
     """Unweighted eigenvector centrality with the largest value of a network at 1.
 
@@ -148,27 +158,31 @@ def eigenvector(edges: DataFrame, tolerance: float = 1e-10, max_steps: int = 100
     the residual ``max|Ax - lx|`` is at most ``tolerance`` times ``l * max(x)``. In the
     limit only components with the network's largest eigenvalue keep values, in
     proportion to what the start has of their vectors. A component that has not
-    converged after ``max_steps`` is an error.
+    converged after ``max_steps`` is an error. ``hub_arcs`` is the number of edges that
+    a single task may hold.
     """
     scratch = scratch or Scratch(edges.sparkSession, "eigenvector")
-    loops = F.when(F.col("src") == F.col("dst"), F.lit(2)).otherwise(F.lit(1))
+    part = ["network", "component"]
     member = scratch.save(components(edges), "member")
-    # Parallel edges become a multiplicity; both ends of an arc lie in one component.
-    counted = scratch.save(
-        both_ways(edges).withColumn("n", loops).groupBy("network", "src", "dst").agg(F.sum("n").alias("n"))
-        .join(member.withColumnRenamed("id", "src"), ["network", "src"]), "counted")
     sizes = scratch.save(
-        member.groupBy("network", "component").agg(F.count(F.lit(1)).alias("size")).withColumn(
+        member.groupBy(*part).agg(F.count(F.lit(1)).alias("size")).withColumn(
             "small", F.col("size") <= dense_vertices), "sizes")
-    part = ["network", "component"]
-    solved = scratch.save(
-        counted.join(sizes.where("small").select(*part), part, "left_semi").groupBy(*part)
-        .applyInPandas(_leading, "network string, component bigint, id bigint, x double, value double"), "solved")
-    large = sizes.where("NOT small")
+    large = sizes.where("NOT small").select(*part)
+    solved = []
+    few = scratch.save(member.join(sizes.where("small").select(*part), part, "left_semi"), "few")
+    if not few.isEmpty():
+        loops = F.when(F.col("src") == F.col("dst"), F.lit(2)).otherwise(F.lit(1))
+        # Parallel edges become a multiplicity; both ends of an arc lie in one component.
+        counted = (
+            both_ways(edges.join(few.withColumnRenamed("id", "source"), ["network", "source"]), "component")
+            .withColumn("n", loops).groupBy(*part, "src", "dst").agg(F.sum("n").alias("n")))
+        solved.append(scratch.save(counted.groupBy(*part).applyInPandas(
+            _leading, "network string, component bigint, id bigint, x double, value double"), "solved"))
     if not large.isEmpty():
-        solved = solved.unionByName(_iterate(
-            counted.join(large.select(*part), part, "left_semi"), member.join(large.select(*part), part, "left_semi"),
-            tolerance, max_steps, stride, hub_arcs, scratch))
+        solved.append(_iterate(edges, member.join(large, part, "left_semi"), tolerance, max_steps, stride, hub_arcs, scratch))
+    if not solved:
+        return edges.sparkSession.createDataFrame([], "network string, id bigint, eigen_centrality double")
+    solved = reduce(DataFrame.unionByName, solved)
     share = solved.groupBy(*part).agg(
         F.first("value").alias("value"), (F.sum("x") / F.sum(F.col("x") * F.col("x"))).alias("share"),
         F.max("x").alias("top"))
@@ -192,47 +206,209 @@ def _leading(arcs: pd.DataFrame) -> pd.DataFrame:
                          "x": np.abs(vectors[:, -1]), "value": values[-1]})
 
 
-def _iterate(counted: DataFrame, members: DataFrame, tolerance: float, max_steps: int, stride: int,
-             hub_arcs: int, scratch: Scratch) -> DataFrame:
+def _iterate(edges: DataFrame, members: DataFrame, tolerance: float, max_steps: int, stride: int,
+             cell_edges: int, scratch: Scratch) -> DataFrame:
     """Power iteration on ``A + I`` for all components of ``members`` at once.
 
-    ``stride`` steps form one Spark job, which ends with scaling and the residual test.
+    ``stride`` steps form one Spark job, which ends with scaling and the residual test. A
+    step sends the blocks of the vector to the cells of the grid and sums what these return,
+    so that a value moves ``SIDE`` times there and back, whatever the number of edges.
     """
-    numbered = _numbered(members, scratch)
-    shift = numbered.select(F.col("v").alias("s"), F.col("v").alias("t"), F.lit(1).cast("bigint").alias("n"))
-    arcs, hubs = _resident(_renumber(counted, numbered, "n").unionByName(shift), hub_arcs, scratch)
     part = ["network", "component"]
-    x = numbered.select("v", *part, F.lit(1.0).alias("x"))
+    members = scratch.save(members, "members")
+    most = members.groupBy("network").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    side = max(SIDE, -(-most // BLOCK_VERTICES))
+    blocks = scratch.save(
+        members.withColumn("block", _block("id", side)).groupBy("network", "block")
+        .applyInArrow(_listed, "network string, block int, ids binary, components binary"), "blocks")
+    cells, routes = _cells(edges, blocks, side, cell_edges, scratch)
+    x = members.withColumn("x", F.lit(1.0))
     done, left = 0, 1
     try:
         while left:
             if done >= max_steps:
                 raise RuntimeError(f"eigenvector: {left} components did not converge in {max_steps} steps")
-            y = x.select("v", "x")
-            for _ in range(stride):
-                before, y = y, _multiply(arcs, hubs, y)
+            y = x.withColumn("block", _block("id", side)).select("network", "block", "id", "x").groupBy(
+                "network", "block").applyInArrow(_packed, "network string, block int, x binary")
+            for _ in range(stride - 1):
+                y = _multiply(cells, routes, y, False).groupBy("network", "block").applyInArrow(
+                    _summed, "network string, block int, x binary")
             done += stride
             raw = scratch.save(
-                y.join(before.withColumnRenamed("x", "before"), "v").join(numbered.select("v", *part), "v"), "raw")
+                _multiply(cells, routes, y, True).groupBy("network", "block").cogroup(blocks.groupBy("network", "block"))
+                .applyInArrow(_unpacked, "network string, component bigint, id bigint, x double, before double"), "raw")
             value = scratch.save(raw.groupBy(*part).agg(
                 (F.sum(F.col("x") * F.col("before")) / F.sum(F.col("before") * F.col("before"))).alias("value"),
                 F.max("x").alias("top")), "value")
             x = scratch.save(
                 raw.join(value, part).select(
-                    "v", *part, (F.col("x") / F.col("top")).alias("x"), "value",
+                    "id", *part, (F.col("x") / F.col("top")).alias("x"), "value",
                     (F.abs(F.col("x") - F.col("value") * F.col("before")) / F.col("top")).alias("rest")), "vector")
             off = x.groupBy(*part).agg(F.max("rest").alias("rest")).where(F.col("rest") > tolerance)
             left = off.count()
+            scratch.release()
     finally:
-        arcs.unpersist()
-        scratch.drop("arcs", "hubs", "raw", "value")
-    return numbered.join(x.select("v", "x", (F.col("value") - 1.0).alias("value")), "v").select(
-        "network", "component", "id", "x", "value")
+        cells.unpersist()
+        scratch.drop("members", "blocks", "grid", "routes", "raw", "value")
+    return x.select("network", "component", "id", "x", (F.col("value") - 1.0).alias("value"))
 
 
-def _numbered(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Vertices of all networks under one consecutive number ``v``."""
-    return scratch.save(dense_id(nodes, ["network", "id"], "v", 0, scratch), "numbered")
+def _block(vertex: str, side: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(vertex).cast("bigint")), F.lit(side)).cast("int")
+
+
+def _cells(edges: DataFrame, blocks: DataFrame, side: int, cell_edges: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The edges by cell, resident for all steps, and the routes of the vertex blocks to the cells.
+
+    Cell ``(i, j)`` with ``i <= j`` has the edges between two blocks once, as places in the
+    blocks; it serves both directions. Cells of many edges are dealt into parts ``p``. Edges
+    without a place in the blocks belong to small components and are left out.
+    """
+    networks = F.broadcast(blocks.select("network").distinct())  # a few rows
+    ends = edges.join(networks, "network", "left_semi").where("source IS NOT NULL AND target IS NOT NULL").select(
+        "network", F.col("source").cast("bigint").alias("a"), F.col("target").cast("bigint").alias("b"),
+        _block("source", side).alias("i"), _block("target", side).alias("j"))
+    turned = F.col("i") > F.col("j")
+    sided = ends.select(
+        "network", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"),
+        F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"))
+    # A row per cell, and one per block for its diagonal cell, which adds the block itself.
+    counts = sided.groupBy("network", "i", "j").agg(F.count(F.lit(1)).alias("n")).unionByName(
+        blocks.select("network", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(1).cast("bigint").alias("n")))
+    grid = scratch.save(counts.groupBy("network", "i", "j").agg(
+        F.ceil(F.max("n") / cell_edges).cast("int").alias("parts")), "grid")
+    routes = scratch.save(
+        grid.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).select(*_CELL, "block"), "routes")
+    dealt = sided.join(F.broadcast(grid), ["network", "i", "j"]).withColumn(
+        "p", F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int")).select(*_CELL, "a", "b").mapInArrow(
+        _dealt, "network string, i int, j int, p int, a binary, b binary")
+    lists = blocks.join(F.broadcast(routes), ["network", "block"]).select(*_CELL, "block", "ids")
+    placed = dealt.groupBy(*_CELL).cogroup(lists.groupBy(*_CELL)).applyInArrow(
+        _placed, "network string, i int, j int, p int, a binary, b binary")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, *_CELL).sortWithinPartitions(*_CELL).persist(), routes
+
+
+def _multiply(cells: DataFrame, routes: DataFrame, x: DataFrame, keep: bool) -> DataFrame:
+    """What each cell adds to its two blocks in one step: ``(network, block, y, own)``."""
+    spread = x.join(F.broadcast(routes), ["network", "block"]).select(*_CELL, "block", "x")
+    return cells.groupBy(*_CELL).cogroup(spread.groupBy(*_CELL)).applyInArrow(
+        _pushed(keep), "network string, block int, y binary, own boolean")
+
+
+def _bytes(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+def _arrays(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), kind) for v in column]
+
+
+def _block_table(rows: pa.Table, **columns: np.ndarray) -> pa.Table:
+    return pa.table({"network": rows["network"].slice(0, 1).cast(pa.string()), "block": rows["block"].slice(0, 1).cast(pa.int32()),
+                     **{name: _bytes([a]) for name, a in columns.items()}})
+
+
+def _listed(rows: pa.Table) -> pa.Table:
+    """Vertices of a block in ascending order, with their components."""
+    ids, of = rows["id"].to_numpy(), rows["component"].to_numpy()
+    order = np.argsort(ids)
+    return _block_table(rows, ids=ids[order], components=of[order])
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """Values of a block in the order of its vertices."""
+    return _block_table(rows, x=rows["x"].to_numpy()[np.argsort(rows["id"].to_numpy())])
+
+
+def _dealt(batches):
+    """Edges of many rows as one row per cell."""
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).group_by(_CELL, use_threads=False).aggregate([("a", "list"), ("b", "list")])
+        ends = {}
+        for side in ("a", "b"):
+            lists = pa.concat_arrays(table[f"{side}_list"].chunks)
+            ids, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+            ends[side] = _bytes([ids[k:m] for k, m in zip(at[:-1], at[1:])])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(table[c].to_pylist(), kind) for c, kind in zip(_CELL, (pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+            + [ends["a"], ends["b"]], names=[*_CELL, "a", "b"])
+
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= PACKED_ROWS:
+            yield pack(held)
+            held, rows = [], 0
+    if held:
+        yield pack(held)
+
+
+def _placed(edges: pa.Table, lists: pa.Table) -> pa.Table:
+    """Edges of a cell as places in its two blocks, cut into slices."""
+    columns = {c: [] for c in (*_CELL, "a", "b")}
+    if lists.num_rows:
+        key = [lists[c][0].as_py() for c in _CELL]
+        ids = dict(zip(lists["block"].to_pylist(), _arrays(lists["ids"], np.int64)))
+        first, second = ids[key[1]], ids[key[2]]
+        held, many = [], 0
+
+        def cut():
+            for c, v in zip(_CELL, key):
+                columns[c].append(v)
+            for c, k in (("a", 0), ("b", 1)):
+                columns[c].append(np.concatenate([h[k] for h in held]).tobytes())
+
+        for a, b in zip(_arrays(edges["a"], np.int64), _arrays(edges["b"], np.int64)):
+            at, to = np.searchsorted(first, a), np.searchsorted(second, b)
+            inside = first[np.minimum(at, len(first) - 1)] == a
+            held.append((at[inside].astype(np.int32), to[inside].astype(np.int32)))
+            many += len(held[-1][0])
+            if many >= SLICE_EDGES:
+                cut()
+                held, many = [], 0
+        if many:
+            cut()
+    kinds = {"network": pa.string(), "i": pa.int32(), "j": pa.int32(), "p": pa.int32(), "a": pa.binary(), "b": pa.binary()}
+    return pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
+
+
+def _pushed(keep: bool):
+    """One step in a cell; the first part of a diagonal cell also returns its block, apart if ``keep``."""
+    def run(cells: pa.Table, spread: pa.Table) -> pa.Table:
+        network, i, j, p = (spread[c][0].as_py() for c in _CELL)
+        x = dict(zip(spread["block"].to_pylist(), _arrays(spread["x"], np.float64)))
+        y = {b: np.zeros(len(v)) for b, v in x.items()}
+        for a, b in zip(_arrays(cells["a"], np.int32), _arrays(cells["b"], np.int32)):
+            y[i] += np.bincount(a, x[j][b], len(x[i]))
+            y[j] += np.bincount(b, x[i][a], len(x[j]))
+        out = [(b, v, False) for b, v in y.items()]
+        if i == j and p == 0:
+            if keep:
+                out.append((i, x[i], True))
+            else:
+                y[i] += x[i]
+        return pa.table({
+            "network": pa.array([network] * len(out), pa.string()), "block": pa.array([o[0] for o in out], pa.int32()),
+            "y": _bytes([o[1] for o in out]), "own": pa.array([o[2] for o in out])})
+    return run
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    return _block_table(rows, x=reduce(np.add, _arrays(rows["y"], np.float64)))
+
+
+def _unpacked(rows: pa.Table, blocks: pa.Table) -> pa.Table:
+    """A row per vertex with its value after and before the last step."""
+    parts = _arrays(rows["y"], np.float64)
+    ids = _arrays(blocks["ids"], np.int64)[0]
+    return pa.table({
+        "network": pa.array([rows["network"][0].as_py()] * len(ids), pa.string()),
+        "component": _arrays(blocks["components"], np.int64)[0], "id": ids, "x": reduce(np.add, parts),
+        "before": parts[rows["own"].to_pylist().index(True)]})
 
 
 def _renumber(arcs: DataFrame, numbered: DataFrame, *carry: str) -> DataFrame:
@@ -273,15 +449,6 @@ def _send(values: DataFrame, arcs: DataFrame, hubs: DataFrame | None) -> DataFra
     return arcs.join(spread, ["s", "p"])
 
 
-def _multiply(arcs: DataFrame, hubs: DataFrame | None, x: DataFrame) -> DataFrame:
-    # Merge: the arcs are in place and in order, and must not be broadcast in every step
-    # because their compressed files look small.
-    return (
-        _send(x.withColumnRenamed("v", "s"), arcs.hint("merge"), hubs)
-        .groupBy(F.col("t").alias("v")).agg(F.sum(F.col("x") * F.col("n")).alias("x"))
-    )
-
-
 # --- closeness --------------------------------------------------------------------
 
 # Sources are handled 1024 at a time as 16 columns of 64 bits, which keeps the

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,31 @@ def test_rounds_of_closeness_leave_no_shuffle_files_behind(spark, monkeypatch):
     assert G.STATE_ROWS * 300 < 2e9
 
 
+def test_steps_of_eigenvector_move_blocks_and_not_arcs(spark, monkeypatch):
+    """What a step moves follows the vertices and not arcs times partitions; the vectors are those of the dense solver."""
+    rng = np.random.default_rng(3)
+    rows = [("d", *e, 1) for e in rng.integers(0, 700, (14_000, 2)).tolist()] + [("d", 5, 5, 1), ("d", 8, 9, 1), ("d", 9, 8, 1), ("d", 8, 9, 1)]
+    rows += [("d", 2_000 + i, 2_001 + i, 1) for i in range(30)] + [("e", *e, 1) for e in rng.integers(-90, 30, (2_000, 2)).tolist()]
+    edges = G.Scratch(spark, "test").save(spark.createDataFrame(rows, SCHEMA), "edges")
+    want = {(r.network, r.id): r.eigen_centrality for r in G.eigenvector(edges).collect()}
+    moved, multiply = [], G._multiply
+
+    def counted(*args):
+        out = multiply(*args)
+        if len(moved) < 2:
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "_multiply", counted)
+    got = {(r.network, r.id): r.eigen_centrality for r in G.eigenvector(edges, dense_vertices=50).collect()}
+    assert got == pytest.approx(want, abs=1e-7) and got["d", 2_000] == 0
+    # 36 blocks of each of the two networks are returned.
+    assert max(moved) <= 2 * 36
+    monkeypatch.undo()
+    parts = {(r.network, r.id): r.eigen_centrality for r in G.eigenvector(edges, dense_vertices=50, hub_arcs=300).collect()}
+    assert parts == pytest.approx(want, abs=1e-7)
+
+
 @pytest.fixture(scope="module")
 def table(two):
     _, edges = two
