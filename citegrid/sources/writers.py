@@ -11,6 +11,8 @@ from citegrid.session import Scratch
 # Quotes are doubled, as the readers expect them; blanks at the ends of a value stay.
 _TEXT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 REPORT_ROWS = 100_000
+# JSON files that a task writes; Spark numbers them with three digits.
+TASK_FILES = 500
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
@@ -50,16 +52,20 @@ def write_nested(df: DataFrame, path: str) -> None:
 def write_json_arrays(df: DataFrame, path: str, size: int = 100, order: str = "row_idx") -> None:
     """A file per ``size`` consecutive rows holding them as one JSON array, numbered in order.
 
-    ``order`` numbers the rows from 0 without gaps. A file is one group of ``size`` rows and
-    one task, so ``size`` should grow with the table; the column ``order`` is not written,
-    since the place of a row tells it.
+    ``order`` numbers the rows from 0 without gaps. A file is one group of ``size`` rows, and a
+    task writes ``TASK_FILES`` files one after the other, numbered by task and within it; the
+    column ``order`` is not written, since the place of a row tells it.
     """
     row = F.struct(F.col(order).alias("_at"), F.struct(*[c for c in df.columns if c != order]).alias("_row"))
     chunks = df.groupBy(F.floor(F.col(order) / size).cast("int").alias("chunk")).agg(
         F.transform(F.array_sort(F.collect_list(row)), lambda r: r["_row"]).alias("rows"))
     n = chunks.agg(F.max("chunk")).first()[0]
-    # The number of a file is that of its partition.
-    chunks.repartitionById((n or 0) + 1, F.col("chunk")).select(F.to_json("rows").alias("value")).write.mode("overwrite").text(path)
+    # A file holds one array; its name has the number of the task, then that within the task.
+    (
+        chunks.repartitionById((n or 0) // TASK_FILES + 1, F.floor(F.col("chunk") / TASK_FILES).cast("int"))
+        .sortWithinPartitions("chunk").select(F.to_json("rows").alias("value"))
+        .write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+    )
 
 
 def write_json_batches(df: DataFrame, path: str, size: int = 100, order: str = "row_idx") -> None:

@@ -107,6 +107,19 @@ def test_chunks_come_back_in_numeric_order(spark, tmp_path):
     assert [r.id for r in rows] == ["W0", "W1", "W3", "W4", "W20", "W21", "W100", "W101"]
 
 
+def test_json_arrays_are_many_files_of_few_tasks(spark, tmp_path):
+    """Tasks, and so the cells of the shuffle before them, follow the data and not the files; order is kept."""
+    rows = spark.range(2_403).select(F.col("id").alias("row_idx"), F.concat(F.lit("W"), "id").alias("id"))
+    out = str(tmp_path / "arrays")
+    writers.write_json_arrays(rows.repartition(3), out, size=4)
+    files = sorted(f for f in os.listdir(out) if f.endswith(".txt"))
+    assert len(files) == 601 and len({f.split("-")[1] for f in files}) <= 8
+    held = [[r["id"] for r in json.load(open(os.path.join(out, f)))] for f in files]
+    assert held == [[f"W{i}" for i in range(k, min(k + 4, 2_403))] for k in range(0, 2_403, 4)]
+    back = readers.read_json_chunks(spark, out, schemas.table(id=schemas.STRING)).orderBy("row_idx").collect()
+    assert [(r.row_idx, r.id) for r in back] == [(i, f"W{i}") for i in range(2_403)]
+
+
 def test_text_comes_back_as_it_was(spark, tmp_path):
     odd = ['a "q", b', "tab\there", "back\\slash\\", "line\nbreak", " blank ", '"', "x|y", None]
     df = spark.createDataFrame(list(enumerate(odd)), "i long, v string")
