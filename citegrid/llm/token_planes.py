@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from citegrid.llm import store
 from citegrid.llm.bpe import slabs
+from citegrid.llm.pieces import BYTE_LEVEL, Pieces, strange
 from citegrid.llm.units import Units
 from citegrid.llm.words import parts
 from citegrid.session import Scratch
@@ -37,10 +38,10 @@ MAGIC = b"IDPLANE1"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 26
 LEVEL = 3
-# Units and pieces that a process keeps: the library's encoder is the larger part of the
-# work here, so more than elsewhere; some 200 bytes each.
-KEPT_UNITS, KEPT_PIECES = 500_000, 600_000
-SLAB = 1 << 21
+# Pieces that a process keeps: the library's encoder is the larger part of the work here,
+# so more than elsewhere; some 200 bytes each.
+KEPT_PIECES = 1_000_000
+SLAB = 1 << 22
 
 
 def split_planes(ids: np.ndarray, mode: str) -> list[bytes]:
@@ -167,7 +168,7 @@ class PlaneReader:
 
 
 _ENCODERS: dict[str, Units] = {}
-_TEXT_ENCODERS: dict[str, Callable[[list[str]], list[bytes]]] = {}
+_TEXT_ENCODERS: dict[tuple[str, str], Callable[[list[str]], list[bytes]]] = {}
 
 
 def byte_chars() -> dict[int, str]:
@@ -181,22 +182,28 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(256 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
 
 
-def encoder(path: str, pattern: str) -> Units:
-    """Encoder of a ``tokenizers`` file with byte-level pre-tokens by ``pattern``, read once per process."""
-    if path not in _ENCODERS:
-        from tokenizers import Tokenizer
+def piece_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of each piece by the model of a ``tokenizers`` file."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path).model
+    chars = np.array([ord(c) for _, c in sorted(byte_chars().items())], "<u2")
 
-        model = Tokenizer.from_file(path).model
-        chars = byte_chars()
+    def encode_pieces(pieces: list[str]) -> list[list[int]]:
+        # The pieces are split already, so the library's model gets them in its spelling of
+        # bytes; they are spelled together, apart by a byte that UTF-8 never has.
+        data = b"\xff".join([p.encode() for p in pieces])
+        spelled = chars[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le").split("\xff")
+        return [[t.id for t in model.tokenize(p)] for p in spelled] if pieces else []
 
-        def encode_pieces(pieces: list[str]) -> list[bytes]:
-            # The pieces are split already, so the library's model gets them in its spelling of bytes.
-            found = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(chars))] for p in pieces]
-            flat = np.array([i for ids in found for i in ids], "<u4").tobytes()
-            ends = (4 * np.cumsum([len(ids) for ids in found])).tolist()
-            return [flat[a:b] for a, b in zip([0] + ends, ends)]
+    return encode_pieces
 
-        _ENCODERS[path] = Units(pattern, encode_pieces, KEPT_UNITS, KEPT_PIECES)
+
+def encoder(path: str, pattern: str) -> Units:
+    """Encoder of a ``tokenizers`` file with byte-level pre-tokens by ``pattern``, read once per process."""
+    if path not in _ENCODERS:
+        encode = piece_encoder(path)
+        _ENCODERS[path] = Units(pattern, lambda pieces: [np.array(ids, "<u4").tobytes() for ids in encode(pieces)])
     return _ENCODERS[path]
 
 
@@ -205,21 +212,26 @@ def text_encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
 
     A text that holds one of the file's added tokens, such as ``<|endoftext|>``, goes
     through the library whole, which sets those apart before the pattern splits the rest.
+    Other texts are cut in pieces together, or by ``Units`` where only the pattern can tell.
     """
-    if path not in _TEXT_ENCODERS:
+    if (path, pattern) not in _TEXT_ENCODERS:
         from tokenizers import Tokenizer
 
         tool, units = Tokenizer.from_file(path), encoder(path, pattern)
+        pieces = Pieces(piece_encoder(path), KEPT_PIECES)
         added = [t.content for t in tool.get_added_tokens_decoder().values() if t.content]
 
         def encode(texts: list[str]) -> list[bytes]:
-            whole = [any(a in t for a in added) for t in texts]
-            plain = iter(units([t for t, w in zip(texts, whole) if not w]))
-            return [np.array(tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else next(plain)
-                    for t, w in zip(texts, whole)]
-
-        _TEXT_ENCODERS[path] = encode
-    return _TEXT_ENCODERS[path]
+            whole = np.array([any(a in t for a in added) for t in texts], bool)
+            column = pa.array(texts, pa.large_string())
+            odd = strange(column) if pattern == BYTE_LEVEL else np.ones(len(texts), bool)
+            quick = iter(pieces(column.filter(pa.array(~whole & ~odd))))
+            slow = iter(units([t for t, w, o in zip(texts, whole, odd) if o and not w]))
+            return [np.array(tool.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w
+                    else next(slow if o else quick) for t, w, o in zip(texts, whole, odd)]
+
+        _TEXT_ENCODERS[path, pattern] = encode
+    return _TEXT_ENCODERS[path, pattern]
 
 
 def _write(path: str, pattern: str, end_id: int, root: str, mode: str, block: int, file_ids: int):

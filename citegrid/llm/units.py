@@ -36,7 +36,7 @@ def _spaced(text: str) -> list[str] | None:
 
 
 @contextmanager
-def _uncollected() -> Iterator[None]:
+def uncollected() -> Iterator[None]:
     """No search for reference cycles: millions of new lists and strings have none."""
     on = gc.isenabled()
     gc.disable()
@@ -91,7 +91,7 @@ class Units:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        with _uncollected():
+        with uncollected():
             return self._texts(texts)
 
     def _texts(self, texts: list[str]) -> list[bytes]:

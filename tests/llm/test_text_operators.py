@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from citegrid.llm import bpe, license_scan, mixing, ngram_join, substring_dedup, token_planes, units
+from citegrid.llm import bpe, license_scan, mixing, ngram_join, pieces, substring_dedup, token_planes, units
 from citegrid.llm.words import word_hashes
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -181,6 +181,56 @@ def test_encode_texts(texts, plain, reference_encoding):
     assert kept["decoded"] == plain[8][1] and len(kept["ids"]) == kept["n_tokens"]
 
 
+def awkward_texts(seed):
+    draw = random.Random(seed)
+    fixed = ["", " ", "\n\n", "'", "'s", "'r", "'re", "s", "'l", "l", "a", "it's  we'll\n\n x", "\u00a0 x", "a\x1c b", "日本語 テスト"]
+    kinds = ("ab c  \n\t1'sé日.!", "a 's't're've'm'll'd \n'\"x9,é\r\x0b\x0c", "a b  \x1c\x1f\u0085\u00a0\u3000\ufeff'é ½³ⅷ")
+    data = fixed + ["".join(draw.choice(kinds[k % 3]) for _ in range(draw.randrange(60))) for k in range(1_500)]
+    draw.shuffle(data)
+    return data
+
+
+def test_pieces_are_cut_as_by_the_pattern():
+    import pyarrow as pa
+    import regex
+
+    assert pieces.BYTE_LEVEL == public_tokenizers.PATTERN
+    data = [t for seed in (3, 4) for t in awkward_texts(seed)]
+    data = [t for t, odd in zip(data, pieces.strange(pa.array(data, pa.large_string()))) if t.isascii() and not odd]
+    raw, ends = "".join(data).encode(), np.cumsum([0] + [len(t) for t in data])
+    cuts = [*pieces.starts(np.frombuffer(raw, np.uint8), ends).tolist(), len(raw)]
+    got = [raw[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:])]
+    assert len(data) > 400 and got == [p for t in data for p in regex.findall(public_tokenizers.PATTERN, t)]
+
+
+@pytest.mark.parametrize("kept, step", [(1_000_000, 1 << 20), (5, 7)])
+def test_texts_encoded_by_pieces_match_the_tokenizers_library(monkeypatch, kept, step):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_planes, "KEPT_PIECES", kept)
+    monkeypatch.setattr(token_planes, "_TEXT_ENCODERS", {})
+    monkeypatch.setattr(pieces, "STEP", step)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool, encode = Tokenizer.from_file(path), token_planes.text_encoder(path, public_tokenizers.PATTERN)
+    for seed in (5, 6):
+        data = awkward_texts(seed)
+        for text, ids in zip(data, encode(data), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids, text
+
+
+def test_each_distinct_piece_is_encoded_once():
+    import pyarrow as pa
+
+    seen = []
+    encode = pieces.Pieces(lambda new: seen.extend(new) or [list(p.encode()) for p in new], 3)
+    text = "one two, two one two\nthree " * 50
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(pa.array([text, "", text]))] == [list(text.encode()), [], list(text.encode())]
+    assert sorted(seen) == sorted({"one", " one", " two", ",", "\n", "three", " "})
+    seen.clear()
+    assert np.frombuffer(encode(pa.array([text]))[0], "<u4").tolist() == list(text.encode())
+    assert len(encode.known) == 3 and len(seen) == len(set(seen)) == 4
+
+
 # --- id planes --------------------------------------------------------------------------
 
 @pytest.mark.parametrize("mode", ["bit", "byte"])
