@@ -4,7 +4,10 @@ A level holds ``arcs(network, src, dst, w)`` in both directions and ``nodes(netw
 v, k, own)``: ``k`` is the weighted degree and ``own`` the weight inside the vertex,
 counted from both ends.
 
-The vertices of a network are dealt into blocks of about ``block_arcs`` arcs. In a round
+A network of at most ``WHOLE_ARCS`` arcs is solved in one task, through all its levels
+(``moves.py``), so that the driver runs the same few jobs however many levels and moves it takes.
+
+The vertices of a larger one are dealt into blocks of about ``block_arcs`` arcs. In a round
 every block is one group of two sides: it gets its vertices, their arcs and the communities and
 community totals at the far ends, and moves its vertices one after the other until none
 gains. What lies in other blocks stands still meanwhile, so a network of one block is at
@@ -19,24 +22,24 @@ key. The driver sees one row per network and round.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.operators.graph import both_ways, components, vertices
+from citegrid.operators.moves import EPS, move_vertices, packed, refine_parts, turn_order, whole_network
 from citegrid.session import Scratch
 
-# Arcs of a block in the mean; a group of rows of that size is moved in one task. A network of
-# one block needs one round a level, one of several some hundred, so blocks are as large as a task can hold.
+# A network of that many arcs is solved in one task, in some 30 bytes an arc.
+WHOLE_ARCS = 32_000_000
+# Arcs of a block of a larger one in the mean; a group of rows of that size is moved in one task. A
+# network of several blocks needs some hundred rounds, so blocks are as large as a task can hold.
 BLOCK_ARCS = 4_000_000
 # Copies of a community's total that its vertices are joined to.
 SALTS = 16
-EPS = 1e-12
 
 
 def _level_zero(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -70,53 +73,6 @@ def _block_counts(arcs: DataFrame, nodes: DataFrame, block_arcs: int) -> DataFra
         "network", "m2", F.greatest(F.ceil(F.coalesce("n", F.lit(0)) / F.lit(block_arcs)), F.lit(1)).cast("int").alias("blocks"))
 
 
-def _turn_order(vertices_: np.ndarray, seed: int) -> np.ndarray:
-    """Positions of the vertices in an order drawn by hash."""
-    return np.argsort([xxhash.xxh3_64_intdigest(int(v).to_bytes(8, "little", signed=True), seed) for v in vertices_.tolist()],
-                      kind="stable")
-
-
-def _best_target(weights: dict[int, float], tot: list[float], k: float, m2: float, name: list[int], here: int):
-    """(gain, community) of the best other community; ties go to the smaller name."""
-    top, to = float("-inf"), -1
-    for c, w in weights.items():
-        if c != here:
-            gain = w - k * tot[c] / m2
-            if gain > top or (gain == top and name[c] < name[to]):
-                top, to = gain, c
-    return top, to
-
-
-def _move_vertices(k: list[float], label: list[int], arcs: Callable[[int], Iterable[tuple[int, int, float]]],
-                   tot: list[float], name: list[int], m2: float, first: list[int]) -> None:
-    """Move vertices to their best neighbouring community until none of them gains.
-
-    ``arcs`` gives (vertex or -1, community of a vertex outside the block, weight) for a vertex.
-    ``label`` and ``tot`` are changed in place. A vertex is looked at again after a neighbour left.
-    """
-    queue, waiting = deque(first), [False] * len(k)
-    for v in first:
-        waiting[v] = True
-    while queue:
-        v = queue.popleft()
-        waiting[v] = False
-        weights: dict[int, float] = {}
-        for u, c, w in arcs(v):
-            c = label[u] if u >= 0 else c
-            weights[c] = weights.get(c, 0.0) + w
-        here = label[v]
-        gain, to = _best_target(weights, tot, k[v], m2, name, here)
-        if to < 0 or gain <= weights.get(here, 0.0) - k[v] * (tot[here] - k[v]) / m2 + EPS * k[v]:
-            continue
-        tot[here] -= k[v]
-        tot[to] += k[v]
-        label[v] = to
-        for u, _, _ in arcs(v):
-            if u >= 0 and label[u] != to and not waiting[u]:
-                queue.append(u)
-                waiting[u] = True
-
-
 class _Block:
     """Rows of one group as arrays: vertices by number, arcs by source and target.
 
@@ -148,11 +104,11 @@ def _move_block(seed: int):
         tot = np.zeros(len(name))
         tot[index] = np.concatenate([b.tot, b.far_tot])
         n, label, far, m2 = len(b.v), index[:len(b.c)].tolist(), index[len(b.c):], float(b.rows["m2"][0].as_py())
-        order = _turn_order(b.v, seed)
+        order = turn_order(b.v, seed)
         first = order[b.rows["dirty"].to_numpy(zero_copy_only=False)[order]].tolist()
         tot = tot.tolist()
         if m2 > 0:
-            _move_vertices(b.k.tolist(), label, b.arcs(b.target, far, b.w), tot, name.tolist(), m2, first)
+            move_vertices(b.k.tolist(), label, b.arcs(b.target, far, b.w), tot, name.tolist(), m2, first)
         now = np.array(label, dtype=np.int64)
         same = np.where(b.target >= 0, now[b.target], far) == now[b.source]
         inside = np.bincount(b.source[same], weights=b.w[same], minlength=n)
@@ -277,31 +233,7 @@ def _refine_block(seed: int):
     def run(own: pa.Table, heard: pa.Table) -> pa.Table:
         b = _Block(own, heard)
         n, m2 = len(b.v), float(b.rows["m2"][0].as_py())
-        k, bound, whole, c = b.k.tolist(), b.rows["bound"].to_numpy().tolist(), b.tot.tolist(), b.c.tolist()
-        near = b.arcs(b.target, b.w)
-        part, size, name = list(range(n)), [1] * n, b.v.tolist()
-        tot, open_, within = list(k), list(bound), [0.0] * n
-
-        def linked(cut: float, weight: float, all_: float) -> bool:
-            return cut >= weight * (all_ - weight) / m2 - EPS
-
-        for v in _turn_order(b.v, seed).tolist() if m2 > 0 else []:
-            if size[part[v]] > 1 or not linked(bound[v], k[v], whole[v]):
-                continue
-            weights: dict[int, float] = {}
-            for u, w in near(v):
-                if u >= 0 and c[u] == c[v] and part[u] != part[v]:
-                    weights[part[u]] = weights.get(part[u], 0.0) + w
-            weights = {p: w for p, w in weights.items() if linked(open_[p] - within[p], tot[p], whole[v])}
-            gain, to = _best_target(weights, tot, k[v], m2, name, -1)
-            if to < 0 or gain <= EPS:
-                continue
-            within[to] += 2 * weights[to]
-            tot[to] += k[v]
-            open_[to] += bound[v]
-            size[to] += 1
-            size[v] = 0
-            part[v] = to
+        part = refine_parts(b.v, b.k, b.rows["bound"].to_numpy(), b.tot, b.c, b.arcs(b.target, b.w), m2, seed)
         out = b.rows.select(["network", "v", "k", "own", "c"])
         return out.append_column("s", pa.array(b.v[part] if n else [], pa.int64()))
     return run
@@ -378,20 +310,47 @@ def _smallest_member(members: DataFrame, label: str) -> DataFrame:
     return members.join(name, ["network", "at"]).select("network", "id", label)
 
 
+def _solved(edges: DataFrame, whole_arcs: int, seed: int, max_levels: int, min_gain: float, refine: bool,
+            scratch: Scratch) -> tuple[DataFrame, list[str]]:
+    """``(network, id, label)`` of the networks of at most ``whole_arcs`` arcs, each solved in a task; the other networks."""
+    # Each pair once. A vertex stays if the other end is missing.
+    both = F.col("source").isNotNull() & F.col("target").isNotNull()
+    pairs = edges.where("network IS NOT NULL").select(
+        "network", F.least("source", "target").cast("bigint").alias("a"), F.greatest("source", "target").cast("bigint").alias("b"),
+        F.when(both, F.col("weight")).cast("double").alias("w")).where("a IS NOT NULL")
+    packs = scratch.save(
+        pairs.groupBy("network", "a", "b").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).mapInArrow(
+            packed, "network string, n bigint, a binary, b binary, w binary"), "packs")
+    arcs = {r.network: 2 * r.n for r in packs.groupBy("network").agg(F.sum("n").alias("n")).collect()}  # one row per network
+    large = sorted(n for n, m in arcs.items() if m > whole_arcs)
+    # An explicit number of partitions is left alone, so that networks are not put together by their few bytes.
+    labels = packs.where(~F.col("network").isin(large)).repartition(max(_partitions(edges), 8 * len(arcs)), "network")
+    return scratch.save(labels.groupBy("network").applyInArrow(
+        whole_network(seed, max_levels, min_gain, refine), "network string, id bigint, label bigint"), "solved"), large
+
+
+def _partitions(edges: DataFrame) -> int:
+    return int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def louvain(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds: int = 1_000,
-            min_gain: float = 1e-6, block_arcs: int = BLOCK_ARCS, scratch: Scratch | None = None) -> DataFrame:
+            min_gain: float = 1e-6, block_arcs: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``(network, id, cluster_louvain)`` by weighted modularity; a label is the smallest member.
 
     A network ends at the level that brings it less than ``min_gain``; the limits are
-    errors, not results.
+    errors, not results. One of more than ``block_arcs`` arcs, or ``WHOLE_ARCS``, is dealt into blocks.
     """
     scratch = scratch or Scratch(edges.sparkSession, "louvain")
-    arcs, nodes = _level_zero(edges, scratch)
+    solved, large = _solved(edges, block_arcs or WHOLE_ARCS, seed, max_levels, min_gain, False, scratch)
+    solved = solved.withColumnRenamed("label", "cluster_louvain")
+    if not large:
+        return solved
+    arcs, nodes = _level_zero(edges.where(F.col("network").isin(large)), scratch)
     members = scratch.save(nodes.select("network", F.col("v").alias("id"), F.col("v").alias("at")), "members")
     reached: dict[str, float] = {}
     for level in range(max_levels):
-        state, best = _local_moves(
-            arcs, nodes.withColumn("c", F.col("v")), seed + 1000 * level, max_rounds, min_gain, block_arcs, scratch)
+        state, best = _local_moves(arcs, nodes.withColumn("c", F.col("v")), seed + 1000 * level, max_rounds, min_gain,
+                                   block_arcs or BLOCK_ARCS, scratch)
         going = _gained(best, reached, min_gain)
         if not going:
             break
@@ -402,11 +361,11 @@ def louvain(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds:
         members = _follow(members, step, "rep", scratch)
     else:
         raise RuntimeError(f"louvain did not end in {max_levels} levels")
-    return _smallest_member(members, "cluster_louvain")
+    return solved.unionByName(_smallest_member(members, "cluster_louvain"))
 
 
 def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds: int = 1_000,
-           min_gain: float = 1e-6, block_arcs: int = BLOCK_ARCS, scratch: Scratch | None = None) -> DataFrame:
+           min_gain: float = 1e-6, block_arcs: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``(network, id, cluster_leiden)``: as Louvain, but contracting refined communities.
 
     Parts of a community stay separate vertices of the next level and start there in
@@ -414,6 +373,18 @@ def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds:
     disconnected are split, which can only raise modularity.
     """
     scratch = scratch or Scratch(edges.sparkSession, "leiden")
+    solved, large = _solved(edges, block_arcs or WHOLE_ARCS, seed, max_levels, min_gain, True, scratch)
+    solved = solved.withColumnRenamed("label", "cluster_leiden")
+    if not large:
+        return solved
+    edges = edges.where(F.col("network").isin(large))
+    members = _leiden_blocks(edges, seed, max_levels, max_rounds, min_gain, block_arcs or BLOCK_ARCS, scratch)
+    return solved.unionByName(_connected(edges, members, scratch))
+
+
+def _leiden_blocks(edges: DataFrame, seed: int, max_levels: int, max_rounds: int, min_gain: float, block_arcs: int,
+                   scratch: Scratch) -> DataFrame:
+    """``(network, id, at)``: the communities before disconnected ones are split."""
     arcs, nodes = _level_zero(edges, scratch)
     members = scratch.save(nodes.select("network", F.col("v").alias("id"), F.col("v").alias("at")), "members")
     nodes = nodes.withColumn("c", F.col("v"))
@@ -436,7 +407,7 @@ def leiden(edges: DataFrame, seed: int = 42, max_levels: int = 100, max_rounds:
         members = _follow(members, step, "rep", scratch)
     else:
         raise RuntimeError(f"leiden did not end in {max_levels} levels")
-    return _connected(edges, final, scratch)
+    return final
 
 
 def _connected(edges: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
