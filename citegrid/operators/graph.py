@@ -8,11 +8,12 @@ edges and self-loops count as they stand.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -176,7 +177,7 @@ def eigenvector(edges: DataFrame, tolerance: float = 1e-10, max_steps: int = 100
         counted = (
             both_ways(edges.join(few.withColumnRenamed("id", "source"), ["network", "source"]), "component")
             .withColumn("n", loops).groupBy(*part, "src", "dst").agg(F.sum("n").alias("n")))
-        solved.append(scratch.save(counted.groupBy(*part).applyInPandas(
+        solved.append(scratch.save(counted.repartition(*part).sortWithinPartitions(*part).mapInArrow(
             _leading, "network string, component bigint, id bigint, x double, value double"), "solved"))
     if not large.isEmpty():
         solved.append(_iterate(edges, member.join(large, part, "left_semi"), tolerance, max_steps, stride, hub_arcs, scratch))
@@ -196,14 +197,59 @@ def eigenvector(edges: DataFrame, tolerance: float = 1e-10, max_steps: int = 100
             "network", "id", (F.col("x") * F.coalesce("scale", F.lit(0.0))).alias("eigen_centrality")), "centrality")
 
 
-def _leading(arcs: pd.DataFrame) -> pd.DataFrame:
-    """Leading eigenvector and eigenvalue of one component."""
-    ids = np.unique(np.concatenate([arcs["src"], arcs["dst"]]))
-    matrix = np.zeros((len(ids), len(ids)))
-    matrix[np.searchsorted(ids, arcs["src"]), np.searchsorted(ids, arcs["dst"])] = arcs["n"]
-    values, vectors = np.linalg.eigh(matrix)
-    return pd.DataFrame({"network": arcs["network"].iloc[0], "component": arcs["component"].iloc[0], "id": ids,
-                         "x": np.abs(vectors[:, -1]), "value": values[-1]})
+def _leading(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leading eigenvector and eigenvalue of each component; its arcs come one after the other."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        network, component = batch["network"], batch["component"].to_numpy()
+        key = (network[-1].as_py(), int(component[-1]))
+        if held and (network[0].as_py(), int(component[0])) == last == key:
+            held.append(batch)
+            continue
+        # What belongs to the last component may go on in the next batch.
+        other = np.flatnonzero((component != key[1]) | ~pc.equal(network, key[0]).to_numpy(zero_copy_only=False))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if held or whole:
+            yield _solved([*held, batch.slice(0, whole)])
+        held, last = [batch.slice(whole)], key
+    if held:
+        yield _solved(held)
+
+
+def _solved(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Components of one size are solved together, as many as make some 32 MB."""
+    arcs = pa.Table.from_batches(held).combine_chunks()
+    component, src, dst, n = (arcs[c].to_numpy() for c in ("component", "src", "dst", "n"))
+    network = arcs["network"].combine_chunks().dictionary_encode()
+    code = network.indices.to_numpy()
+    first = np.concatenate([[True], (component[1:] != component[:-1]) | (code[1:] != code[:-1])])
+    of = np.cumsum(first) - 1
+    ids = np.unique(np.concatenate([src, dst]))
+    # Every vertex is the source of an arc.
+    vertices, at = np.unique(of * len(ids) + np.searchsorted(ids, src), return_inverse=True)
+    to = np.searchsorted(vertices, of * len(ids) + np.searchsorted(ids, dst))
+    member = vertices // len(ids)
+    size = np.bincount(member)
+    start = np.cumsum(size) - size
+    x, value = np.zeros(len(vertices)), np.zeros(len(size))
+    by_size = np.argsort(size[of], kind="stable")
+    for s, arc in zip(np.unique(size), np.split(by_size, np.flatnonzero(np.diff(size[of][by_size])) + 1)):
+        which = np.flatnonzero(size == s)
+        rank = np.searchsorted(which, of[arc])
+        many = max(1, DENSE_VERTICES ** 2 // int(s * s))
+        for lo in range(0, len(which), many):
+            here = (rank >= lo) & (rank < lo + many)
+            a, some = arc[here], which[lo:lo + many]
+            matrix = np.zeros((len(some), s, s))
+            matrix[rank[here] - lo, at[a] - start[of[a]], to[a] - start[of[a]]] = n[a]
+            values, vectors = np.linalg.eigh(matrix)
+            value[some] = values[:, -1]
+            x[start[some][:, None] + np.arange(s)] = np.abs(vectors[:, :, -1])
+    return pa.RecordBatch.from_arrays(
+        [network.dictionary.take(pa.array(code[first][member])), component[first][member], ids[vertices % len(ids)], x, value[member]],
+        names=["network", "component", "id", "x", "value"])
 
 
 def _iterate(edges: DataFrame, members: DataFrame, tolerance: float, max_steps: int, stride: int,

@@ -135,3 +135,26 @@ def test_networks_beyond_a_task_are_dealt_beside_the_others(spark):
     got = C.louvain(edges, block_arcs=3_000).groupBy("network").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
     want = {n: len({v for r in rows if r[0] == n for v in r[1:3]}) for n in ("big", "small")}
     assert {r.network: (r.n, r.ids) for r in got.collect()} == {n: (m, m) for n, m in want.items()}
+
+
+def test_small_components_are_solved_together(monkeypatch):
+    """One call of the solver for all components of a size, also of those that are cut between batches."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for network, base in (("m", 0), ("n", -500)):
+        for c in range(40):
+            size = 1 + c % 5
+            a = np.triu(rng.integers(0, 3, (size, size))) + np.eye(size, k=1, dtype=int)
+            a = a + a.T + (0 if size > 1 else 2)
+            ids = base + 10 * c + np.sort(rng.permutation(9)[:size])
+            values, vectors = np.linalg.eigh(a.astype(float))
+            want |= {(network, base + 10 * c, int(v)): (abs(x), values[-1]) for v, x in zip(ids, vectors[:, -1])}
+            rows += [(network, base + 10 * c, int(ids[i]), int(ids[j]), int(a[i, j])) for i in range(size) for j in range(size) if a[i, j]]
+    calls, eigh = [], np.linalg.eigh
+    monkeypatch.setattr(np.linalg, "eigh", lambda m: calls.append(m.shape) or eigh(m))
+    for step in (len(rows), 7, 1):
+        calls.clear()
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i:i + step])], names=["network", "component", "src", "dst", "n"])
+                   for i in range(0, len(rows), step)]
+        got = [r for b in G._leading(iter(batches)) for r in b.to_pylist()]
+        assert {(r["network"], r["component"], r["id"]): pytest.approx((r["x"], r["value"])) for r in got} == want
+        assert len(got) == len(want) and (step < len(rows) or len(calls) <= 10)
